@@ -1,0 +1,40 @@
+"""Connected components of an edge table by alternating star contraction."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from .common import stored
+
+
+def _both_ways(edges: DataFrame) -> DataFrame:
+    return edges.select(F.explode(F.array(F.struct(F.col("u"), F.col("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
+
+
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``(node, root)`` for every node of the edges ``(u, v)``; the root is the component's least node.
+
+    Each round points every node's larger neighbours, then its smaller ones, at the least node
+    around it; stars are left when a round changes nothing, after a number of rounds that grows
+    with the logarithm of the longest path. Each round is written to the shared folder.
+    """
+    edges = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    before = _state(edges)
+    while before[0]:
+        ways = _both_ways(edges)
+        least = ways.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = ways.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = stored(large, "large-star")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        edges = stored(small.select("e.u", "e.v").where("u <> v").distinct(), "small-star")
+        after = _state(edges)
+        if after == before:
+            break
+        before = after
+    roots = edges.select("v").distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("root")))

@@ -8,14 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op3_bpe
 from .packing import op2_packing
+from .simhash import op8_simhash
+from .substring_dedup import op1_substring_dedup
 from .token_files import op5_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op2_packing": op2_packing,
         "op3_bpe": op3_bpe,
         "op5_token_files": op5_token_files,
+        "op8_simhash": op8_simhash,
     }
 
 
