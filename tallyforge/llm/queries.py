@@ -6,8 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import topk_search
 from .bpe import op3_bpe
+from .html_text import op6_html_text
+from .language_id import op9_language_id
 from .packing import op2_packing
+from .quality import op7_quality
+from .quality_rules import op4_quality_rules
 from .simhash import op8_simhash
 from .substring_dedup import op1_substring_dedup
 from .token_files import op5_token_files
@@ -18,10 +23,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_substring_dedup": op1_substring_dedup,
         "op2_packing": op2_packing,
         "op3_bpe": op3_bpe,
+        "op4_quality_rules": op4_quality_rules,
         "op5_token_files": op5_token_files,
+        "op6_html_text": op6_html_text,
+        "op7_quality": op7_quality,
         "op8_simhash": op8_simhash,
+        "op9_language_id": op9_language_id,
+        "op10_topk": topk_search.op10_topk,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_topk": topk_search.ORACLE}

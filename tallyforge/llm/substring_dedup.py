@@ -236,6 +236,31 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW, outputs: Sequence[str]
     return joined.mapInArrow(_kept_rows(width, tuple(outputs)), ", ".join(["doc_id long", *[f"{o} {KINDS[o]}" for o in outputs]]))
 
 
+def _rewrite(width: int):
+    """Rows with ``copies`` and ``removed`` as their last two columns, which go; text and n_chars follow the removals."""
+    kept = _kept_rows(width, ("n_removed", "kept_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.names
+            need = pa.RecordBatch.from_arrays([batch.column(at.index(n)) for n in ("doc_id", "text", "copies", "removed")], ["doc_id", "text", "copies", "removed"])
+            out = next(kept(iter([need])))
+            columns = {n: batch.column(k) for k, n in enumerate(at[:-2])} | {"text": out.column(2)}
+            if "n_chars" in columns:
+                lost = out.column(1).to_pylist()
+                sizes = zip(columns["n_chars"].to_pylist(), out.column(2).to_pylist(), lost, strict=True)
+                columns["n_chars"] = pa.array([len(t) if n else old for old, t, n in sizes], columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return run
+
+
+def keep_unrepeated(docs: DataFrame, width: int = WINDOW) -> DataFrame:
+    """``docs`` with their texts after the removals; texts that lose nothing stay as they are."""
+    joined = docs.join(removals(docs, width), "doc_id", "left").select(*docs.columns, "copies", "removed")
+    return joined.mapInArrow(_rewrite(width), docs.schema)
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of words and removed words of every document, and a digest of what stays."""
     return remove_repeats(table(spark, sf_dir, "documents"), outputs=("n_words", "n_removed", "kept_sha256"))
