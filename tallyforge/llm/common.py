@@ -58,7 +58,10 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read again; cuts lineage, survives lost executors."""
-    path = fresh_path(df.sparkSession, name)
+    return stored_at(df, fresh_path(df.sparkSession, name))
+
+
+def stored_at(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import free_disk, small_batches, stored, table, texts
+from .common import free_disk, fresh_path, remove_path, small_batches, stored, stored_at, table, texts
 
 WINDOW = 13
 GRAM = 4
@@ -207,7 +207,9 @@ def removals(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """``(doc_id, copies, removed)``: documents that lose words, with the hashes of texts that they copy whole and of their repeated windows."""
     small_batches(docs.sparkSession)
     items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = stored(items.mapInArrow(_anchor_rows(width), "doc_id long, one long, two long, anchor long"), "anchors")
+    spark = docs.sparkSession
+    rows_at, windows_at = fresh_path(spark, "anchors"), fresh_path(spark, "windows")
+    rows = stored_at(items.mapInArrow(_anchor_rows(width), "doc_id long, one long, two long, anchor long"), rows_at)
     wholes = rows.where("doc_id is not null").select("doc_id", "one", "two")
     firsts = wholes.groupBy("one", "two").agg(F.min("doc_id").alias("first_id"))
     copies = stored(wholes.join(firsts, ["one", "two"]).where("doc_id > first_id").select("doc_id", "one").distinct(), "copies")
@@ -216,16 +218,18 @@ def removals(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     repeated = anchors.groupBy("anchor").agg(F.min("one").alias("a"), F.max("one").alias("b")).where("a <> b").select("anchor")
     mine = anchors.join(repeated, "anchor").groupBy("one").agg(F.collect_set("anchor").alias("anchors"))
     marked = stored(mine.join(firsts, "one").select(F.col("first_id").alias("doc_id"), "anchors"), "marked")
-    free_disk(docs.sparkSession)
+    remove_path(spark, rows_at)  # what follows reads the stored results only
+    free_disk(spark)
 
     chosen = items.join(marked, "doc_id").select("doc_id", "text", "anchors")
-    windows = stored(chosen.mapInArrow(_window_rows(width), "h1 long, h2 int, doc_id long"), "windows")
-    free_disk(docs.sparkSession)
+    windows = stored_at(chosen.mapInArrow(_window_rows(width), "h1 long, h2 int, doc_id long"), windows_at)
+    free_disk(spark)
     owners = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("h1", "h2", "owner")
     later = windows.join(owners, ["h1", "h2"]).where("doc_id > owner").groupBy("doc_id").agg(F.collect_set("h1").alias("removed"))
     whole = copies.groupBy("doc_id").agg(F.collect_set("one").alias("copies"))
     out = stored(later.join(whole, "doc_id", "full_outer").select("doc_id", "copies", "removed"), "removals")
-    free_disk(docs.sparkSession)
+    remove_path(spark, windows_at)
+    free_disk(spark)
     return out
 
 
