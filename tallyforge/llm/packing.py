@@ -86,7 +86,7 @@ class Packer:
             self.next += 1
             item = (*item[:2], end, *item[3:])
         if item[2] < n:
-            if self.waiting == self.size:
+            while self.waiting == self.size:
                 yield from self._sequence()
             self._put(int(np.argmin(self.open)), item)
             self.waiting += 1

@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import free_disk, fresh_path, remove_path, small_batches, stored, stored_at, table, texts
+from .common import free_disk, free_name, fresh_path, remove_path, small_batches, stored, stored_at, table, texts
 
 WINDOW = 13
 GRAM = 4
@@ -247,7 +247,8 @@ def _rewrite(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.names
-            need = pa.RecordBatch.from_arrays([batch.column(at.index(n)) for n in ("doc_id", "text", "copies", "removed")], ["doc_id", "text", "copies", "removed"])
+            places = [at.index("doc_id"), at.index("text"), len(at) - 2, len(at) - 1]
+            need = pa.RecordBatch.from_arrays([batch.column(k) for k in places], ["doc_id", "text", "copies", "removed"])
             out = next(kept(iter([need])))
             columns = {n: batch.column(k) for k, n in enumerate(at[:-2])} | {"text": out.column(2)}
             if "n_chars" in columns:
@@ -261,7 +262,10 @@ def _rewrite(width: int):
 
 def keep_unrepeated(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """``docs`` with their texts after the removals; texts that lose nothing stay as they are."""
-    joined = docs.join(removals(docs, width), "doc_id", "left").select(*docs.columns, "copies", "removed")
+    found = removals(docs, width)
+    copies, removed = free_name(docs, "copies"), free_name(docs, "removed")
+    found = found.select("doc_id", F.col("copies").alias(copies), F.col("removed").alias(removed))
+    joined = docs.join(found, "doc_id", "left").select(*docs.columns, copies, removed)
     return joined.mapInArrow(_rewrite(width), docs.schema)
 
 
