@@ -49,10 +49,11 @@ JOURNAL = "version int, scan_id string, stage string, is_manifest boolean, unit_
 
 def journal(spark: SparkSession, path: str, schema: str = JOURNAL) -> DataFrame:
     """Events of a JSONL journal with their line numbers. A last line without its end is a torn write and is dropped; any other broken line is an error."""
-    whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-    lines = whole.select("file", F.posexplode(F.split("value", "\n")).alias("at", "line"), F.size(F.split("value", "\n")).alias("n"))
-    kept = lines.where((F.col("at") < F.col("n") - 1) & (F.trim("line") != ""))
-    return kept.select("file", (F.col("at") + 1).alias("seq"), F.from_json("line", schema, {"mode": "FAILFAST"}).alias("e")).select("file", "seq", "e.*")
+    whole = spark.read.text(path, wholetext=True).select(F.split("value", "\n").alias("lines"), F.col("_metadata.file_path").alias("file"))
+    # what follows the last line end goes before any row is parsed: a later filter could be moved below a condition on parsed values
+    ended = F.transform(F.slice("lines", 1, F.size("lines") - 1), lambda x, i: F.struct((i + 1).alias("seq"), x.alias("line")))
+    kept = whole.select("file", F.explode(F.filter(ended, lambda e: F.trim(e["line"]) != "")).alias("l"))
+    return kept.select("file", "l.seq", F.from_json("l.line", schema, {"mode": "FAILFAST"}).alias("e")).select("file", "seq", "e.*")
 
 
 def latest(events: DataFrame) -> DataFrame:
