@@ -9,6 +9,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..shipping import ship
+
 METHODS = "file_path string, language string, name string, owner string, start_line int, end_line int, loc int, param_count int, is_exported boolean, source string"
 SYMBOLS = "file_path string, kind string, name string, line int, end_line int, module string, imported string, owner string, is_member boolean"
 
@@ -112,6 +114,7 @@ def _frame(rows: list[tuple], schema: str) -> pd.DataFrame:
 
 def methods(files: DataFrame) -> DataFrame:
     """One row per method of ``(file_path, language, source)``."""
+    ship(files.sparkSession)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -123,6 +126,7 @@ def methods(files: DataFrame) -> DataFrame:
 
 def symbols(files: DataFrame) -> DataFrame:
     """Definitions, imports and calls of Python files."""
+    ship(files.sparkSession)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
