@@ -12,7 +12,7 @@ The model is fitted on a bounded sample of labelled documents: ``PER_CLASS`` for
 with the smallest hash of their id. Documents whose crc32 of the id is divisible by 5 are held out.
 Scores use whole texts and nothing else.
 
-Defined cases: a null or wordless text pools to zeros and is scored like any other; labels other
+Defined cases: a null or wordless text pools to the sample's mean and is scored like any other; labels other
 than 0 and 1 and documents with contradicting labels don't train; without both labels the score is
 the share of label 1 of all labels, or 1 where there is none. Rows that repeat give equal rows.
 """
@@ -36,7 +36,9 @@ DIM = 32
 NONZERO = 6
 REACH = 2
 HIDDEN = 24
-POOLED = 2 * DIM + 2
+POOLED = 2 * DIM + 3
+#: A document's vector moves towards the sample's mean as if it held so many more average words.
+PRIOR_WORDS = 12
 STEPS = 400
 THRESHOLD = 0.3
 #: Words in a worker's map of terms; the map is emptied when full.
@@ -114,8 +116,8 @@ class Model:
 
     constant: float | None = None
 
-    def pool(self, terms: np.ndarray) -> np.ndarray:
-        """Mean vectors of letters and of shapes, the letters' length (near a word's own where words repeat), and the logarithm of the number of words."""
+    def raw(self, terms: np.ndarray) -> np.ndarray:
+        """Mean vectors of letters and of shapes, the letters' length, the share of words that repeat the one before, and the logarithm of the number of words."""
         n = len(terms)
         if not n:
             return np.zeros(POOLED, "f8")
@@ -123,7 +125,12 @@ class Model:
         for k in range(0, n, 1 << 14):
             core += self.words[terms[k : k + (1 << 14)] // SHAPES].sum(axis=0, dtype="f8")
         shapes = np.bincount(terms % SHAPES, minlength=SHAPES) @ self.shapes
-        return np.r_[core / n, shapes / n, np.linalg.norm(core / n), np.log1p(n) / 10]
+        return np.r_[core / n, shapes / n, np.linalg.norm(core / n), np.count_nonzero(terms[1:] == terms[:-1]) / n, np.log1p(n) / 10]
+
+    def pool(self, terms: np.ndarray) -> np.ndarray:
+        """The raw vector, drawn towards the mean where few words make it."""
+        n = len(terms)
+        return self.mean + (self.raw(terms) - self.mean) * (n / (n + PRIOR_WORDS))
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.tanh((x - self.mean) / self.scale @ self.w1 + self.b1) @ self.w2 + self.b2
@@ -145,8 +152,9 @@ def fit(samples: list[tuple[np.ndarray, int]], share: float) -> Model:
     docs = np.repeat(np.arange(len(samples)), [len(t) for t, _ in samples])
     model.words = _context(terms // SHAPES, index_vectors(BUCKETS, 1), docs)
     model.shapes = _context(terms % SHAPES, index_vectors(SHAPES, 2), docs).astype("f8")
+    raw = np.stack([model.raw(t) for t, _ in samples])
+    model.mean, model.scale = raw.mean(axis=0), raw.std(axis=0) + 1e-3
     x = np.stack([model.pool(t) for t, _ in samples])
-    model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     rng = np.random.default_rng(3)
     order = rng.permutation(len(x))
     held, used = order[: len(x) // 5], order[len(x) // 5 :]

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..shipping import ship
 from .common import small_batches, stored, table, texts
 from .graph import components
 
@@ -149,6 +150,7 @@ def _links(most: int):
 
 def near_links(distinct: DataFrame) -> DataFrame:
     """Links ``(u, v)`` that connect all of the distinct ``print`` values within three bits of each other."""
+    ship(distinct.sparkSession)
     pairs = F.lit(PAIRS)
     high, low = F.shiftrightunsigned("print", 1).bitwiseAND(pairs), F.col("print").bitwiseAND(pairs)
     vector = F.shiftleft(high.bitwiseAND(low), 1).bitwiseOR(high.bitwiseXOR(low))

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..shipping import ship
 from .common import table
 
 K = 5
@@ -164,6 +165,7 @@ def _search(queries, k: int):
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: each query's k best of all ``vectors`` but its own, of ``(vec_id, embedding)``."""
     spark = vectors.sparkSession
+    ship(spark)
     pick = lambda df: df.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     candidates = pick(vectors)
     packed = pick(queries).mapInArrow(_pack, "size long, vec_id long, vector binary").groupBy("vec_id").agg(F.min_by(F.struct("size", "vector"), F.struct("size", "vector")).alias("q"))
