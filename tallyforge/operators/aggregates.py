@@ -128,14 +128,11 @@ def estimate(files: DataFrame) -> DataFrame:
 
 
 def journal_summary(journal: DataFrame, scan: str, unit: str, seq: str, status: str, cost: str) -> DataFrame:
-    """One row per scan: events, spend, and the statuses of each unit's latest event."""
-    latest = journal.groupBy(scan, unit).agg(F.max_by(status, seq).alias("latest"), F.count("*").alias("events"), F.sum(cost).alias("spent"))
-    return latest.groupBy(scan).agg(
-        F.sum("events").alias("events"),
-        F.count("*").alias("units"),
-        F.round(F.sum("spent"), 6).alias("spent"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("latest", "one")))).alias("statuses") if "one" in latest.columns else F.count_if(F.col("latest").isNotNull()).alias("settled"),
-    )
+    """One row per scan: events, units, spend, and how many units' latest event has each status."""
+    latest = journal.groupBy(scan, unit).agg(F.max_by(status, seq).alias("status"), F.count("*").alias("events"), F.sum(cost).alias("spent"))
+    kinds = latest.groupBy(scan, "status").agg(F.count("*").alias("units"), F.sum("events").alias("events"), F.sum("spent").alias("spent"))
+    statuses = F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "units"))))
+    return kinds.groupBy(scan).agg(F.sum("events").alias("events"), F.sum("units").alias("units"), F.round(F.sum("spent"), 6).alias("spent"), statuses.alias("statuses"))
 
 
 def merge_cases(cases: DataFrame, key: str, content: list[str], sets: list[str], least: str) -> DataFrame:

@@ -106,3 +106,24 @@ def spread_sample(df: DataFrame, by: str, order: list[str], most: int, k: int) -
     numbered = df.withColumn("__n", n).withColumn("__at", at)
     places = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(i * (F.col("__n") - 1) / (k - 1)))
     return numbered.where((F.col("__n") <= most) | F.array_contains(places, F.col("__at").cast("long"))).drop("__n", "__at")
+
+
+def greedy_batches(df: DataFrame, by: str, order: list[str], size: str, most: int, budget: int) -> DataFrame:
+    """Adds ``batch``: each group's rows in order, cut where a batch would exceed ``most`` rows or ``budget`` of the size column.
+
+    The cut depends on all rows of the group before it, so each group is read in order by one task;
+    groups are files here, whose rows fit a task. A row larger than the budget is a batch of its own.
+    """
+    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in df.schema], "batch int"])
+
+    def cut(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(order, kind="stable")
+        batch, rows, used, out = 1, 0, 0, []
+        for own in group[size]:
+            if rows and (rows == most or used + own > budget):
+                batch, rows, used = batch + 1, 0, 0
+            rows, used = rows + 1, used + own
+            out.append(batch)
+        return group.assign(batch=out)
+
+    return df.groupBy(by).applyInPandas(cut, schema)

@@ -172,3 +172,14 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     gap = F.timestamp_diff("MICROSECOND", F.lag("ts").over(w), F.col("ts"))
     e = read(spark, sf_dir, "events").withColumn("c", F.when(gap <= 3_600_000_000, 0).otherwise(1)).withColumn("session", F.sum("c").over(w))
     return e.groupBy("user_id", "session").agg(F.min("event_id").alias("first_event"), F.count("*").alias("n"))
+
+
+@query(
+    """WITH l AS (SELECT CAST(ts AS DATE) AS d, user_id, arg_max(event_type, event_id) AS status, count(*) AS n, sum(value) AS v FROM events GROUP BY 1, 2)
+  SELECT CAST(d AS VARCHAR) AS scan, CAST(sum(n) AS BIGINT) AS events, count(*) AS units, round(sum(v), 3) AS spent, count(*) FILTER (status = 'error') AS failed FROM l GROUP BY d"""
+)
+def journal_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days as scans: events, units, spend and units whose last event is an error."""
+    e = read(spark, sf_dir, "events").withColumn("scan", F.to_date("ts").cast("string"))
+    s = A.journal_summary(e, "scan", "user_id", "event_id", "event_type", "value")
+    return s.select("scan", "events", "units", F.round("spent", 3).alias("spent"), F.coalesce(F.try_element_at("statuses", F.lit("error")), F.lit(0)).alias("failed"))

@@ -111,3 +111,10 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = e.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(cosine, 5).alias("c"))
     w = Window.partitionBy("query_id").orderBy(F.desc("c"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(w)).where("rank <= 10").select("query_id", "vec_id", "rank")
+
+
+@query()
+def review_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of a conversation in batches of eight turns and 4,000 characters at most."""
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("chars"))
+    return R.greedy_batches(turns, "conv_id", ["turn"], "chars", 8, 4000)

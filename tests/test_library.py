@@ -177,6 +177,12 @@ def test_greedy_slots(spark):
     assert {(x["id"], x["slot"]) for x in got} == want
 
 
+def test_batches(spark):
+    rows = [("f", 1, 5), ("f", 2, 6), ("f", 3, 1), ("f", 4, 1), ("f", 5, 1), ("f", 6, 30), ("g", 1, 1)]
+    got = ranking.greedy_batches(spark.createDataFrame(rows, "file string, k int, chars int"), "file", ["k"], "chars", 3, 10).collect()
+    assert sorted((r["file"], r["k"], r["batch"]) for r in got) == [("f", 1, 1), ("f", 2, 2), ("f", 3, 2), ("f", 4, 2), ("f", 5, 3), ("f", 6, 4), ("g", 1, 1)]
+
+
 def test_jaccard(spark):
     r = random.Random(9)
     sets = [(k, sorted({r.randrange(40) for _ in range(r.randint(0, 12))})) for k in range(120)]
