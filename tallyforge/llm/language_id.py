@@ -27,6 +27,7 @@ from .common import crc_mod5, small_batches, table, texts
 PROFILE = 300
 PER_LANGUAGE = 400
 LANGUAGES = 64
+SALTS = 32
 UNDETERMINED = "und"
 U8 = np.uint64
 MULTIPLIERS = [U8(0x9E3779B97F4A7C15), U8(0xC2B2AE3D27D4EB4F), U8(0x165667B19E3779F9)]
@@ -98,8 +99,10 @@ def train(docs: DataFrame) -> Profiles:
     small_batches(docs.sparkSession)
     named = docs.where("lang is not null and doc_id is not null").select("doc_id", "lang", "text")
     common = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = named.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= PER_LANGUAGE)
+    chosen = named.select("doc_id", "lang", F.pmod(F.xxhash64(F.lit("salt"), "doc_id"), F.lit(SALTS)).alias("salt"))
+    for keys in (["lang", "salt"], ["lang"]):  # a language that holds most rows is cut down in salted parts first
+        order = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id")
+        chosen = chosen.withColumn("k", F.row_number().over(order)).where(F.col("k") <= PER_LANGUAGE).drop("k")
     keys = chosen.join(common, "lang").select("doc_id", "lang").distinct().limit(PER_LANGUAGE * LANGUAGES)  # the bound of what is broadcast
     sample = named.join(F.broadcast(keys), ["doc_id", "lang"]).select("lang", "text")
     counts = sample.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
