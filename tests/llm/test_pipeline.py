@@ -1,4 +1,4 @@
-"""The pipeline on the smallest tables, each stage against what its operator says alone."""
+"""The pipeline's stages on the smallest tables, each against what its operator says alone."""
 
 import zlib
 
@@ -24,7 +24,7 @@ def test_pipeline(spark):
     cut = {r["doc_id"]: r for r in substring_dedup.remove_repeats(kept[3]).collect()}
     texts = {r["doc_id"]: r["text"] for r in kept[4].collect()}
     assert all(texts[k] == cut[k]["kept_text"] for k in texts)
-    pieces = corpus_pipeline.run(spark, SF).collect()
+    pieces = corpus_pipeline.packed(spark, kept[4], SF).collect()
     coder = tokens.WordIds(tokens.default_tokenizer())
     whole = {k: coder.batch([t])[0] + b"\x01\0\0\0" for k, t in texts.items()}
     assert {r["doc_id"] for r in pieces} == ids[4]
