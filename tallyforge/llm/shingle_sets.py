@@ -1,0 +1,167 @@
+"""Groups of texts whose sets of word shingles have a Jaccard similarity of 0.8 or more, by prefixes in a fixed order.
+
+Each text is the set of 64-bit hashes of its shingles; equal sets are one node. All sets are sorted
+in one order: shingles that a sample says are frequent last, by hash otherwise. Two sets of
+similarity 0.8 share one of the first ``n - ceil(0.8 n) + 1`` items of each in any such order, so
+only these enter the cells. No pair is lost: the sample only decides how full cells get. Each cell
+first gives its least node with every other one; once those links have made components, a cell
+that still holds several gives all pairs between them, so a large group gives no pairs within
+itself. Pairs are tested by sizes and by bitmaps of parities, whose differing bits are never more
+than the differing items, and then by the sets themselves.
+
+Defined cases are those of ``simhash``: wordless texts are one node, a text with fewer words than a
+shingle is one shingle, documents with a null id never name a component that holds another id.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
+
+from .common import free_disk, small_batches, stored, texts, words
+from .graph import components
+
+#: The least similarity as a fraction, so that no test rounds.
+OVER, UNDER = 4, 5
+SEED = 42
+#: One document in ``SAMPLE`` is counted; shingles that ``FREQUENT`` of these hold stand last, ``MOST_FREQUENT`` at most.
+SAMPLE = 16
+FREQUENT = 8
+MOST_FREQUENT = 1 << 18
+#: Longs in a bitmap of parities.
+LONGS = 8
+BITMAP = [f"b{k}" for k in range(LONGS)]
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles; A-Z count as a-z."""
+    from xxhash import xxh64_intdigest
+
+    own = [w.lower() for w in words(text)]
+    grams = [own] if 0 < len(own) < shingle else zip(*(own[k:] for k in range(shingle)), strict=False)
+    return np.unique(np.array([xxh64_intdigest(b" ".join(g), SEED) for g in grams], "u8"))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(a) + len(b) - len(np.union1d(a, b))
+    return (OVER + UNDER) * both >= OVER * (len(a) + len(b))
+
+
+def prefix(items: np.ndarray, late: np.ndarray) -> np.ndarray:
+    """The items by which a set is found."""
+    take = len(items) + OVER * len(items) // -UNDER + 1 if len(items) else 0
+    last = np.isin(items, late)
+    return np.r_[items[~last], items[last]][:take]
+
+
+def parities(items: np.ndarray) -> np.ndarray:
+    """For each bit of the bitmap whether an odd number of items fall on it."""
+    odd = np.bincount((items >> np.uint64(20)) % np.uint64(64 * LONGS), minlength=64 * LONGS) % 2
+    return np.packbits(odd.astype("u1"), bitorder="little").view("<i8")
+
+
+def _hash(items: np.ndarray) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(items.tobytes(), SEED)
+
+
+def _nodes(shingle: int, late):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, shingle) for t in texts(batch)]
+            maps = np.array([parities(s) for s in sets], "<i8").reshape(-1, LONGS)
+            columns = [batch.column(0), pa.array(np.array([_hash(s) for s in sets], "u8").view("i8")), pa.array([len(s) for s in sets], pa.int32())]
+            columns += [pa.array([prefix(s, late.value).view("i8") for s in sets], pa.list_(pa.int64()))] + [pa.array(maps[:, k]) for k in range(LONGS)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "prefix", *BITMAP])
+
+    return run
+
+
+def _items(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t, shingle) for t in texts(batch)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([_hash(s) for s in sets], "u8").view("i8")), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "items"])
+
+    return run
+
+
+def _counted(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t, shingle) for t in texts(batch)]
+            keys, n = np.unique(np.concatenate([np.zeros(0, "u8"), *found]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view("i8")), pa.array(n.astype("i8"))], ["key", "n"])
+
+    return run
+
+
+def _tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [[np.frombuffer(x, "u8") for x in batch.column(k).to_pylist()] for k in (2, 3)]
+        near = pa.array([similar(a, b) for a, b in zip(*sets, strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], ["u", "v"])
+
+
+def frequent(docs: DataFrame, shingle: int) -> np.ndarray:
+    """Shingles of many documents of the sample; a bound of what is broadcast, not of what is compared."""
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
+    counts = some.mapInArrow(_counted(shingle), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    rows = counts.orderBy(F.desc("n"), "key").limit(MOST_FREQUENT).select("key").collect()
+    return np.array([r["key"] for r in rows], "i8").view("u8")
+
+
+def _links(pairs: DataFrame, distinct: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """Those of the pairs ``(u, v)`` of nodes that are similar."""
+    side = lambda c: distinct.select(F.col("node").alias(c), F.col("n").alias(f"{c}n"), *[F.col(b).alias(c + b) for b in BITMAP])
+    both = pairs.join(side("u"), "u").join(side("v"), "v")
+    apart = sum((F.bit_count(F.col("u" + b).bitwiseXOR(F.col("v" + b))) for b in BITMAP), F.lit(0))
+    fits = F.lit(UNDER) * F.least("un", "vn") >= F.lit(OVER) * F.greatest("un", "vn")
+    maybe = stored(both.where(fits & (F.lit(UNDER + OVER) * apart <= F.lit(UNDER - OVER) * (F.col("un") + F.col("vn")))).select("u", "v"), f"{name}-candidates")
+    wanted = maybe.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    held = stored(sets.join(wanted, "node", "left_semi"), f"{name}-sets")
+    ready = maybe.join(held.select(F.col("node").alias("u"), F.col("items").alias("a")), "u").join(held.select(F.col("node").alias("v"), F.col("items").alias("b")), "v")
+    links = stored(ready.select("u", "v", "a", "b").mapInArrow(_tested, "u long, v long"), f"{name}-links")
+    free_disk(pairs.sparkSession)
+    return links
+
+
+def near_duplicates(docs: DataFrame, shingle: int) -> DataFrame:
+    """``(doc_id, print, component_id)`` of every document; ``print`` is a hash of its set of shingles."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    items = docs.select("doc_id", "text")
+    late = spark.sparkContext.broadcast(frequent(items, shingle))
+    kind = items.schema["doc_id"].dataType.simpleString()
+    every = stored(items.mapInArrow(_nodes(shingle, late), f"doc_id {kind}, node long, n int, prefix array<long>, {', '.join(f'{b} long' for b in BITMAP)}"), "shingle-nodes")
+    distinct = stored(every.groupBy("node").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("n", "prefix", *BITMAP)]), "distinct-shingle-nodes")
+    sets = items.select("text").mapInArrow(_items(shingle), "node long, items binary").groupBy("node").agg(F.first("items").alias("items"))
+
+    cell = Window.partitionBy("key")
+    postings = distinct.select(F.explode("prefix").alias("key"), "node", "n")
+    cells = postings.withColumn("hub", F.min("node").over(cell)).withColumn("top", F.max("node").over(cell)).where("hub <> top")
+    cells = stored(cells.select("key", "node", "n", "hub"), "cells")
+    free_disk(spark)
+    first = _links(cells.where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct(), distinct, sets, "first")
+
+    near = components(first)
+    rooted = cells.join(near, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    mixed = rooted.withColumn("low", F.min("root").over(cell)).withColumn("high", F.max("root").over(cell)).where("low <> high")
+    mixed = stored(mixed.select("key", "node", "n", "root"), "mixed-cells")
+    right = mixed.select("key", F.col("node").alias("v"), F.col("n").alias("vn"), F.col("root").alias("v_root"))
+    fits = F.lit(UNDER) * F.least("n", "vn") >= F.lit(OVER) * F.greatest("n", "vn")
+    across = mixed.join(right, "key").where((F.col("node") < F.col("v")) & (F.col("root") != F.col("v_root")) & fits)
+    rooted = stored(distinct.select("node", "first_id").join(near, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("top")), "rooted")
+    if not mixed.isEmpty():
+        tested = cells.select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
+        second = _links(across.select(F.col("node").alias("u"), "v").distinct().join(tested, ["u", "v"], "left_anti"), distinct, sets, "second")
+        root_of = lambda c: rooted.select(F.col("node").alias(c), F.col("top").alias(f"{c}_top"))
+        between = second.join(root_of("u"), "u").join(root_of("v"), "v").select(F.col("u_top").alias("u"), F.col("v_top").alias("v"))
+        tops = components(between).select(F.col("node").alias("top"), "root")
+        rooted = stored(rooted.join(tops, "top", "left").select("node", "first_id", F.coalesce("root", "top").alias("top")), "rooted")
+    named = rooted.join(rooted.groupBy("top").agg(F.min("first_id").alias("component_id")), "top").select("node", "component_id")
+    return every.select("doc_id", "node").join(named, "node").select("doc_id", F.col("node").alias("print"), "component_id")

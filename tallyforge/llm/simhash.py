@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..shipping import ship
+from . import shingle_sets
 from .common import small_batches, stored, table, texts
 from .graph import components
 
@@ -161,7 +162,13 @@ def near_links(distinct: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``(doc_id, print, component_id)`` of every document; the component is named by its smallest id."""
+    """``(doc_id, print, component_id)`` of every document; the component is named by its smallest id.
+
+    Three bits are the limit for shingles of ``SHINGLE`` words alone; sets of other shingles are linked by
+    their Jaccard similarity, whose 0.8 leaves fingerprints up to some 14 bits apart.
+    """
+    if shingle != SHINGLE:
+        return shingle_sets.near_duplicates(docs, shingle)
     prints = stored(fingerprints(docs, shingle), "prints")
     distinct = stored(prints.groupBy("print").agg(F.min("doc_id").alias("first_id")), "distinct-prints")
     roots = components(near_links(distinct.select("print"))).withColumnRenamed("node", "print")

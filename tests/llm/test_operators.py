@@ -235,6 +235,43 @@ def test_simhash_links_on_planted_fingerprints(spark):
     assert len({(root(k), label[k]) for k in range(len(values))}) == len(set(label)) == len({root(k) for k in range(len(values))})
 
 
+def test_five_word_near_copies(spark, none):
+    r = random.Random(11)
+    say = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    texts, passage = [], say(60)
+    for k in range(30):
+        base = say(r.randint(60, 400)) + passage * (k % 3 == 0)
+        texts.append(" ".join(base))
+        for edits in (1, 2, 4, 6):
+            copy = list(base)
+            for at in r.sample(range(len(copy)), edits):
+                copy[at] = "edited"
+            texts.append(" ".join(copy).upper() if edits == 2 else " ".join(copy))
+    hub = say(300)  # a large group of near copies, each with its own edits
+    texts += [" ".join(hub[:k] + ["own"] + hub[k + 1 :]) for k in range(5, 290, 5)]
+    texts += [t for _, t, *_ in corpus()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    grams = lambda t: {tuple(w[k : k + 5]) for w in [words((t or "").lower())] for k in range(max(len(w) - 4, 1)) if w}
+    sets = [grams(t) for t in texts]
+    root = list(range(len(sets)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])):
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    wanted = {k: find(k) for k in range(len(sets))}
+    bits = [simhash.fingerprint(t, 5) for t in texts]
+    assert sum((bits[k] ^ bits[wanted[k]]).bit_count() > 3 for k in wanted) > 30  # three bits do not find these
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, 5).collect()} == wanted
+    assert simhash.near_duplicates(none, 5).count() == 0
+
+
 def test_quality_rules(docs, none):
     found = quality_rules.judge(docs).collect()
     text_of = {k[0]: k[1] for k in corpus()}
