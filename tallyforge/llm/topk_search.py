@@ -50,24 +50,26 @@ class Block:
         self.lists = np.stack([up, up[:, ::-1]])
         self.depths = sorted({max(1, n // p) for p in DEPTHS})
 
-    def candidates(self, query: np.ndarray, least: float, k: int) -> np.ndarray:
-        """Places of the candidates that may score ``least`` or more; sequential reads only."""
+    def candidates(self, query: np.ndarray, least: float, k: int, own: int | None = None) -> np.ndarray:
+        """Places of the candidates that may score ``least`` or more, rows with the id ``own`` left out; sequential reads only."""
+        others = self.ids != own if own is not None else np.ones(len(self.ids), bool)
         ends = (query > 0).astype("i8")
         dims = np.arange(len(query))
         lists = self.lists[ends, dims]
         fronts = query @ lists[:, [d - 1 for d in self.depths]]
         stops = np.flatnonzero(fronts < least)
         if not len(stops):
-            return np.arange(len(self.ids))
+            return np.flatnonzero(others)
         for at in stops.tolist():
             depth, front = self.depths[at], fronts[at]
             frontier = lists[:, depth - 1 : depth]
             gains = query[:, None] * (lists[:, :depth] - frontier)
             upper = front + np.bincount(self.order[ends, dims, :depth].ravel(), gains.ravel(), len(self.ids))
-            if len(upper) >= k:
+            rest = upper[others]  # the own rows are no results, so they must not stand for one of the k
+            if len(rest) >= k:
                 gap = float(query @ (frontier[:, 0] - lists[:, -1]))  # no lower bound is further below its upper bound
-                least = max(least, float(np.partition(upper, -k)[-k]) - gap)
-            found = np.flatnonzero(upper >= least)
+                least = max(least, float(np.partition(rest, -k)[-k]) - gap)
+            found = np.flatnonzero((upper >= least) & others)
             if len(found) <= len(self.ids) // 8:
                 break
         return found
@@ -92,7 +94,7 @@ class Best:
                     whole = values @ (self.queries.T.astype("f8") if exact else self.queries.T)
                 at, new = np.arange(len(block.ids)), whole[:, j].astype("i8")
             else:
-                at = block.candidates(query.astype("f8"), float(scores[-1]), self.k)
+                at = block.candidates(query.astype("f8"), float(scores[-1]), self.k, own)
                 new = (values[at] @ query).astype("i8")
             keep = block.ids[at] != own
             new, named = new[keep], block.ids[at][keep]

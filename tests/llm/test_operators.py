@@ -374,6 +374,27 @@ def test_bounds_drop_candidates():
     assert set(np.flatnonzero(values @ values[17] >= scores[-6])) <= set(near.tolist()) and len(near) < 1500
 
 
+def test_top_k_own_rows_in_later_blocks():
+    r = np.random.default_rng(3)
+    centres = np.where(r.random((40, 32)) < 0.15, r.random((40, 32)), 0.0)
+    n = 3 * topk_search.BLOCK
+    near = np.repeat(np.arange(40), -(-n // 40))[:n]  # similar vectors lie near each other
+    values = np.floor(256 * np.maximum(centres[near] + np.where(centres[near] > 0, r.normal(0, 0.05, (n, 32)), 0.0), 0)).astype("i8")
+    ids = np.arange(n)
+    asked = np.r_[ids[::97], ids[-200:]]
+    best = topk_search.Best(asked, values[asked], 5)
+    for a in range(0, n, topk_search.BLOCK):
+        best.add(topk_search.Block(ids[a : a + topk_search.BLOCK], values[a : a + topk_search.BLOCK]))
+    for q, (scores, found) in zip(asked.tolist(), best.found, strict=True):
+        all_scores = values @ values[q]
+        order = [x for x in np.lexsort((ids, -all_scores)).tolist() if x != q][:5]
+        assert (found.tolist(), scores.tolist()) == (order, all_scores[order].tolist()), q
+    # one block, k = 1: the query's own row is by far the best and its upper bound must not cut the best of the others
+    sparse = np.zeros((1000, 8), "i8")
+    sparse[7], sparse[8] = 1000, 10
+    assert 8 in topk_search.Block(np.arange(1000), sparse).candidates(np.full(8, 1000.0), 1.0, 1, 7).tolist()
+
+
 def test_html():
     text = html_text.page_text
     assert text(None) is None and text("") == "" and text("<p hidden>x</p><script>y</script>") == ""
