@@ -1,10 +1,10 @@
 """Quality rules from distribution divergence, in DataFrame functions alone.
 
 Base rules: too few words, or too many words in repeated 3-word windows. What passes them is
-compared with references of the corpus's languages by the Jensen-Shannon distance (base 2, between
+compared with references of all of the corpus's languages by the Jensen-Shannon distance (base 2, between
 0 and 1) of two histograms: character classes, and common words with one further class for all
-other words. A reference is the histogram over all documents of one language, for the ``LANGUAGES``
-languages with the most words. A document is kept if some language is near in both histograms.
+other words. A reference is the histogram over all documents of one language. Up to ``INLINE``
+references are part of the expressions; further ones are a broadcast table of one row. A document is kept if some language is near in both histograms.
 Texts shorter than ``MIN_CHARS`` characters in words or ``MIN_WORDS`` words are not judged by
 distance, as their histograms are noise; the base rules alone decide.
 
@@ -26,7 +26,8 @@ MIN_BASE_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_WORDS = 50
 MIN_CHARS = 200
-LANGUAGES = 32
+#: References written into the plan itself, which would grow with more.
+INLINE = 32
 #: A distance may exceed these by an allowance that falls with the square root of the number of words.
 MOST_CLASS_DISTANCE = 0.24
 MOST_WORD_DISTANCE = 0.25
@@ -105,9 +106,9 @@ def references(docs: DataFrame) -> list[tuple[str, list[float], list[float]]]:
     whole = F.transform(classes, lambda c, j: F.struct((-j - 2).cast("int").alias("k"), c.cast("long").alias("n")))
     entries = F.concat(F.array(F.struct(F.lit(-1).alias("k"), F.size("__words").cast("long").alias("n"))), whole, "__found")
     sums = stored(df.select("lang", F.explode(entries).alias("e")).groupBy("lang", "e.k").agg(F.sum("e.n").alias("n")), "language-sums")
-    total = sums.where("lang is not null and k = -1 and n > 0").orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
+    total = sums.where("lang is not null and k = -1 and n > 0").select("lang")
     found: dict[str, dict[int, int]] = {}
-    for row in sums.join(F.broadcast(total), "lang").collect():  # at most LANGUAGES x (words and classes) sums
+    for row in sums.join(total, "lang").collect():  # words and classes of each language
         found.setdefault(row["lang"], {})[row["k"]] = row["n"]
     out = []
     for name, counts in sorted(found.items()):
@@ -122,9 +123,8 @@ def _xlogx(x: Column) -> Column:
     return F.when(x > 0, x * F.log2(x)).otherwise(F.lit(0.0))
 
 
-def _distance(shares: Column, reference: list[float]) -> Column:
+def _distance(shares: Column, other: Column) -> Column:
     """Jensen-Shannon distance of two histograms."""
-    other = F.array(*[F.lit(q) for q in reference])
     terms = F.zip_with(shares, other, _divergence)
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x), F.lit(0.0)))
 
@@ -134,16 +134,18 @@ def _divergence(p: Column, q: Column) -> Column:
     return (_xlogx(p) + _xlogx(q)) / 2 - _xlogx((p + q) / 2)
 
 
-def _word_distance(n_words: Column, reference: list[float]) -> Column:
-    """The same for common words, from those that occur: a class that one side lacks adds half of the other's share."""
-    shares = F.array(*[F.lit(q) for q in reference])
+def _word_distance(n_words: Column, shares: Column, last: Column, half: Column) -> Column:
+    """The same for common words, from those that occur: a class that one side lacks adds half of the other's share.
+
+    ``last`` is the reference's share of all other words, ``half`` half of the sum of the rest.
+    """
 
     def part(x: Column) -> Column:
         q = F.get(shares, x["k"] - 1)
         return _divergence(x["n"] / n_words, q) - q / 2
 
-    rest = _divergence((n_words - F.size("__common")) / n_words, F.lit(reference[-1]))
-    total = F.aggregate(F.transform("__found", part), F.lit(0.0), lambda a, x: a + x) + sum(reference[:-1]) / 2 + rest
+    rest = _divergence((n_words - F.size("__common")) / n_words, last)
+    total = F.aggregate(F.transform("__found", part), F.lit(0.0), lambda a, x: a + x) + half + rest
     return F.sqrt(F.greatest(total, F.lit(0.0)))
 
 
@@ -157,7 +159,14 @@ def measured(docs: DataFrame, refs: list[tuple[str, list[float], list[float]]])
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     if refs:
         most_class, most_words = limits(F.col("n_words"))
-        df = df.withColumn("__each", F.array(*[F.struct(_distance(F.col("__classes"), c).alias("c"), _word_distance(n, w).alias("w"), F.lit(name).alias("lang")) for name, c, w in refs]))
+        numbers = lambda x: F.array(*[F.lit(q) for q in x])
+        measure = lambda c, w, last, half, name: F.struct(_distance(F.col("__classes"), c).alias("c"), _word_distance(n, w, last, half).alias("w"), name.alias("lang"))
+        df = df.withColumn("__each", F.array(*[measure(numbers(c), numbers(w), F.lit(w[-1]), F.lit(sum(w[:-1]) / 2), F.lit(name)) for name, c, w in refs[:INLINE]]))
+        if len(refs) > INLINE:
+            rest = [(name, c, w, w[-1], sum(w[:-1]) / 2) for name, c, w in refs[INLINE:]]
+            held = docs.sparkSession.createDataFrame([(rest,)], "__refs array<struct<lang:string,c:array<double>,w:array<double>,last:double,half:double>>")
+            df = df.crossJoin(F.broadcast(held))
+            df = df.withColumn("__each", F.concat("__each", F.transform("__refs", lambda r: measure(r["c"], r["w"], r["last"], r["half"], r["lang"]))))
         ranked = F.transform("__each", lambda x: F.struct(F.greatest(x["c"] / most_class, x["w"] / most_words).alias("worst"), x["lang"].alias("lang"), x["c"].alias("c"), x["w"].alias("w")))
         df = df.withColumn("__nearest", F.array_min(ranked))
     else:

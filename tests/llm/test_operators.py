@@ -309,6 +309,19 @@ def test_quality_rules_distance(spark):
     assert found[9]["word_distance"] == pytest.approx(np.sqrt((kl(p) + kl(other)) / 2), abs=1e-9)
 
 
+def test_every_language_has_a_reference(spark):
+    r = random.Random(5)
+    small = " ".join(r.choice(["kala", "suo", "mies", "vesi", "puu", "talo"]) + str(k) for k in range(2000))
+    other = lambda: " ".join(r.choice(["the", "of", "and", f"w{r.randrange(10**6)}x"]) for _ in range(3000))
+    rows = [(k, other(), f"l{k:02}") for k in range(quality_rules.INLINE + 8)] + [(100, small, "zz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    refs = quality_rules.references(df)
+    assert len(refs) == quality_rules.INLINE + 9
+    found = {x["doc_id"]: x for x in quality_rules.judge(df).collect()}
+    assert found[100]["kept"] and found[100]["class_distance"] < 1e-6 and found[100]["word_distance"] < 1e-6
+    assert all(x["kept"] != x["base_failed"] for x in found.values())
+
+
 def test_language(spark, docs, none):
     r = random.Random(2)
     makers = {"aa": "the of and shing tion ".split(), "bb": "der und schen keit ung ".split(), "cc": "les eaux tion que ment ".split()}
