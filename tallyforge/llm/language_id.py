@@ -1,8 +1,8 @@
 """Language identification by rank-order n-gram profiles and the out-of-place distance.
 
 A language's profile is the ``PROFILE`` most frequent 1- to 3-grams of letters in a bounded sample
-of its training documents, ``PER_LANGUAGE`` for each of at most ``LANGUAGES`` languages, those with
-the smallest hash of their id. A document's own most frequent n-grams are ranked in the same way,
+of its training documents, ``PER_LANGUAGE`` for each language, those with the
+smallest hash of their id; every language has a profile. A document's own most frequent n-grams are ranked in the same way,
 over its whole text; each adds how far its rank lies from the profile's rank, or ``PROFILE`` where
 the profile lacks it. The language with the least sum is predicted. The score is
 ``second / (best + second)`` of the two least sums, between 0.5 and 1; with one language known it
@@ -26,7 +26,6 @@ from .common import crc_mod5, small_batches, table, texts
 
 PROFILE = 300
 PER_LANGUAGE = 400
-LANGUAGES = 64
 SALTS = 32
 UNDETERMINED = "und"
 U8 = np.uint64
@@ -66,19 +65,23 @@ def ranked(hashes: np.ndarray, counts: np.ndarray, most: int = PROFILE) -> np.nd
 class Profiles:
     def __init__(self, by_language: dict[str, list[int]], size: int = PROFILE):
         self.names, self.size = sorted(by_language), size
-        self.grams = np.unique(np.array([g for n in self.names for g in by_language[n]], "u8"))
-        self.ranks = np.full((len(self.grams), len(self.names)), -1, "i4")
-        for k, name in enumerate(self.names):
-            self.ranks[np.searchsorted(self.grams, np.array(by_language[name], "u8")), k] = np.arange(len(by_language[name]))
+        # entries (gram, language, rank) sorted by gram: memory follows the profiles, not grams times languages
+        grams = np.array([g for n in self.names for g in by_language[n]], "u8")
+        langs = np.repeat(np.arange(len(self.names)), [len(by_language[n]) for n in self.names])
+        ranks = np.concatenate([np.zeros(0, "i8"), *[np.arange(len(by_language[n])) for n in self.names]])
+        order = np.argsort(grams, kind="stable")
+        self.grams, self.langs, self.ranks = grams[order], langs[order], ranks[order]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         own = ranked(*ngrams(text), self.size)
         if not len(own) or not self.names:
             return UNDETERMINED, 0.0
-        at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
-        ranks = np.where((self.grams[at] == own)[:, None], self.ranks[at], -1)
-        places = np.arange(len(own))[:, None]
-        sums = np.where(ranks < 0, self.size, np.abs(ranks - places)).sum(axis=0)
+        begins, ends = np.searchsorted(self.grams, own), np.searchsorted(self.grams, own, "right")
+        sizes = ends - begins
+        at = np.repeat(begins - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
+        places = np.repeat(np.arange(len(own)), sizes)
+        gains = self.size - np.abs(self.ranks[at] - places)
+        sums = self.size * len(own) - np.bincount(self.langs[at], gains, len(self.names)).astype("i8")
         best = int(np.argmin(sums))
         if len(self.names) == 1:
             return self.names[0], 1 - float(sums[0]) / (self.size * len(own))
@@ -98,12 +101,11 @@ def train(docs: DataFrame) -> Profiles:
     """Profiles from documents with a language; ``docs`` holds training documents only."""
     small_batches(docs.sparkSession)
     named = docs.where("lang is not null and doc_id is not null").select("doc_id", "lang", "text")
-    common = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
     chosen = named.select("doc_id", "lang", F.pmod(F.xxhash64(F.lit("salt"), "doc_id"), F.lit(SALTS)).alias("salt"))
     for keys in (["lang", "salt"], ["lang"]):  # a language that holds most rows is cut down in salted parts first
         order = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id")
         chosen = chosen.withColumn("k", F.row_number().over(order)).where(F.col("k") <= PER_LANGUAGE).drop("k")
-    keys = chosen.join(common, "lang").select("doc_id", "lang").distinct().limit(PER_LANGUAGE * LANGUAGES)  # the bound of what is broadcast
+    keys = chosen.select("doc_id", "lang").distinct()  # at most PER_LANGUAGE a language
     sample = named.join(F.broadcast(keys), ["doc_id", "lang"]).select("lang", "text")
     counts = sample.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # the same order as in ranked(): by count, then by the unsigned hash
@@ -128,7 +130,7 @@ def _predict(profiles):
 def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """``(doc_id, held_out, lang_pred, score)`` of every document; held out are ids whose crc32 is divisible by 5."""
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(profiles)  # at most LANGUAGES x PROFILE ranks
+    shared = docs.sparkSession.sparkContext.broadcast(profiles)  # PROFILE ranks a language
     items = docs.select("doc_id", "text", (crc_mod5("doc_id") == 0).alias("held_out"))
     kind = items.schema["doc_id"].dataType.simpleString()
     return items.mapInArrow(_predict(shared), f"doc_id {kind}, held_out boolean, lang_pred string, score double")

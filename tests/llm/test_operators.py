@@ -322,6 +322,19 @@ def test_every_language_has_a_reference(spark):
     assert all(x["kept"] != x["base_failed"] for x in found.values())
 
 
+def test_every_language_has_a_profile(spark):
+    r = random.Random(9)
+    rows, k = [], 0
+    for lang in range(70):
+        own = [chr(0x4E00 + 20 * lang + j) for j in range(20)]
+        for _ in range(3 if lang else 1):  # the first has the fewest documents
+            rows.append((k, " ".join("".join(r.choices(own, k=4)) for _ in range(30)), f"x{lang:02}"))
+            k += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {x["doc_id"]: x["lang_pred"] for x in language_id.identify(df, language_id.train(df)).collect()}
+    assert found == {d: lang for d, _, lang in rows}
+
+
 def test_language(spark, docs, none):
     r = random.Random(2)
     makers = {"aa": "the of and shing tion ".split(), "bb": "der und schen keit ung ".split(), "cc": "les eaux tion que ment ".split()}
