@@ -1,17 +1,18 @@
 """Layout-aware text of web pages.
 
 A tokenizer and a tree builder with implied tags (a list item ends an open one, a block ends an
-open paragraph, cells end cells, ...) turn any markup into a tree; unmatched end tags are ignored
-and elements below ``DEEPEST`` levels become children of the deepest one, so no text is lost.
-Visibility rules then drop what a browser does not show: head, scripts, styles, templates, elements
-that are hidden by attribute or inline style, closed details, options that are not selected. The
-renderer emits all other text: paragraphs and headings between blank lines, other blocks on lines
-of their own, list items with bullets or numbers and indentation, preformatted text as it stands,
-and tables with their cells padded to common column widths.
+open paragraph, cells end cells, ...) turn any markup into a tree of any depth; unmatched end tags
+are ignored. Visibility rules then drop what a browser does not show: head, scripts, styles,
+templates, elements that are hidden by attribute or inline style, closed details, options that are
+not selected, definitions and descriptions inside drawings and formulas. The renderer emits all
+other text, values of text inputs included: paragraphs and headings between blank lines, other
+blocks on lines of their own, list items with bullets or numbers and indentation, preformatted
+text as it stands, and tables with their cells padded to common column widths.
 
 Defined cases: a null page gives null, an empty or invisible one the empty string; pages of any
-length are read whole, in time linear in their length; rows that repeat give equal rows; other
-columns are ignored.
+length and depth are read whole, in time linear in their length (text inside nested tables is copied
+once for each of them); rows that repeat give equal rows; other columns are ignored. Indentation
+stops growing at ``MOST_INDENT`` columns.
 """
 
 from __future__ import annotations
@@ -19,20 +20,27 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import small_batches, table, texts
 
-DEEPEST = 200
+#: Columns of indentation at most; deeper lists and quotations are shown at this one.
+MOST_INDENT = 80
 #: Cells wider than this do not widen their column.
 WIDEST = 60
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
-UNSEEN = frozenset("head script style template noframes noembed iframe datalist object audio video canvas svg math area param".split())
+UNSEEN = frozenset("head script style template noframes noembed iframe datalist object audio video canvas area param".split())
+#: Parts of drawings and formulas that are not shown.
+UNSEEN_INSIDE = {"svg": frozenset("defs desc metadata symbol clippath marker mask pattern".split()), "math": frozenset("annotation annotation-xml".split())}
+#: Inputs that show no text of theirs.
+TEXTLESS_INPUTS = frozenset("hidden checkbox radio password file color range image".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr fieldset".split())
 BLOCKS = SPACED | frozenset("html body address article aside center details dialog dd dir div dt fieldset figcaption footer form header hgroup legend li main menu nav optgroup option section summary caption tr thead tbody tfoot".split())
 #: What the start of an element ends, and the elements that such an ending does not go beyond.
@@ -67,26 +75,39 @@ class Node:
 
 
 class Builder:
+    """The tree and its open elements; ``places`` holds the open places of each tag, so that no search walks the stack."""
+
     def __init__(self):
         self.root = Node("html")
         self.open = [self.root]
+        self.places: dict[str, list[int]] = {}
+
+    def _push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.open))
+        self.open.append(node)
+
+    def _cut(self, place: int) -> None:
+        """Ends the open elements from a place on."""
+        while len(self.open) > place:
+            self.places[self.open.pop().tag].pop()
+
+    def _innermost(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
 
     def text(self, text: str) -> None:
         if text:
             if self.open[-1].tag == "head" and text.strip():
-                self.open.pop()
+                self._cut(len(self.open) - 1)
             self.open[-1].children.append(text)
 
     def _close(self, tags: frozenset, until: frozenset) -> None:
         """Ends the open elements down to the outermost of ``tags`` inside the innermost of ``until``."""
-        found = None
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag in until:
-                break
-            if self.open[k].tag in tags:
-                found = k
-        if found:
-            del self.open[found:]
+        border, found = self._innermost(until), len(self.open)
+        for tag in tags:
+            held = self.places.get(tag)
+            if held and held[-1] > border:
+                found = min(found, held[bisect_right(held, border)])
+        self._cut(found)
 
     def start(self, tag: str, attrs: dict[str, str], empty: bool) -> None:
         if tag in ("html", "body"):
@@ -94,33 +115,41 @@ class Builder:
                 self._close(frozenset({"head"}), frozenset())
             self.root.attrs |= attrs
             return
+        if tag == "select" and self.places.get("select"):
+            self.end("select")  # a select inside a select only ends it
+            return
         if self.open[-1].tag == "head" and tag not in HEAD_ONLY:
-            self.open.pop()
+            self._cut(len(self.open) - 1)
         if tag in ENDS_P:
             self._close(frozenset({"p"}), SCOPE)
         if re.fullmatch("h[1-6]", tag) and re.fullmatch("h[1-6]", self.open[-1].tag):
-            self.open.pop()
+            self._cut(len(self.open) - 1)
         if tag in IMPLIED:
             self._close(*IMPLIED[tag])
+        if any(tag in unseen and self.places.get(outer) for outer, unseen in UNSEEN_INSIDE.items()):
+            attrs = attrs | {"hidden": ""}
         node = Node(tag, attrs)
         self.open[-1].children.append(node)
-        if tag not in VOID and not empty and len(self.open) < DEEPEST:
-            self.open.append(node)
+        if tag not in VOID and not empty:
+            self._push(node)
 
     def end(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                del self.open[k:]
-                return
-            if self.open[k].tag in ("table", "td", "th") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th"):
-                return
-        if tag == "br":
+        place = self._innermost([tag])
+        inside = tag in ("table", "tr", "tbody", "thead", "tfoot", "td", "th")
+        if place and (inside or place > self._innermost(("table", "td", "th"))):
+            self._cut(place)
+        elif tag == "br" and not place:
             self.start("br", {}, False)
 
 
+@lru_cache(maxsize=None)
+def end_of(tag: str) -> re.Pattern:
+    """The end tag of a raw element; letters of ASCII alone match in both cases."""
+    return re.compile(f"</{tag}(?=[\\s/>]|\\Z)", re.I | re.A)
+
+
 def parse(page: str) -> Node:
     builder, at = Builder(), 0
-    lowered = None
     while True:
         found = TAG.search(page, at)
         if not found:
@@ -136,12 +165,11 @@ def parse(page: str) -> Node:
             continue
         attrs = {m[0].lower(): html.unescape(m[1] or m[2] or m[3]) for m in ATTR.findall(found["attrs"])} if found["attrs"].strip() else {}
         builder.start(tag, attrs, bool(found["self"]) and tag not in BLOCKS and tag not in RAW)
-        if tag in RAW and builder.open[-1].tag == tag:
-            lowered = lowered if lowered is not None else page.lower() if len(page.lower()) == len(page) else page
-            stop = lowered.find(f"</{tag}", at)
-            raw = page[at:] if stop < 0 else page[at:stop]
+        if tag in RAW:
+            stop = end_of(tag).search(page, at)
+            raw = page[at:] if stop is None else page[at : stop.start()]
             builder.open[-1].children.append(html.unescape(raw) if tag in ("textarea", "title") else raw)
-            at = len(page) if stop < 0 else stop
+            at = len(page) if stop is None else stop.start()
         elif tag == "plaintext":
             builder.text(page[at:])
             return builder.root
@@ -151,7 +179,7 @@ def visible(node: Node) -> bool:
     attrs = node.attrs
     if node.tag in UNSEEN or "hidden" in attrs or (node.tag == "dialog" and "open" not in attrs):
         return False
-    if node.tag == "title" or (node.tag == "input" and attrs.get("type", "").lower() not in ("submit", "button", "reset")):
+    if node.tag == "title" or (node.tag == "input" and attrs.get("type", "").lower() in TEXTLESS_INPUTS):
         return False
     return not ("style" in attrs and HIDING.search(attrs["style"]))
 
@@ -206,55 +234,65 @@ class Renderer:
         self._flush()
         self.gap = max(self.gap, gap)
 
-    def children(self, node: Node, kept: bool) -> None:
+    def run(self, node: Node) -> None:
+        """Renders an element's children. The steps below are generators that hand over the steps inside them, so depth needs no call stack."""
+        steps = [self.children(node, False)]
+        while steps:
+            inner = next(steps[-1], None)
+            if inner is None:
+                steps.pop()
+            else:
+                steps.append(inner)
+
+    def children(self, node: Node, kept: bool) -> Iterator:
         for child in node.children:
             if isinstance(child, str):
                 self.words(child, kept)
             elif visible(child):
-                self.node(child, kept)
+                yield self.node(child, kept)
 
-    def node(self, node: Node, kept: bool) -> None:
+    def node(self, node: Node, kept: bool) -> Iterator:
         tag = node.tag
         if tag == "br":
             self._flush(force=not self.line)
         elif tag == "input":
             self.words(" " + node.attrs.get("value", "") + " ")
         elif tag == "select":
-            options = [c for c in _descendants(node) if c.tag == "option"]
+            options = _options(node)
             shown = [c for c in options if "selected" in c.attrs] or options[:1]
             for option in shown:
                 self.words(" ")
-                self.children(option, kept)
+                yield self.children(option, kept)
                 self.words(" ")
         elif tag in ("td", "th"):  # a cell outside a table
             self.words(" ")
-            self.children(node, kept)
+            yield self.children(node, kept)
             self.words(" ")
         elif tag == "table":
             self.block(2)
-            self.table(node)
+            yield self.table(node)
             self.block(2)
         elif tag == "details" and "open" not in node.attrs:
             self.block(1)
             for child in node.children:
                 if isinstance(child, Node) and child.tag == "summary" and visible(child):
-                    self.children(child, kept)
+                    yield self.children(child, kept)
             self.block(1)
         elif tag in ("ul", "ol", "menu", "dir"):
-            self.list(node, kept)
+            yield self.list(node, kept)
         elif tag in BLOCKS:
             gap = 2 if tag in SPACED else 1
             self.block(gap)
             held = self.indent
             if tag in ("blockquote", "dd"):
-                self.indent += "  "
-            self.children(node, kept or tag in ("pre", "textarea", "listing"))
+                self.indent = _at_most(self.indent + "  ")
+            yield self.children(node, kept or tag in ("pre", "textarea", "listing"))
             self.block(gap)
             self.indent = held
         else:
-            self.children(node, kept or tag == "textarea")
+            yield self.children(node, kept or tag == "textarea")
 
-    def list(self, node: Node, kept: bool) -> None:
+    def list(self, node: Node, kept: bool) -> Iterator:
         nested = self.indent != "" or self.bullet != ""
         self.block(1 if nested else 2)
         start = node.attrs.get("start", "1")
@@ -264,21 +302,21 @@ class Renderer:
                 self.words(child, kept)
             elif child.tag != "li":
                 if visible(child):
-                    self.node(child, kept)
+                    yield self.node(child, kept)
             elif visible(child):
                 self.block(1)
                 mark = f"{number}. " if node.tag == "ol" else "- "
                 held = self.indent
-                self.bullet, self.indent = held + mark, held + " " * len(mark)
-                self.children(child, kept)
+                self.bullet, self.indent = held + mark, _at_most(held + " " * len(mark))
+                yield self.children(child, kept)
                 self.block(1)
                 self.bullet, self.indent = "", held
                 number += 1
         self.block(1 if nested else 2)
 
-    def table(self, node: Node) -> None:
+    def table(self, node: Node) -> Iterator:
         for caption in [c for c in node.children if isinstance(c, Node) and c.tag == "caption" and visible(c)]:
-            self.children(caption, False)
+            yield self.children(caption, False)
             self.block(1)
         rows: list[list[str]] = []
         loose = Node("div")
@@ -288,7 +326,7 @@ class Renderer:
                 if isinstance(cell, Node) and cell.tag in ("td", "th"):
                     if visible(cell):
                         inner = Renderer()
-                        inner.children(cell, False)
+                        yield inner.children(cell, False)
                         cells.append(" / ".join(x for x in (line.strip() for line in inner.finish().split("\n")) if x))
                         span = cell.attrs.get("colspan", "1")
                         cells += [""] * (min(int(span), 1000) - 1 if re.fullmatch(r"[1-9]\d{0,3}", span) else 0)
@@ -296,7 +334,7 @@ class Renderer:
                     loose.children.append(cell)
             rows.append(cells)
         if loose.children:
-            self.children(loose, False)
+            yield self.children(loose, False)
             self.block(1)
         columns = max(map(len, rows), default=0)
         widths = [max((w for r in rows if k < len(r) and (w := width(r[k])) <= WIDEST), default=0) for k in range(columns)]
@@ -316,11 +354,19 @@ class Renderer:
         return "\n".join(lines)
 
 
-def _descendants(node: Node) -> Iterator[Node]:
-    for child in node.children:
-        if isinstance(child, Node) and visible(child):
-            yield child
-            yield from _descendants(child)
+def _at_most(indent: str) -> str:
+    return indent[:MOST_INDENT]
+
+
+def _options(node: Node) -> list[Node]:
+    """The options below an element in their order, without what is hidden."""
+    out, waiting = [], [node]
+    while waiting:
+        own = waiting.pop()
+        if own.tag == "option":
+            out.append(own)
+        waiting += [c for c in reversed(own.children) if isinstance(c, Node) and visible(c)]
+    return out
 
 
 def _rows(node: Node, loose: Node) -> Iterator[Node]:
@@ -348,7 +394,7 @@ def page_text(page: str | None) -> str | None:
     if page is None:
         return None
     renderer = Renderer()
-    renderer.children(parse(page), False)
+    renderer.run(parse(page))
     return renderer.finish()
 
 

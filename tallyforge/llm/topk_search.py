@@ -1,22 +1,26 @@
 """Exact top-k inner products without random access.
 
 Vectors are quantised to integers. Each task turns its candidates into blocks; a block has one
-sorted list per dimension. A query reads the lists sequentially from their good ends (the high end
-where its component is positive, the low end where it is negative) and keeps bounds for each
-candidate: what it has read of it, plus for each unread dimension the list's frontier (upper) or
-its far end (lower). Once no candidate outside the read parts can reach the k-th best score, those
-whose upper bound falls short are left, and the few others get their final scores. The k-th best
-score goes from block to block of a task, so later blocks stop early; the tasks' best are merged
-by Spark.
-
-Queries are broadcast in rounds of at most ``ROUND`` vectors, a fixed bound; each round scans the
-candidates once. Bounds are computed in doubles where all sums are exact in them; otherwise every
-score is computed in integers. Scores have to fit a long.
+sorted list per dimension. A query reads all lists in step from their good ends (the high end
+where its component is positive, the low end where it is negative). For each candidate it keeps
+a lower bound (what it has read of it, and the far end of each list in which it has not yet met
+it) and an upper bound (the same with the lists' frontiers). The threshold is the k-th best score
+of earlier blocks or the k-th largest lower bound, whichever is higher. Reading stops once nobody
+outside the read parts can reach it and few candidates still can; their scores are then resolved
+by reading on, past everybody else, to the ends of the lists. No score is ever looked up by id.
+The k-th best score goes from block to block of a task; the tasks' best are merged by Spark.
+
+Queries are collected and broadcast in rounds of at most ``ROUND`` vectors and ``ROUND_BYTES``
+bytes, in the order of their ids; with more than one round, each round's answers are written to
+the shared folder before the next begins, so the driver never holds more than one. Every pair of a
+query and a candidate's block is work: the searches are exact for any data. Sums are kept in
+doubles where they are exact in them; otherwise bounds get a margin and scores are resolved in
+integers. Scores have to fit a long.
 
 Defined cases: vectors that are null, or hold a null or a non-finite component, take no part, and
 neither do rows with a null id or empty vectors; only vectors of one length are compared; rows that
 repeat an id are all candidates, but never for a query with that id; an id that repeats as a query
-is answered once, from its least vector. Ties go to the smaller id.
+is answered once, from its least vector. Ties go to the smaller id. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,51 +32,85 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..shipping import ship
-from .common import table
+from .common import fresh_path, stored, table
 
 K = 5
 SCALE = 256.0
 BLOCK = 4096
 ROUND = 1 << 15
-#: Parts of the lists at which a query may stop.
-DEPTHS = (16, 8, 4, 3, 2)
+ROUND_BYTES = 64 << 20
+#: Parts of the lists after whose reading the bounds are brought up to date; the last is their end.
+DEPTHS = (32, 16, 8, 4, 2, 1)
+#: Reading stops where no more than this part of a block can still be among the best.
+FEW = 16
+
+
+def _sums(places: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of values by place; integers stay integers."""
+    if values.dtype.kind == "f":
+        return np.bincount(places, values, n)
+    out = np.zeros(n, values.dtype)
+    np.add.at(out, places, values)
+    return out
 
 
 class Block:
-    """Quantised candidates of one length with a sorted list per dimension."""
+    """Quantised candidates of one length as a sorted list per dimension, from both ends."""
 
     def __init__(self, ids: np.ndarray, values: np.ndarray):
-        self.ids, self.values = ids, values
-        n = len(ids)
-        order = np.argsort(values, axis=0, kind="stable").T.copy()
-        up = np.take_along_axis(values.T, order, axis=1).astype("f8")
+        self.ids = ids
+        order = np.argsort(values, axis=0, kind="stable").T.astype("i4")
+        up = np.take_along_axis(values.T, order, axis=1)
         self.order = np.stack([order, order[:, ::-1]])  # from the low and from the high end
         self.lists = np.stack([up, up[:, ::-1]])
-        self.depths = sorted({max(1, n // p) for p in DEPTHS})
-
-    def candidates(self, query: np.ndarray, least: float, k: int, own: int | None = None) -> np.ndarray:
-        """Places of the candidates that may score ``least`` or more, rows with the id ``own`` left out; sequential reads only."""
-        others = self.ids != own if own is not None else np.ones(len(self.ids), bool)
+        self.floats = self.lists.astype("f8")
+        self.largest = float(np.abs(values).max(initial=0))
+        self.depths = sorted({max(1, len(ids) // p) for p in DEPTHS})
+        #: Entries read in step and while resolving, of all queries.
+        self.read, self.resolved = 0, 0
+
+    def best(self, query: np.ndarray, own: int | None, k: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """Places and scores of at least all candidates that are among the k best and score ``least`` or more; rows with the id ``own`` are left out."""
+        n, dims = len(self.ids), np.arange(len(query))
         ends = (query > 0).astype("i8")
-        dims = np.arange(len(query))
-        lists = self.lists[ends, dims]
-        fronts = query @ lists[:, [d - 1 for d in self.depths]]
-        stops = np.flatnonzero(fronts < least)
-        if not len(stops):
-            return np.flatnonzero(others)
-        for at in stops.tolist():
-            depth, front = self.depths[at], fronts[at]
-            frontier = lists[:, depth - 1 : depth]
-            gains = query[:, None] * (lists[:, :depth] - frontier)
-            upper = front + np.bincount(self.order[ends, dims, :depth].ravel(), gains.ravel(), len(self.ids))
-            rest = upper[others]  # the own rows are no results, so they must not stand for one of the k
-            if len(rest) >= k:
-                gap = float(query @ (frontier[:, 0] - lists[:, -1]))  # no lower bound is further below its upper bound
-                least = max(least, float(np.partition(rest, -k)[-k]) - gap)
-            found = np.flatnonzero((upper >= least) & others)
-            if len(found) <= len(self.ids) // 8:
+        order, lists = self.order[ends, dims], self.floats[ends, dims]
+        largest = self.largest * float(np.abs(query).max(initial=0)) * max(len(query), 1)
+        margin = 0.0 if largest < 2**51 else largest * len(query) * 2.0**-50
+        weights = query.astype("f8")[:, None]
+        others = self.ids != own if own is not None else np.ones(n, bool)
+        far = lists[:, -1:]
+        lower, done = np.full(n, float(weights[:, 0] @ far[:, 0])), 0
+        for depth in self.depths:
+            part = slice(done, depth)
+            lower += np.bincount(order[:, part].ravel(), (weights * (lists[:, part] - far)).ravel(), n)
+            self.read += len(query) * (depth - done)
+            done = depth
+            # what a list may still add to a candidate that it has not shown yet
+            room = weights[:, 0] * (lists[:, depth - 1] - far[:, 0])
+            met = np.bincount(order[:, :depth].ravel(), np.repeat(room, depth), n)
+            upper = lower + (room.sum() - met)
+            rivals = lower[others]  # the own rows are no results, so they must not stand for one of the k
+            if len(rivals) >= k:
+                least = max(least, float(np.partition(rivals, -k)[-k]) - margin)
+            front = float(weights[:, 0] @ lists[:, depth - 1])
+            alive = (upper >= least - margin) & others
+            if depth == n or (front < least - margin and np.count_nonzero(alive) <= max(2 * k, n // FEW)):
                 break
-        return found
+        found = np.flatnonzero(alive)
+        return found, self._resolve(query, ends, dims, alive, lower, done, margin)[found]
+
+    def _resolve(self, query, ends, dims, alive, lower, done, margin) -> np.ndarray:
+        """Scores of the living: what is left of the lists is read in order, and only entries of theirs count."""
+        if not margin:
+            order, rest = self.order[ends, dims, done:], self.floats[ends, dims, done:] - self.floats[ends, dims, -1:]
+            scores, weights = lower, query.astype("f8")
+        else:  # sums of doubles are not exact: read all in integers
+            order, rest = self.order[ends, dims], self.lists[ends, dims]
+            scores, weights = np.zeros(len(alive), "i8"), query
+        hit = alive[order]
+        self.resolved += int(np.count_nonzero(hit))
+        dim = np.broadcast_to(dims[:, None], order.shape)[hit]
+        return (scores + _sums(order[hit], weights[dim] * rest[hit], len(alive))).astype("i8")
 
 
 class Best:
@@ -83,29 +121,11 @@ class Best:
         self.found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, "i8"), np.zeros(0, "i8")) for _ in query_ids]
 
     def add(self, block: Block) -> None:
-        top = float(np.abs(block.values).max(initial=0)) * float(np.abs(self.queries).max(initial=0)) * block.values.shape[1]
-        exact = top < 2**51
-        values = block.values.astype("f8") if exact else block.values
-        whole = None
         for j, (query, own) in enumerate(zip(self.queries, self.query_ids.tolist(), strict=True)):
             scores, ids = self.found[j]
-            if len(scores) < self.k or not exact:
-                if whole is None:
-                    whole = values @ (self.queries.T.astype("f8") if exact else self.queries.T)
-                at, new = np.arange(len(block.ids)), whole[:, j].astype("i8")
-            else:
-                at = block.candidates(query.astype("f8"), float(scores[-1]), self.k, own)
-                new = (values[at] @ query).astype("i8")
-            keep = block.ids[at] != own
-            new, named = new[keep], block.ids[at][keep]
-            if len(scores) == self.k:
-                hit = new >= scores[-1]
-                new, named = new[hit], named[hit]
-            elif len(new) > 4 * self.k:
-                hit = new >= np.partition(new, -self.k)[-self.k]
-                new, named = new[hit], named[hit]
-            if len(new):
-                scores, ids = np.r_[scores, new], np.r_[ids, named]
+            at, new = block.best(query, own, self.k, float(scores[-1]) if len(scores) == self.k else -np.inf)
+            if len(at):
+                scores, ids = np.r_[scores, new], np.r_[ids, block.ids[at]]
                 order = np.lexsort((ids, -scores))[: self.k]
                 self.found[j] = scores[order], ids[order]
 
@@ -171,22 +191,27 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     pick = lambda df: df.where("vec_id is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     candidates = pick(vectors)
     packed = pick(queries).mapInArrow(_pack, "size long, vec_id long, vector binary").groupBy("vec_id").agg(F.min_by(F.struct("size", "vector"), F.struct("size", "vector")).alias("q"))
-    packed = packed.select("vec_id", "q.size", "q.vector")
-    n = packed.count()
-    rounds = -(-n // ROUND)
-    parts = []
-    for r in range(rounds):
-        own = packed.where(F.pmod(F.xxhash64("vec_id"), F.lit(rounds)) == r) if rounds > 1 else packed
+    packed = stored(packed.select("vec_id", "q.size", "q.vector"), "queries")
+    n, longest = packed.agg(F.count("*"), F.max("size")).first()
+    most = max(1, min(ROUND, ROUND_BYTES // (8 * (longest or 1))))
+    schema, answers, after = "query_id long, vec_id long, score long", f"{fresh_path(spark, 'answers')}", None
+    found = spark.createDataFrame([], schema)
+    while n:
+        own = packed if after is None else packed.where(F.col("vec_id") > after)
+        rows = own.orderBy("vec_id").limit(most).collect()  # at most ROUND_BYTES
+        if not rows:
+            break
         by_size: dict[int, list] = {}
-        for row in own.orderBy("vec_id").collect():
+        for row in rows:
             by_size.setdefault(row["size"], []).append((row["vec_id"], np.frombuffer(bytes(row["vector"]), "<i8")))
-        held = {size: (np.array([i for i, _ in rows]), np.stack([v for _, v in rows])) for size, rows in by_size.items()}
-        parts.append(candidates.mapInArrow(_search(spark.sparkContext.broadcast(held), k), "query_id long, vec_id long, score long"))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+        held = spark.sparkContext.broadcast({size: (np.array([i for i, _ in part]), np.stack([v for _, v in part])) for size, part in by_size.items()})
+        found = candidates.mapInArrow(_search(held, k), schema)
+        after = rows[-1]["vec_id"]
+        if n <= most:
+            break
+        found.write.mode("append").parquet(answers)
+        held.destroy()
+        found = spark.read.schema(schema).parquet(answers)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

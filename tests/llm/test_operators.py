@@ -390,14 +390,54 @@ def test_top_k(spark):
     assert topk_search.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
-def test_bounds_drop_candidates():
-    rng = np.random.default_rng(2)
-    values = np.floor(256 * rng.normal(0, 0.2, (3000, 32))).astype("i8")
-    block = topk_search.Block(np.arange(3000), values)
-    query = values[17].astype("f8")
-    scores = np.sort(values @ values[17])
-    near = block.candidates(query, float(scores[-6]), 5)
-    assert set(np.flatnonzero(values @ values[17] >= scores[-6])) <= set(near.tolist()) and len(near) < 1500
+def _brute(values, ids, query, own, k):
+    scores = values @ query
+    order = [x for x in np.lexsort((ids, -scores)).tolist() if ids[x] != own][:k]
+    return [(int(scores[x]), int(ids[x])) for x in order]
+
+
+@pytest.mark.parametrize("kind", ["dense", "peaked", "large", "ties"])
+def test_lists_are_read_with_bounds(kind):
+    r = np.random.default_rng(2)
+    n, dims, k = 700, 12, 5
+    values = np.floor(256 * r.normal(0, 0.2, (n, dims))).astype("i8")
+    if kind == "peaked":  # few large components: reading stops early
+        values = np.where(r.random((n, dims)) < 0.1, 5000, values // 64)
+    if kind == "large":  # sums are not exact in doubles
+        values = values * 3_000_000 + r.integers(0, 1000, (n, dims))
+    if kind == "ties":
+        values = np.sign(values)
+    ids = r.permutation(n)
+    block = topk_search.Block(ids, values)
+    for j in range(40):
+        places, scores = block.best(values[j], int(ids[j]), k)
+        found = sorted(zip((-scores).tolist(), ids[places].tolist(), strict=True))[:k]
+        assert [(-s, i) for s, i in found] == _brute(values, ids, values[j], ids[j], k)
+    whole = 40 * n * dims
+    assert 0 < block.read <= whole and block.resolved <= whole
+    if kind == "peaked":
+        assert block.read + block.resolved < whole  # some lists were not read to their ends
+
+
+def test_top_k_rounds_and_blocks(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    vectors = [(k, r.normal(0, 0.2, 8).tolist(), "x") for k in range(500)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>, score string").repartition(2)
+    once = sorted(map(tuple, topk_search.top_k(df, df.where("vec_id % 50 = 0")).collect()))
+    monkeypatch.setattr(topk_search, "ROUND", 3)
+    assert sorted(map(tuple, topk_search.top_k(df, df.where("vec_id % 50 = 0")).collect())) == once
+    values = np.floor(256 * np.array([v for _, v, _ in vectors])).astype("i8")
+    ids = np.arange(500)
+    best = topk_search.Best(ids[::50], values[::50], 5)
+    reads = 0
+    for a in range(0, 500, 64):  # several blocks in one task
+        block = topk_search.Block(ids[a : a + 64], values[a : a + 64])
+        best.add(block)
+        reads += block.read
+    assert reads > 0
+    want = [(q, n + 1, i, s) for q in ids[::50].tolist() for n, (s, i) in enumerate(_brute(values, ids, values[q], q, 5))]
+    got = [(q, n + 1, int(i), int(s)) for q, (scores, found) in zip(ids[::50].tolist(), best.found, strict=True) for n, (s, i) in enumerate(zip(scores, found, strict=True))]
+    assert got == want == once
 
 
 def test_top_k_own_rows_in_later_blocks():
@@ -418,7 +458,7 @@ def test_top_k_own_rows_in_later_blocks():
     # one block, k = 1: the query's own row is by far the best and its upper bound must not cut the best of the others
     sparse = np.zeros((1000, 8), "i8")
     sparse[7], sparse[8] = 1000, 10
-    assert 8 in topk_search.Block(np.arange(1000), sparse).candidates(np.full(8, 1000.0), 1.0, 1, 7).tolist()
+    assert 8 in topk_search.Block(np.arange(1000), sparse).best(np.full(8, 1000), 7, 1, 1.0)[0].tolist()
 
 
 def test_html():
@@ -436,6 +476,61 @@ def test_html():
     assert text("".join(f"<p>{h.escape(p)}" for p in paragraphs)) == "\n\n".join(paragraphs)
 
 
+def _tree(r, depth):
+    """A random well-formed page part with the words that it shows, and a marker for what it hides."""
+    out, shown = [], []
+    for _ in range(r.randint(1, 4)):
+        word = "".join(r.choice("abcdefgh") for _ in range(r.randint(1, 6)))
+        kind = r.choice(["text", "div", "b", "section", "hidden", "none", "script", "comment", "ul", "details", "svg", "table"])
+        inner, words = _tree(r, depth - 1) if depth else (word, [word])
+        if kind == "text":
+            out.append(f" {word} ")
+            shown.append(word)
+        elif kind in ("div", "section", "b"):
+            out.append(f"<{kind.upper() if r.random() < 0.3 else kind} class='x>y'>{inner}</{kind}>")
+            out.append(" ")
+            shown += words
+        elif kind == "hidden":
+            out.append(f"<div hidden>{inner}</div>")
+        elif kind == "none":
+            out.append(f'<span style="color:red; Display: NONE">{inner}</span> ')
+        elif kind == "script":
+            out.append(f"<script>if (a<b) '{word}' </scrip </SCRIPT >")
+        elif kind == "comment":
+            out.append(f"<!-- {word} <b> -->")
+        elif kind == "ul":
+            out.append(f"<ul><li> {inner} </ul>")
+            shown += ["-", *words]
+        elif kind == "details":
+            out.append(f"<details><summary>{word}</summary>{inner}</details>")
+            shown.append(word)
+        elif kind == "svg":
+            out.append(f" <svg><desc>no</desc><text>{word}</text></svg> ")
+            shown.append(word)
+        elif kind == "table":
+            out.append(f"<table><tr><td>{word}<td>z{word}</table>")
+            shown += [word, f"z{word}"]
+    return "".join(out), shown
+
+
+def test_html_generated_pages():
+    r = random.Random(11)
+    for _ in range(300):
+        page, shown = _tree(r, r.randint(0, 4))
+        deep = r.choice([0, 0, 250])
+        text = html_text.page_text("<div>" * deep + page + "</div>" * deep)
+        assert [w for w in text.split() if w != "-"] == [w for w in shown if w != "-"], page  # an item that begins with a list shows one bullet
+
+
+def test_html_former_limits():
+    text = html_text.page_text
+    assert text("<div>" * 205 + "<script>var x=1</script><p hidden>h</p>v") == "v"
+    assert text("\u0130 <SCRIPT>var x</SCRIPT>visible text") == "\u0130 visible text"
+    assert text("<math><mi>x</mi><annotation>no</annotation></math><input value=abc><input type=hidden value=no>").split() == ["x", "abc"]
+    assert text("<script>a</\u017fcript></script>b") == "b"  # letters of ASCII alone match without case
+    assert text("<ul><li>" * 5000 + "x").endswith("- x")
+
+
 def test_html_query(spark):
     df = spark.createDataFrame([(1, "u", "<p>x"), (2, "u", None), (2, "u", None)], "page_id long, url string, html string")
     assert sorted(((r["page_id"], r["text"]) for r in html_text.extract(df).collect()), key=repr) == [(1, "x"), (2, None), (2, None)]
