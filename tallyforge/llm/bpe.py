@@ -8,7 +8,7 @@ direct-mapped table of known verdicts; unknown pairs are merged once and entered
 a failing pair are merged exactly.
 
 Nulls: a null text is the empty text, with no tokens. Texts of any length are coded whole; white
-space alone gives no tokens. Rows that repeat give equal rows; other columns are ignored.
+space alone gives no tokens. A tokenizer of another form than byte-level BPE is refused with an error. Rows that repeat give equal rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import small_batches, table, texts
-from .tokens import LibraryCoder, WordIds, as_letters, byte_letters, default_tokenizer, load, settings
+from .tokens import WordIds, byte_letters, default_tokenizer, load, settings
 
 #: Slots of the table of pair verdicts, a power of two.
 PAIR_SLOTS = 1 << 20
@@ -33,7 +33,7 @@ NEVER = 1 << 40
 
 
 class SpeculativeCoder:
-    """Ids of pieces (see ``tokens.PIECES``) for a byte-level BPE with a word-end suffix."""
+    """Ids of pieces (see ``tokens.PIECES``), a letter for each byte, for a byte-level BPE with a word-end suffix."""
 
     def __init__(self, path: str, slots: int = PAIR_SLOTS):
         model = settings(path)["model"]
@@ -127,8 +127,7 @@ class SpeculativeCoder:
         return out == GOOD
 
     def ids(self, pieces: Sequence[str]) -> list[list[int]]:
-        letters = [as_letters(p) for p in pieces]
-        guesses = [self.guess(p) for p in letters]
+        guesses = [self.guess(p) for p in pieces]
         sizes = np.fromiter(map(len, guesses), "i8", len(guesses))
         flat = np.fromiter((i for g in guesses for i in g), "i8", int(sizes.sum()))
         owner = np.repeat(np.arange(len(guesses)), sizes)
@@ -137,25 +136,17 @@ class SpeculativeCoder:
         failing.update(k for k in np.flatnonzero(sizes == 1).tolist() if not self.stays(guesses[k][0]))
         self.merged += len(failing)
         for k in failing:
-            guesses[k] = self.exact(self.symbols(letters[k], True))
+            guesses[k] = self.exact(self.symbols(pieces[k], True))
         return guesses
 
 
-def coder_of(path: str):
-    """The speculative coder where it knows the vocabulary's form, else the library's model."""
-    try:
-        return SpeculativeCoder(path)
-    except (KeyError, ValueError):
-        return LibraryCoder(path)
-
-
 KINDS = {"n_tokens": "long", "token_ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
 
 
 def _columns(path: str, wanted: tuple[str, ...], kinds: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load(path)
-        coder = WordIds(path, coder_of(path))
+        coder = WordIds(path, SpeculativeCoder(path))
         size = tokenizer.get_vocab_size(with_added_tokens=True)
         decimal, strings = [str(i) for i in range(size)], [tokenizer.id_to_token(i) or "" for i in range(size)]
         joins = settings(path).get("decoder") is None

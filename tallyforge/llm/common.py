@@ -42,14 +42,16 @@ def small_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it on a cluster; only where that is unset, as in
-    tests on one machine, a folder of this process is made and set.
+    ``spark.checkpoint.dir`` names it on a cluster. Only where that is unset and all runs in this
+    process, as in tests, a folder is made and set; a cluster without the setting is refused.
     """
     held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not held:
         set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_before.isDefined():
             return set_before.get()
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         held = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(held)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -78,6 +80,30 @@ def free_disk(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: A key of more than this part of all rows is hot; there can be no more hot keys than ``HOT_PART``.
+HOT_PART = 4096
+#: Keys of fewer rows are never hot.
+HOT_LEAST = 64
+#: Tasks over which a hot key's rows are dealt.
+DEALT = 32
+
+
+def dealt_join(rows: DataFrame, keys: DataFrame, on: list[str], by: str) -> DataFrame:
+    """Inner join of ``rows`` with a table of unique ``keys`` that has in ``n`` how many of ``rows`` each key has.
+
+    The rows of hot keys are dealt over ``DEALT`` tasks by the hash of column ``by``, and their entries of
+    ``keys`` are repeated for each. Only the hot keys are broadcast, at most ``HOT_PART`` of them as
+    each has more than that part of the rows. ``keys`` is read twice, so it is best a stored table.
+    """
+    total = keys.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") > max(total // HOT_PART, HOT_LEAST)
+    deal, mark = free_name(rows.join(keys.limit(0), on), "deal"), free_name(rows, "mark")
+    marked = rows.join(F.broadcast(keys.where(hot).select(*on, F.lit(True).alias(mark))), on, "left")
+    dealt = marked.withColumn(deal, F.when(F.col(mark), F.pmod(F.xxhash64(F.lit(deal), by), F.lit(DEALT))).otherwise(0).cast("int")).drop(mark)
+    each = keys.withColumn(deal, F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(DEALT - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(each, [*on, deal]).drop(deal, "n")
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

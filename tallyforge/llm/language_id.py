@@ -26,7 +26,9 @@ from .common import crc_mod5, small_batches, table, texts
 
 PROFILE = 300
 PER_LANGUAGE = 400
-SALTS = 32
+#: Languages of more than this part of all rows are hot; there can be no more of them.
+HOT_PART = 1024
+MARGIN = 4
 UNDETERMINED = "und"
 U8 = np.uint64
 MULTIPLIERS = [U8(0x9E3779B97F4A7C15), U8(0xC2B2AE3D27D4EB4F), U8(0x165667B19E3779F9)]
@@ -101,16 +103,23 @@ def train(docs: DataFrame) -> Profiles:
     """Profiles from documents with a language; ``docs`` holds training documents only."""
     small_batches(docs.sparkSession)
     named = docs.where("lang is not null and doc_id is not null").select("doc_id", "lang", "text")
-    chosen = named.select("doc_id", "lang", F.pmod(F.xxhash64(F.lit("salt"), "doc_id"), F.lit(SALTS)).alias("salt"))
-    for keys in (["lang", "salt"], ["lang"]):  # a language that holds most rows is cut down in salted parts first
-        order = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id")
-        chosen = chosen.withColumn("k", F.row_number().over(order)).where(F.col("k") <= PER_LANGUAGE).drop("k")
+    order = F.xxhash64("doc_id")
+    sizes = named.groupBy("lang").agg(F.count("*").alias("n")).cache()
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    # a hot language, one of at most HOT_PART, is cut by its hash to some MARGIN times the rows wanted before a task gets its rest
+    hot = sizes.where(F.col("n") > max(total // HOT_PART, MARGIN * PER_LANGUAGE))
+    bound = (F.lit(float(2**64)) * (MARGIN * PER_LANGUAGE) / F.col("n") - F.lit(float(2**63))).cast("long")
+    bounds = F.broadcast(hot.select("lang", bound.alias("bound")))
+    few = named.select("doc_id", "lang").join(bounds, "lang", "left").where(F.col("bound").isNull() | (order <= F.col("bound"))).drop("bound")
+    best = Window.partitionBy("lang").orderBy(order, "doc_id")
+    chosen = few.withColumn("k", F.row_number().over(best)).where(F.col("k") <= PER_LANGUAGE).drop("k")
     keys = chosen.select("doc_id", "lang").distinct()  # at most PER_LANGUAGE a language
     sample = named.join(F.broadcast(keys), ["doc_id", "lang"]).select("lang", "text")
     counts = sample.mapInArrow(_count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # the same order as in ranked(): by count, then by the unsigned hash
     best = Window.partitionBy("lang").orderBy(F.desc("n"), F.col("gram") < 0, "gram")
     top = counts.withColumn("k", F.row_number().over(best)).where(F.col("k") <= PROFILE).orderBy("lang", "k").collect()
+    sizes.unpersist()
     by_language: dict[str, list[int]] = {}
     for row in top:
         by_language.setdefault(row["lang"], []).append(row["gram"] % (1 << 64))

@@ -4,10 +4,14 @@ A fingerprint has 64 bits over the XXH64 hashes of a text's word shingles. It is
 bit counts of its 32 segments of two bits; the Manhattan distance of two embeddings never exceeds
 the fingerprints' Hamming distance. Range join in the grid of embeddings: the 32 dimensions form
 six blocks, and two embeddings within distance ``MOST`` = 3 agree in at least three blocks, so
-each distinct fingerprint enters 20 cells, one for each choice of three blocks. Within a cell the
-Manhattan distance drops pairs, and an exact Hamming test decides. A cell never gives all its
-pairs: it gives a spanning forest of its links, found row by row in arrays, at most one link a
-fingerprint. Equal fingerprints are one node throughout. Components follow from the links.
+each distinct fingerprint enters 20 cells, one for each choice of three blocks. A cell of more than
+``FULL`` fingerprints is split: of the dimensions that it leaves free, cut into four new blocks, two
+embeddings within distance 3 agree in at least one, so its fingerprints enter four finer cells each.
+This goes on until cells are small or hardly a dimension is free; what is then still full holds
+fingerprints that differ only in few segments, and is split by blocks of the fingerprints' own bits.
+Within a cell the Manhattan distance drops pairs, and an exact Hamming test decides. A cell never
+gives all its pairs: it gives a spanning forest of its links, found row by row in arrays, at most one
+link a fingerprint. Equal fingerprints are one node throughout. Components follow from the links.
 
 Defined cases: a null or wordless text has fingerprint zero and is linked like any other; a text
 with fewer words than a shingle is one shingle. Documents with a null id take part, but never
@@ -41,8 +45,25 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def _bits(segments) -> int:
+    return sum(3 << 2 * k for k in segments)
+
+
 #: The bits of every choice of three blocks.
-MASKS = [_signed(sum(((1 << 2 * (b - a)) - 1) << 2 * a for a, b in three)) for three in combinations(BLOCKS, 3)]
+MASKS = [_signed(_bits(k for a, b in three for k in range(a, b))) for three in combinations(BLOCKS, 3)]
+#: Fingerprints of a cell that are compared with each other; fuller cells are split.
+FULL = 2048
+#: Times that full cells are split over the cluster.
+SPLITS = 3
+
+
+def finer(mask: int) -> list[int]:
+    """The masks of a full cell's four finer cells; the same mask where less than a block of two segments each is free."""
+    free = [k for k in range(32) if not mask >> 2 * k & 3]
+    if len(free) < 8:
+        return [mask]
+    cuts = [len(free) * k // 4 for k in range(5)]
+    return [_signed((mask & (1 << 64) - 1) | _bits(free[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -110,6 +131,19 @@ def forest(prints: np.ndarray, most: int = MOST) -> tuple[np.ndarray, np.ndarray
     return prints[np.array(left, "i8")], prints[np.array(right, "i8")]
 
 
+def linked(prints: np.ndarray, most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what lies within ``most`` = 3 bits; a full cell is cut by each of four blocks of 16 bits, one of which such a pair shares."""
+    if len(prints) <= FULL:
+        return forest(prints, most)
+    found = []
+    for shift in range(0, 64, 16):
+        block = (prints >> np.uint64(shift)) & np.uint64(0xFFFF)
+        order = np.argsort(block, kind="stable")
+        begins = np.flatnonzero(np.r_[True, block[order][1:] != block[order][:-1]])
+        found += [forest(prints[part], most) for part in np.split(order, begins[1:]) if len(part) > 1]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (prints[:0], prints[:0])
+
+
 def _links(most: int):
     """Reads rows sorted by cell and gives each cell's links; a cell may go over batches."""
 
@@ -126,7 +160,7 @@ def _links(most: int):
             near = manhattan(embedding(a), embedding(b)) <= most
             near[near] = np.bitwise_count(a[near] ^ b[near]) <= most
             out = [(a[near], b[near])]
-            out += [forest(prints[k : k + s], most) for k, s in zip(begins[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True)]
+            out += [linked(prints[k : k + s], most) for k, s in zip(begins[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True)]
             u, v = (np.concatenate(x) for x in zip(*out, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(u.view("i8")), pa.array(v.view("i8"))], ["u", "v"]) if len(u) else None
 
@@ -149,14 +183,34 @@ def _links(most: int):
     return run
 
 
-def near_links(distinct: DataFrame) -> DataFrame:
-    """Links ``(u, v)`` that connect all of the distinct ``print`` values within three bits of each other."""
-    ship(distinct.sparkSession)
+def _entered(rows: DataFrame, masks: dict[int | None, list[int]]) -> DataFrame:
+    """``(which, cell, print)`` of rows ``(which, print)`` that enter the cells of the masks that stand for their ``which``."""
     pairs = F.lit(PAIRS)
     high, low = F.shiftrightunsigned("print", 1).bitwiseAND(pairs), F.col("print").bitwiseAND(pairs)
     vector = F.shiftleft(high.bitwiseAND(low), 1).bitwiseOR(high.bitwiseXOR(low))
-    cells = F.array(*[F.struct(F.lit(k).cast("long").alias("which"), F.col("vector").bitwiseAND(F.lit(m)).alias("cell")) for k, m in enumerate(MASKS)])
-    rows = distinct.select("print", vector.alias("vector")).select("print", F.explode(cells).alias("c")).select("c.which", "c.cell", "print")
+    literal = F.create_map(*[x for which, own in masks.items() for x in (F.lit(which).cast("long"), F.array(*[F.lit(m).cast("long") for m in own]))])
+    chosen = F.explode(F.element_at(literal, F.col("which")))
+    return rows.select("print", vector.alias("vector"), chosen.alias("which")).select("which", F.col("vector").bitwiseAND(F.col("which")).alias("cell"), "print")
+
+
+def near_links(distinct: DataFrame) -> DataFrame:
+    """Links ``(u, v)`` that connect all of the distinct ``print`` values within three bits of each other."""
+    spark = distinct.sparkSession
+    ship(spark)
+    rows = _entered(distinct.select(F.lit(0).cast("long").alias("which"), "print"), {0: MASKS})
+    parts, masks = [], MASKS
+    for _ in range(SPLITS):
+        sizes = rows.groupBy("which", "cell").agg(F.count("*").alias("n")).where(F.col("n") > FULL)
+        full = stored(sizes, "full-cells")
+        if full.isEmpty():
+            break
+        # a full cell has over FULL rows, so this is a small part of them
+        parts.append(rows.join(full, ["which", "cell"], "left_anti"))
+        below = {m: finer(m) for m in masks}
+        rows = stored(_entered(rows.join(full, ["which", "cell"], "left_semi"), below).distinct(), "finer-cells")
+        masks = sorted({m for own in below.values() for m in own})
+    for part in parts:
+        rows = rows.unionByName(part)
     spread = rows.repartition("which", "cell").sortWithinPartitions("which", "cell", "print")
     return spread.mapInArrow(_links(MOST), "u long, v long").distinct()
 

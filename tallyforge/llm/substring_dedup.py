@@ -1,7 +1,8 @@
 """Removal of word windows that already stand in a document with a smaller id.
 
-Every window of ``WINDOW`` words has a Rabin-Karp hash of 96 bits over its words' hashes. Shipping
-one row per window would move several times the corpus, so windows are thinned exactly first:
+Every window of ``WINDOW`` words has a Rabin-Karp hash of 96 bits: 64 over one and 32 over the
+other half of its words' 128-bit hashes. A window counts as repeated only where all 96 bits agree,
+from the count to the removal; a whole text only where 128 bits do. Shipping one row per window would move several times the corpus, so windows are thinned exactly first:
 
 1.  Each text names anchors: of the ten 4-word grams inside a window, the one with the least hash.
     Equal windows have equal anchors, and neighbouring windows mostly share theirs, so there is
@@ -14,8 +15,8 @@ one row per window would move several times the corpus, so windows are thinned e
 3.  Each document merges its repeated windows into maximal intervals and removes their words.
     Later copies of a whole text lose all words, if they have a window at all.
 
-Counts come from pre-aggregated groups and joins on hashes whose hot sides adaptive execution
-splits; no group is gathered in one task except the windows of one document.
+Counts come from pre-aggregated groups; joins on hashes deal the rows of a hot hash over many tasks
+(``common.dealt_join``). No group is gathered in one task except the windows of one document.
 
 Defined cases: a null text has no words; texts shorter than a window lose nothing; windows that
 repeat only inside one document stay; rows that repeat an id count as one document
@@ -27,14 +28,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import free_disk, free_name, fresh_path, remove_path, small_batches, stored, stored_at, table, texts
+from .common import dealt_join, free_disk, free_name, fresh_path, remove_path, small_batches, stored, stored_at, table, texts
 
 WINDOW = 13
 GRAM = 4
@@ -48,68 +48,40 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U8(31))
 
 
-@lru_cache(maxsize=1)
-def _bytes_table() -> np.ndarray:
-    return _mix(np.arange(1, 257, dtype="u8") * U8(0x9E3779B97F4A7C15))
-
-
-_powers: list[np.ndarray] = [np.ones(1, "u8"), np.ones(1, "u8")]
-BASE = 0x5851F42D4C957F2D
-
-
-def _powers_of(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, n of them at least."""
-    if len(_powers[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
-            out = np.full(size, base, "u8")
-            out[0] = 1
-            _powers[k] = np.multiply.accumulate(out)
-    return _powers[0], _powers[1]
-
-
 class Hashed:
     """A text's words with their hashes, window hashes and anchors."""
 
     def __init__(self, text: str | None):
+        from xxhash import xxh3_128_digest
+
         self.words = text.encode("utf-8", "surrogatepass").split() if text else []
-        self.joined = b" ".join(self.words)
-        n = len(self.words)
-        if not n:
-            self.word = np.zeros(0, "u8")
-            return
-        sizes = np.fromiter(map(len, self.words), "i8", n)
-        ends = np.cumsum(sizes + 1) - 1
-        starts = ends - sizes
-        powers, inverse = _powers_of(len(self.joined) + 1)
-        values = _bytes_table()[np.frombuffer(self.joined, "u1")] * powers[: len(self.joined)]
-        sums = np.zeros(len(self.joined) + 1, "u8")
-        np.cumsum(values, out=sums[1:])
-        self.word = _mix((sums[ends] - sums[starts]) * inverse[starts] + sizes.astype("u8"))
-
-    def rolled(self, width: int, base: int) -> np.ndarray:
+        halves = np.frombuffer(b"".join(map(xxh3_128_digest, self.words)), "<u8").reshape(-1, 2)
+        self.word, self.other = halves[:, 0], halves[:, 1]
+
+    @staticmethod
+    def _rolled(hashes: np.ndarray, width: int, base: int) -> np.ndarray:
         """Rabin-Karp hashes of all runs of ``width`` words."""
-        n = len(self.word) - width + 1
+        n = len(hashes) - width + 1
         if n < 1:
             return np.zeros(0, "u8")
         out = np.zeros(n, "u8")
         for k in range(width):
-            out = out * U8(base) + self.word[k : k + n]
+            out = out * U8(base) + hashes[k : k + n]
         return _mix(out)
 
     def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """64 and another 32 bits of each window's hash, as signed values."""
-        return self.rolled(width, 0xD1342543DE82EF95).view("i8"), (self.rolled(width, 0xAF251AF3B0F025B5) >> U8(32)).astype("u4").view("i4")
+        return self._rolled(self.word, width, 0xD1342543DE82EF95).view("i8"), (self._rolled(self.other, width, 0xAF251AF3B0F025B5) >> U8(32)).astype("u4").view("i4")
 
     def anchors(self, width: int) -> np.ndarray:
         """For each window its anchor's hash, as a signed value."""
         gram = min(GRAM, width)
-        grams = self.rolled(gram, 0xDA942042E4DD58B5)
+        grams = self._rolled(self.word, gram, 0xDA942042E4DD58B5)
         n = len(grams) - (width - gram)
         return np.lib.stride_tricks.sliding_window_view(grams, width - gram + 1).min(axis=1).view("i8") if n > 0 else np.zeros(0, "i8")
 
     def digest(self) -> tuple[int, int]:
-        raw = np.frombuffer(hashlib.blake2b(self.joined, digest_size=16).digest(), "<i8")
+        raw = np.frombuffer(hashlib.blake2b(b" ".join(self.words), digest_size=16).digest(), "<i8")
         return int(raw[0]), int(raw[1])
 
 
@@ -152,14 +124,23 @@ def _window_rows(width: int):
                 own = Hashed(text)
                 first, second = own.windows(width)
                 keep = np.isin(own.anchors(width), anchors.values.to_numpy())
-                first, at = np.unique(first[keep], return_index=True)
-                out.append((first, second[keep][at], np.full(len(first), doc_id)))
+                pairs = np.unique(np.rec.fromarrays([first[keep], second[keep]], names="h1,h2")) if len(np.unique(first[keep])) < keep.sum() else np.rec.fromarrays([first[keep], second[keep]], names="h1,h2")
+                out.append((pairs["h1"], pairs["h2"], np.full(len(pairs), doc_id)))
             first, second, doc = (np.concatenate(x) for x in zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), pa.array(doc)], ["h1", "h2", "doc_id"])
 
     return run
 
 
+def _member(windows: Sequence[np.ndarray], removed: Sequence[np.ndarray]) -> np.ndarray:
+    """Which windows agree with a removed one in both parts of their hashes."""
+    hit = np.isin(windows[0], removed[0])
+    pairs = set(zip(*(x.tolist() for x in removed), strict=True))
+    places = np.flatnonzero(hit)
+    hit[places] = [pair in pairs for pair in zip(*(x[places].tolist() for x in windows), strict=True)]
+    return hit
+
+
 def spans(covered: np.ndarray) -> list[tuple[int, int]]:
     """Maximal intervals ``[start, end)`` of the true places."""
     edges = np.flatnonzero(np.diff(np.r_[False, covered, False].astype("i1")))
@@ -177,10 +158,10 @@ def _kept_rows(width: int, wanted: tuple[str, ...]):
                 own = Hashed(text) if copies or removed.is_valid else None
                 words = own.words if own else text.encode("utf-8", "surrogatepass").split() if text else []
                 covered = np.zeros(len(words), bool)
-                if copies and len(words) >= width and own.digest()[0] in copies:
+                if copies and len(words) >= width and own.digest() in {(c["one"], c["two"]) for c in copies}:
                     covered[:] = True
                 elif removed.is_valid:
-                    hit = np.isin(own.windows(width)[0], removed.values.to_numpy()).astype("i4")
+                    hit = _member(own.windows(width), [removed.values.field(k).to_numpy() for k in range(2)]).astype("i4")
                     steps = np.zeros(len(words) + 1, "i4")
                     steps[: len(hit)] += hit
                     steps[width : width + len(hit)] -= hit
@@ -211,22 +192,24 @@ def removals(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     rows_at, windows_at = fresh_path(spark, "anchors"), fresh_path(spark, "windows")
     rows = stored_at(items.mapInArrow(_anchor_rows(width), "doc_id long, one long, two long, anchor long"), rows_at)
     wholes = rows.where("doc_id is not null").select("doc_id", "one", "two")
-    firsts = wholes.groupBy("one", "two").agg(F.min("doc_id").alias("first_id"))
-    copies = stored(wholes.join(firsts, ["one", "two"]).where("doc_id > first_id").select("doc_id", "one").distinct(), "copies")
+    firsts = stored(wholes.groupBy("one", "two").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "firsts")
+    repeats = dealt_join(wholes, firsts.where("n > 1"), ["one", "two"], "doc_id")
+    copies = stored(repeats.where("doc_id > first_id").select("doc_id", "one", "two").distinct(), "copies")
 
     anchors = rows.where("anchor is not null").select("anchor", "one")
-    repeated = anchors.groupBy("anchor").agg(F.min("one").alias("a"), F.max("one").alias("b")).where("a <> b").select("anchor")
-    mine = anchors.join(repeated, "anchor").groupBy("one").agg(F.collect_set("anchor").alias("anchors"))
-    marked = stored(mine.join(firsts, "one").select(F.col("first_id").alias("doc_id"), "anchors"), "marked")
+    repeated = anchors.groupBy("anchor").agg(F.min("one").alias("a"), F.max("one").alias("b"), F.count("*").alias("n")).where("a <> b").select("anchor", "n")
+    mine = dealt_join(anchors, stored(repeated, "repeated-anchors"), ["anchor"], "one").groupBy("one").agg(F.collect_set("anchor").alias("anchors"))
+    marked = stored(mine.join(firsts.select("one", "first_id"), "one").select(F.col("first_id").alias("doc_id"), "anchors"), "marked")
     remove_path(spark, rows_at)  # what follows reads the stored results only
     free_disk(spark)
 
     chosen = items.join(marked, "doc_id").select("doc_id", "text", "anchors")
     windows = stored_at(chosen.mapInArrow(_window_rows(width), "h1 long, h2 int, doc_id long"), windows_at)
     free_disk(spark)
-    owners = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("h1", "h2", "owner")
-    later = windows.join(owners, ["h1", "h2"]).where("doc_id > owner").groupBy("doc_id").agg(F.collect_set("h1").alias("removed"))
-    whole = copies.groupBy("doc_id").agg(F.collect_set("one").alias("copies"))
+    owners = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("owner < last").select("h1", "h2", "owner", "n")
+    found = dealt_join(windows, stored(owners, "owners"), ["h1", "h2"], "doc_id")
+    later = found.where("doc_id > owner").groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("removed"))
+    whole = copies.groupBy("doc_id").agg(F.collect_set(F.struct("one", "two")).alias("copies"))
     out = stored(later.join(whole, "doc_id", "full_outer").select("doc_id", "copies", "removed"), "removals")
     remove_path(spark, windows_at)
     free_disk(spark)

@@ -3,8 +3,9 @@
 Where a tokenizer drops white space before it merges, a text's ids are those of its pieces
 (runs of letters, single numbers, runs of other characters) in turn. Words and pieces repeat,
 so each worker keeps two bounded maps, from white-space words and from pieces to ids, and codes
-only pieces that it has not seen. Texts with characters whose treatment could depend on the
-Unicode version or on context go to the library whole.
+only pieces that it has not seen. Words with characters whose treatment could depend on the
+Unicode version are normalised and cut into pieces by the library's own steps; neither these nor
+merges reach over ASCII white space. Words with a special token are coded by the library.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ def _class(kind: str) -> str:
 
 
 #: The same split for the plain path's characters; words hold no white space.
+ASCII_WORDS = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^{_class('L')}{_class('N')}]+")
 
 
@@ -96,14 +98,14 @@ def as_letters(piece: str) -> str:
 
 
 class LibraryCoder:
-    """Ids of pieces by the library's own model."""
+    """Ids of pieces, given as letters for their bytes, by the library's own model."""
 
     def __init__(self, path: str):
         self.model = load(path).model
 
     def ids(self, pieces: list[str]) -> list[list[int]]:
         tokenize = self.model.tokenize
-        return [[t.id for t in tokenize(as_letters(p))] for p in pieces]
+        return [[t.id for t in tokenize(p)] for p in pieces]
 
 
 def _keep(known: dict[str, bytes], new: dict[str, bytes], most: int) -> None:
@@ -124,6 +126,8 @@ class WordIds:
         self.tokenizer = load(path)
         self.plain = knows(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(len(ASCII_WORDS.findall(s)) != 1 or ASCII_WORDS.findall(s) != [s] for s in self.special):
+            self.plain = False  # a special token with white space reaches over words
         self.coder = coder or LibraryCoder(path)
         self.max_words = max_words
         self.words: dict[str, bytes] = {}
@@ -132,12 +136,20 @@ class WordIds:
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def _pieces(self, word: str) -> list[str]:
+        """A word's pieces, each byte as a letter."""
+        if not UNUSUAL.search(word):
+            return [as_letters(p) for p in PIECES.findall(word.lower())]
+        plain = self.tokenizer.normalizer.normalize_str(word)
+        return [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(plain)]
+
     def _learn(self, missing: set[str]) -> dict[str, bytes]:
-        cut = {w: PIECES.findall(w.lower()) for w in missing}
+        out = {w: self.whole(w) for w in missing if any(s in w for s in self.special)}
+        cut = {w: self._pieces(w) for w in missing if w not in out}
         have = self.pieces
         unseen = list(dict.fromkeys(p for ps in cut.values() for p in ps if p not in have))
         new = dict(zip(unseen, [array.array("I", i).tobytes() for i in self.coder.ids(unseen)], strict=True))
-        out = {w: b"".join([have[p] if p in have else new[p] for p in ps]) for w, ps in cut.items()}
+        out |= {w: b"".join([have[p] if p in have else new[p] for p in ps]) for w, ps in cut.items()}
         _keep(have, new, self.max_words)
         return out
 
@@ -148,10 +160,10 @@ class WordIds:
         for text in texts:
             if not text:
                 out.append(b"")
-            elif not self.plain or UNUSUAL.search(text) or any(s in text for s in self.special):
+            elif not self.plain:
                 out.append(self.whole(text))
             else:
-                split = text.split()
+                split = ASCII_WORDS.findall(text) if UNUSUAL.search(text) else text.split()
                 got = list(map(known.get, split))
                 if None in got:
                     new = self._learn({w for w, v in zip(split, got, strict=True) if v is None})

@@ -535,3 +535,115 @@ def test_html_query(spark):
     df = spark.createDataFrame([(1, "u", "<p>x"), (2, "u", None), (2, "u", None)], "page_id long, url string, html string")
     assert sorted(((r["page_id"], r["text"]) for r in html_text.extract(df).collect()), key=repr) == [(1, "x"), (2, None), (2, None)]
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_words_of_equal_polynomials_stay(spark):
+    order = "a"
+    while len(order) < 1024:
+        order += order.translate(str.maketrans("ab", "ba"))
+    swapped, tail = order.translate(str.maketrans("ab", "ba")), " ".join(f"w{k}" for k in range(12))
+    df = spark.createDataFrame([(1, f"{order} {tail}"), (2, f"{swapped} {tail}"), (3, f"{swapped} {tail} end")], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(df).collect()}
+    assert got == {1: 0, 2: 0, 3: 13}
+
+
+def test_dealt_join_is_a_join(spark, monkeypatch):
+    from tallyforge.llm import common
+
+    monkeypatch.setattr(common, "HOT_LEAST", 3)
+    rows = spark.createDataFrame([(k % 7 if k % 3 else 0, k, "x") for k in range(400)] + [(None, 1, "x"), (99, 1, "x")], "key long, doc_id long, deal string")
+    keys = spark.createDataFrame([(k, f"v{k}") for k in range(7)], "key long, value string").join(rows.groupBy("key").count().withColumnRenamed("count", "n"), "key")
+    got = common.dealt_join(rows, keys, ["key"], "doc_id")
+    assert got.columns == ["key", "doc_id", "deal", "value"]
+    assert sorted(map(tuple, got.collect())) == sorted((r["key"], r["doc_id"], "x", f"v{r['key']}") for r in rows.collect() if r["key"] is not None and r["key"] < 7)
+
+
+def test_unusual_words_are_coded_by_the_coder(monkeypatch):
+    r = random.Random(4)
+    path = tokens.default_tokenizer()
+    coder = bpe.SpeculativeCoder(path)
+    own = tokens.WordIds(path, coder)
+    asked = []
+    whole = own.whole
+    monkeypatch.setattr(own, "whole", lambda word: asked.append(word) or whole(word))
+    marks = "ab'sÉé—“”€日本語Σς́ͅ ẞİK \x85\x1cﬁ한글🙂é9٣½ \n\t"
+    for _ in range(400):
+        text = "".join(r.choice(marks) for _ in range(r.randint(1, 60)))
+        assert np.frombuffer(own.batch([text])[0], "<u4").tolist() == encoded(text), repr(text)
+    assert not asked  # only words with a special token go to the library
+    text = "a — b <|endoftext|>c x<|startoftext|>́ “d”"
+    assert np.frombuffer(own.batch([text])[0], "<u4").tolist() == encoded(text)
+    assert asked and all("<|" in w for w in asked)
+
+
+def test_simhash_full_cells(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    centre = int(r.integers(0, 1 << 63))
+    prints = {centre}
+    while len(prints) < 700:  # a ball in which all cells are full
+        prints.add(centre ^ sum(1 << int(b) for b in r.choice(64, r.integers(1, 7), replace=False)))
+    prints |= {int(x) for x in r.integers(0, 1 << 63, 100)}
+    prints = sorted(prints)
+    monkeypatch.setattr(simhash, "FULL", 16)
+    df = spark.createDataFrame([(x - (1 << 64) if x >= 1 << 63 else x,) for x in prints], "print long")
+    found = {tuple(row) for row in simhash.near_links(df).collect()}
+    u = np.array(prints, "u8")
+    at = {int(x): k for k, x in enumerate(u.view("i8").tolist())}
+
+    def roots(links):
+        top = list(range(len(prints)))
+
+        def find(x):
+            while top[x] != x:
+                x = top[x]
+            return x
+
+        for a, b in links:
+            top[max(find(a), find(b))] = min(find(a), find(b))
+        return [find(x) for x in range(len(prints))]
+
+    near = np.bitwise_count(u[:, None] ^ u[None, :]) <= 3
+    assert all(near[at[a], at[b]] for a, b in found)
+    assert roots([(at[a], at[b]) for a, b in found]) == roots(zip(*np.nonzero(np.triu(near, 1)), strict=True))
+
+
+def test_language_distance_and_hot_language(spark, monkeypatch):
+    r = random.Random(6)
+    alphabets = {"aa": "abcde", "bb": "cdefg", "cc": "fghij"}
+    say = lambda a: " ".join("".join(r.choice(a) for _ in range(r.randint(1, 6))) for _ in range(r.randint(0, 25)))
+    rows = [(k, say(alphabets[lang]), lang) for k in range(240) for lang in [r.choice(["aa", "aa", "aa", "bb", "cc"])]]
+    df = spark.createDataFrame([*rows, (500, None, "aa"), (501, "x", None)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(language_id, "PER_LANGUAGE", 10)
+    monkeypatch.setattr(language_id, "HOT_PART", 4)
+    monkeypatch.setattr(language_id, "MARGIN", 3)
+    profiles = language_id.train(df)
+
+    def grams(text):
+        counts = {}
+        for word in re.findall(r"[^\W\d_]+", text.lower()):
+            padded = f"\0{word}\0"
+            for n in (1, 2, 3):
+                for k in range(len(padded) - n + 1):
+                    g = padded[k : k + n]
+                    if g.strip("\0") and not (n == 3 and g[1] == "\0"):
+                        counts[g] = counts.get(g, 0) + 1
+        return counts
+
+    # the rank lists by the operator's own hashes, the distances by the definition
+    for _, text, _ in rows:
+        own = language_id.ranked(*language_id.ngrams(text)).tolist()
+        hashes, counts = language_id.ngrams(text)
+        assert sorted(counts.tolist()) == sorted(grams(text).values())
+        name, score = profiles.predict(text)
+        if not own:
+            assert (name, score) == ("und", 0.0)
+            continue
+        sums = []
+        for k in range(3):
+            held = dict(zip(profiles.grams[profiles.langs == k].tolist(), profiles.ranks[profiles.langs == k].tolist(), strict=True))
+            sums.append(sum(abs(place - held[g]) if g in held else profiles.size for place, g in enumerate(own)))
+        best = sums.index(min(sums))
+        least, second = sorted(sums)[:2]
+        assert name == profiles.names[best] and abs(score - second / (least + second)) < 1e-12
+    right = sum(profiles.predict(t)[0] == lang for _, t, lang in rows if t)
+    assert right > 0.9 * len(rows)
