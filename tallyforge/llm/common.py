@@ -69,11 +69,24 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return stored_at(df, fresh_path(df.sparkSession, name))
 
 
+#: Paths of all stored tables of this process, in the order of their making.
+made: list[str] = []
+
+
 def stored_at(df: DataFrame, path: str) -> DataFrame:
+    made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_made(spark: SparkSession, since: int, keep: str | None = None) -> None:
+    """Removes the tables that were stored since ``made`` had so many entries, but for one."""
+    for path in made[since:]:
+        if path != keep:
+            remove_path(spark, path)
+    made[since:] = [keep] if keep else []
+
+
 def free_disk(spark: SparkSession) -> None:
     """Lets Spark drop shuffle files of finished queries now, not when the driver happens to collect its garbage."""
     gc.collect()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stored
+from .common import fresh_path, remove_path, stored_at
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -20,18 +20,24 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round points every node's larger neighbours, then its smaller ones, at the least node
     around it; stars are left when a round changes nothing, after a number of rounds that grows
-    with the logarithm of the longest path. Each round is written to the shared folder.
+    with the logarithm of the longest path. Each round is written to the shared folder, and the one before goes.
     """
-    edges = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    spark = edges.sparkSession
+    at = fresh_path(spark, "edges")
+    edges = stored_at(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), at)
     before = _state(edges)
     while before[0]:
         ways = _both_ways(edges)
         least = ways.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = ways.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = stored(large, "large-star")
+        large_at, small_at = fresh_path(spark, "large-star"), fresh_path(spark, "small-star")
+        large = stored_at(large, large_at)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = stored(small.select("e.u", "e.v").where("u <> v").distinct(), "small-star")
+        edges = stored_at(small.select("e.u", "e.v").where("u <> v").distinct(), small_at)
+        for path in (at, large_at):
+            remove_path(spark, path)
+        at = small_at
         after = _state(edges)
         if after == before:
             break

@@ -10,7 +10,8 @@ is 1 minus the sum's share of its maximum.
 
 Defined cases: a null text, a text without letters, or no profile at all gives ``und`` with score 0.
 Equal distances go to the first language by name, equal counts of n-grams to the lower n-gram hash.
-Rows that repeat give equal rows; other columns are ignored.
+Rows that repeat give equal rows; other columns are ignored. ``held_out`` is null for a null id, which
+never trains; texts that share an id all train where that id is in the sample.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ Scores use whole texts and nothing else.
 
 Defined cases: a null or wordless text pools to the sample's mean and is scored like any other; labels other
 than 0 and 1 and documents with contradicting labels don't train; without both labels the score is
-the share of label 1 of all labels, or 1 where there is none. Rows that repeat give equal rows.
+the share of label 1 of all labels, or 1 where there is none. Rows that repeat give equal rows; of
+different texts with one id the least trains. ``held_out`` is null for a null id, which never trains.
 """
 
 from __future__ import annotations
@@ -197,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     # the bound of what is broadcast; a sorted limit keeps so many rows of each task, where a window would send a class to one
     zero, one = (one_each.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_CLASS) for q in (0, 1))
     chosen = zero.unionAll(one)
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").select("quality", "text")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).orderBy("doc_id").select("quality", "text")
     rows = found.mapInArrow(_terms, "quality long, terms binary").collect()
     return fit([(np.frombuffer(r["terms"], "<i4"), r["quality"]) for r in rows], counts.get(1, 0) / total if total else 1.0)
 

@@ -26,11 +26,11 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..shipping import ship
 from . import shingle_sets
-from .common import small_batches, stored, table, texts
+from .common import free_name, small_batches, stored, table, texts
 from .graph import components
 
 SHINGLE = 3
@@ -234,9 +234,22 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with one document of each component, its smallest id; documents with a null id stay."""
-    extra = near_duplicates(docs, shingle).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(extra, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with one document of each component, its smallest id; documents with a null id stay.
+
+    An id that repeats stays if one of its rows is its component's document; rows that repeat both id and text become one.
+    """
+    groups = near_duplicates(docs, shingle).where("doc_id is not null")
+    ids = groups.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), (F.count("*") > 1).alias("repeats"))
+    marked = stored(ids.where("repeats or not stays"), "marked-ids")
+    kept = docs.join(marked.where("not stays"), "doc_id", "left_anti").select(*docs.columns)
+    again = marked.where("stays").select("doc_id")
+    if again.isEmpty():
+        return kept
+    key, row = free_name(docs, "key"), F.struct(*docs.columns)
+    sortable = F.struct(*[f.name for f in docs.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))])
+    rows = kept.join(again, "doc_id", "left_semi").select(F.xxhash64("doc_id", "text").alias(key), "doc_id", "text", row.alias("row"), sortable.alias("order"))
+    one = rows.groupBy(key, "doc_id", "text").agg(F.min_by("row", "order").alias("row")).select("row.*")
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,13 +6,14 @@ partitions and lets each task write one shard. A shard is
     magic | one zstandard frame per document | index | footer
 
 The index holds each document's id, frame offset, frame size and number of ids, so one short
-document is read by two small reads (footer with index, then its frame). The footer holds the
+document is read by its shard's footer and index (25 bytes a document) and then its frame alone. The footer holds the
 SHA-256 of the dictionary, which lies beside the shards; a reader refuses another dictionary.
 Ids are serialized in 2 bytes where the vocabulary allows, else in 4.
 
 The dictionary is trained on ``DICTIONARY_DOCS`` documents, those with the smallest hash of
-their id; it affects sizes only. Each shard is written under a passing name and then moved, so
-a task that runs again after a lost executor leaves the same file.
+their id; it affects sizes only. Each shard is written under a passing name and then moved; object
+stores, which show a file only once it is whole, get it under its own name at once. So a task that
+runs again after a lost executor leaves the same file.
 
 Nulls and ties: a null text is the empty text (its document is the end id alone); documents with
 a null id come first; rows that repeat an id follow each other in the order of their texts. An
@@ -22,6 +23,7 @@ empty table gives no shard. Other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import uuid
 import zlib
@@ -47,7 +49,7 @@ LEVEL = 3
 def _open(path: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path)
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", path))  # Hadoop's names of the scheme
 
 
 def _width(tokenizer: str, end_id: int) -> int:
@@ -87,25 +89,30 @@ def _write_shards(out_dir: str, tokenizer: str, end_id: int, dictionary: bytes):
         part, out, entries, at, total = TaskContext.get().partitionId(), None, [], len(MAGIC), 0
         name = f"shard-{part:06d}.tids"
         fs, root = _open(out_dir)
-        passing = f"{root}/.{name}-{uuid.uuid4().hex}"
+        whole_at_once = fs.type_name in ("s3", "gcs", "abfs")
+        passing = f"{root}/{name}" if whole_at_once else f"{root}/.{name}-{uuid.uuid4().hex}"
         for batch in batches:
             if batch.num_rows and out is None:
                 fs.create_dir(root, recursive=True)
                 out = fs.open_output_stream(passing)
                 out.write(MAGIC)
+            own = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), coder.batch(texts(batch)), strict=True):
                 ids += end
                 frame = packer.compress(_serialized(ids, width))
                 out.write(frame)
-                entries.append((doc_id is None, doc_id or 0, at, len(frame), len(ids) // 4))
+                own.append((doc_id is None, doc_id or 0, at, len(frame), len(ids) // 4))
                 at, total = at + len(frame), total + len(ids) // 4
+            entries.append(np.array(own, ENTRY))
         if out is None:
             return
-        out.write(np.array(entries, ENTRY).tobytes())
-        out.write(struct.pack(FOOTER, at, len(entries), width, hashlib.sha256(dictionary).digest(), MAGIC))
+        index = np.concatenate(entries)
+        out.write(index.tobytes())
+        out.write(struct.pack(FOOTER, at, len(index), width, hashlib.sha256(dictionary).digest(), MAGIC))
         out.close()
-        fs.move(passing, f"{root}/{name}")
-        yield pa.RecordBatch.from_pydict({"shard": [part], "path": [f"{out_dir}/{name}"], "n_docs": [len(entries)], "n_ids": [total]})
+        if not whole_at_once:
+            fs.move(passing, f"{root}/{name}")
+        yield pa.RecordBatch.from_pydict({"shard": [part], "path": [f"{out_dir}/{name}"], "n_docs": [len(index)], "n_ids": [total]})
 
     return run
 

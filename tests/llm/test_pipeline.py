@@ -30,3 +30,35 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in pieces} == ids[4]
     assert sum(r["length"] for r in pieces) == sum(len(w) // 4 for w in whole.values())
     assert all(zlib.crc32(whole[r["doc_id"]][4 * r["start"] : 4 * (r["start"] + r["length"])]) == r["ids_crc32"] for r in pieces)
+
+
+def _written(spark, at, documents, schema, labels):
+    spark.createDataFrame(documents, schema).write.mode("overwrite").parquet(f"{at}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.mode("overwrite").parquet(f"{at}/labels.parquet")
+    pieces = sorted(corpus_pipeline.run(spark, at).collect(), key=lambda r: (r["doc_id"], r["start"]))
+    for before, after in zip(pieces, pieces[1:]):
+        assert after["start"] == (before["start"] + before["length"] if before["doc_id"] == after["doc_id"] else 0)
+    return sorted({(r["doc_id"], r["doc_tokens"]) for r in pieces})
+
+
+def test_pipeline_cases(spark, tmp_path):
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    source = table(spark, SF, "documents").where("doc_id < 150").collect()
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [tuple(r[c] for c in corpus_pipeline.COLUMNS) for r in source]
+    labels = [tuple(r) for r in table(spark, SF, "labels").collect()]
+    plain = _written(spark, f"file://{tmp_path}/a", rows, schema, labels)
+    kept = {r[0] for r in plain}
+    assert kept
+    one = next(r for r in rows if r[0] in kept)
+    extra = [(9001, None, None, None, None), (9002, "", "en", "s", 0), (9003, " \n\t", None, "s", 3), one, one, (None, None, None, None, None)]
+    wide = schema + ", print string, copies string, n long, words string, `mark` string, component_id string"
+    widened = [(*r, "p", "c", 1, None, "m", "x") for r in [*rows, *extra]]
+    found = _written(spark, f"file://{tmp_path}/b", widened, wide, [*labels, (None, 1, 0), (9001, None, None), labels[0]])
+    # rows that repeat id and text are one document; null and empty texts go; further columns change nothing
+    assert found == plain
+    assert _written(spark, f"file://{tmp_path}/c", [], schema, labels) == []
+    assert _written(spark, f"file://{tmp_path}/d", [], schema, []) == []
+    long = [(1, " ".join(f"{w} {k}" for k, w in enumerate(one[1].split() * 200)), "en", "s", 1)]
+    pieces = _written(spark, f"file://{tmp_path}/e", [*rows, *[(9100 + k, *long[0][1:]) for k in range(2)]], schema, labels)
+    assert {r[0] for r in pieces} <= kept | {9100}
