@@ -1,14 +1,16 @@
 """Exact top-k inner products without random access.
 
 Vectors are quantised to integers. Each task turns its candidates into blocks; a block has one
-sorted list per dimension. A query reads all lists in step from their good ends (the high end
-where its component is positive, the low end where it is negative). For each candidate it keeps
-a lower bound (what it has read of it, and the far end of each list in which it has not yet met
-it) and an upper bound (the same with the lists' frontiers). The threshold is the k-th best score
-of earlier blocks or the k-th largest lower bound, whichever is higher. Reading stops once nobody
-outside the read parts can reach it and few candidates still can; their scores are then resolved
-by reading on, past everybody else, to the ends of the lists. No score is ever looked up by id.
-The k-th best score goes from block to block of a task; the tasks' best are merged by Spark.
+sorted list per dimension. All lists are read in step from both ends, as a query wants the high end
+where its component is positive and the low end where it is negative. After each step there are
+bounds for every candidate and query: the lower one from what has been read of the candidate and
+the far end of each list in which it has not been met yet, the upper one with the lists' frontiers
+in place of the far ends. The threshold is the k-th best score of earlier blocks or the k-th largest
+lower bound, whichever is higher. A query stops once nobody outside the read parts can reach it and
+few candidates still can; their scores are then resolved by reading on, past everybody else, to the
+ends of the lists. No score is ever looked up by id. Steps are matrix products over the parts of the
+lists that are new, for many queries at once. The k-th best score goes from block to block of a
+task; the tasks' best are merged by Spark.
 
 Queries are collected and broadcast in rounds of at most ``ROUND`` vectors and ``ROUND_BYTES``
 bytes, in the order of their ids; with more than one round, each round's answers are written to
@@ -39,78 +41,95 @@ SCALE = 256.0
 BLOCK = 4096
 ROUND = 1 << 15
 ROUND_BYTES = 64 << 20
+#: Queries whose bounds are kept at once.
+TOGETHER = 128
 #: Parts of the lists after whose reading the bounds are brought up to date; the last is their end.
-DEPTHS = (32, 16, 8, 4, 2, 1)
-#: Reading stops where no more than this part of a block can still be among the best.
+DEPTHS = (8, 2, 1)
+#: A query stops where no more than this part of a block can still be among its best.
 FEW = 16
 
 
-def _sums(places: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of values by place; integers stay integers."""
-    if values.dtype.kind == "f":
-        return np.bincount(places, values, n)
-    out = np.zeros(n, values.dtype)
-    np.add.at(out, places, values)
-    return out
-
-
 class Block:
-    """Quantised candidates of one length as a sorted list per dimension, from both ends."""
+    """Quantised candidates of one length as a sorted list per dimension: each entry's place in its list, from the low end."""
 
     def __init__(self, ids: np.ndarray, values: np.ndarray):
-        self.ids = ids
-        order = np.argsort(values, axis=0, kind="stable").T.astype("i4")
-        up = np.take_along_axis(values.T, order, axis=1)
-        self.order = np.stack([order, order[:, ::-1]])  # from the low and from the high end
-        self.lists = np.stack([up, up[:, ::-1]])
-        self.floats = self.lists.astype("f8")
+        n = len(ids)
+        self.ids, self.n = ids, n
+        order = np.argsort(values, axis=0, kind="stable")
+        self.place = np.empty(values.shape, "i4")
+        np.put_along_axis(self.place, order, np.broadcast_to(np.arange(n, dtype="i4")[:, None], values.shape), axis=0)
+        self.lists = np.take_along_axis(values, order, axis=0)
+        self.low, self.high = self.lists[0], self.lists[-1]
+        # an entry counts from the far end of the list that it is read in
+        self.above, self.below = values - self.low, values - self.high
         self.largest = float(np.abs(values).max(initial=0))
-        self.depths = sorted({max(1, len(ids) // p) for p in DEPTHS})
-        #: Entries read in step and while resolving, of all queries.
+        self.depths = sorted({max(1, n // p) for p in DEPTHS})
+        #: Entries that dense steps and resolving steps read, of all queries.
         self.read, self.resolved = 0, 0
 
-    def best(self, query: np.ndarray, own: int | None, k: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
-        """Places and scores of at least all candidates that are among the k best and score ``least`` or more; rows with the id ``own`` are left out."""
-        n, dims = len(self.ids), np.arange(len(query))
-        ends = (query > 0).astype("i8")
-        order, lists = self.order[ends, dims], self.floats[ends, dims]
-        largest = self.largest * float(np.abs(query).max(initial=0)) * max(len(query), 1)
-        margin = 0.0 if largest < 2**51 else largest * len(query) * 2.0**-50
-        weights = query.astype("f8")[:, None]
-        others = self.ids != own if own is not None else np.ones(n, bool)
-        far = lists[:, -1:]
-        lower, done = np.full(n, float(weights[:, 0] @ far[:, 0])), 0
+    def steps(self) -> list[tuple]:
+        """For each depth how much of the lists is new, what that is from the high and from the low end, and which entries have been read, as factors of products."""
+        out, since = [], 0
         for depth in self.depths:
-            part = slice(done, depth)
-            lower += np.bincount(order[:, part].ravel(), (weights * (lists[:, part] - far)).ravel(), n)
-            self.read += len(query) * (depth - done)
-            done = depth
-            # what a list may still add to a candidate that it has not shown yet
-            room = weights[:, 0] * (lists[:, depth - 1] - far[:, 0])
-            met = np.bincount(order[:, :depth].ravel(), np.repeat(room, depth), n)
-            upper = lower + (room.sum() - met)
-            rivals = lower[others]  # the own rows are no results, so they must not stand for one of the k
-            if len(rivals) >= k:
-                least = max(least, float(np.partition(rivals, -k)[-k]) - margin)
-            front = float(weights[:, 0] @ lists[:, depth - 1])
-            alive = (upper >= least - margin) & others
-            if depth == n or (front < least - margin and np.count_nonzero(alive) <= max(2 * k, n // FEW)):
-                break
-        found = np.flatnonzero(alive)
-        return found, self._resolve(query, ends, dims, alive, lower, done, margin)[found]
-
-    def _resolve(self, query, ends, dims, alive, lower, done, margin) -> np.ndarray:
-        """Scores of the living: what is left of the lists is read in order, and only entries of theirs count."""
-        if not margin:
-            order, rest = self.order[ends, dims, done:], self.floats[ends, dims, done:] - self.floats[ends, dims, -1:]
-            scores, weights = lower, query.astype("f8")
-        else:  # sums of doubles are not exact: read all in integers
-            order, rest = self.order[ends, dims], self.lists[ends, dims]
-            scores, weights = np.zeros(len(alive), "i8"), query
-        hit = alive[order]
-        self.resolved += int(np.count_nonzero(hit))
-        dim = np.broadcast_to(dims[:, None], order.shape)[hit]
-        return (scores + _sums(order[hit], weights[dim] * rest[hit], len(alive))).astype("i8")
+            high, low = self.place >= self.n - depth, self.place < depth
+            new_high, new_low = high & (self.place < self.n - since), low & (self.place >= since)
+            out.append((depth, depth - since, self.above * new_high.astype("f8"), self.below * new_low.astype("f8"), high.astype("f8"), low.astype("f8")))
+            since = depth
+        return out
+
+    def best(self, queries: np.ndarray, owns: np.ndarray, k: int, least: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query places and scores of at least all candidates that are among its k best and score ``least`` or more; rows with the query's own id are left out."""
+        out, steps = [], self.steps()
+        for a in range(0, len(queries), TOGETHER):
+            part = slice(a, a + TOGETHER)
+            out += self._together(steps, queries[part], owns[part], k, least[part].astype("f8"))
+        return out
+
+    def _together(self, steps, queries, owns, k, least) -> list[tuple[np.ndarray, np.ndarray]]:
+        n, m = self.n, len(queries)
+        largest = self.largest * float(np.abs(queries).max(initial=0)) * queries.shape[1]
+        margin = 0.0 if largest < 2**51 else 4 * largest * queries.shape[1] * 2.0**-50
+        plus, minus = np.maximum(queries, 0), np.minimum(queries, 0)
+        p, q = plus.astype("f8"), minus.astype("f8")
+        mine = [np.flatnonzero(self.ids == own) for own in owns.tolist()]
+        base = p @ self.low + q @ self.high
+        lower = np.repeat(base[:, None], n, axis=1)
+        open_ = np.arange(m)  # queries whose bounds are still dense, one row of ``lower`` each
+        pairs: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, "i8"), np.zeros(0))] * m
+        for depth, new, up, down, high, low in steps:
+            for j in np.setdiff1d(np.arange(m), open_).tolist():  # resolving: only the living entries of the new parts count
+                at, scores = pairs[j]
+                pairs[j] = at, scores + up[at] @ p[j] + down[at] @ q[j]
+                self.resolved += int(np.count_nonzero(up[at]) + np.count_nonzero(down[at]))
+            if not len(open_):
+                continue
+            own_p, own_q = p[open_], q[open_]
+            lower += own_p @ up.T
+            lower += own_q @ down.T
+            self.read += new * up.shape[1] * len(open_)
+            # what each list may still add to a candidate that it has not shown yet
+            room_p, room_q = own_p * (self.lists[n - depth] - self.low), own_q * (self.lists[depth - 1] - self.high)
+            left = (room_p + room_q).sum(axis=1)
+            rivals = lower.copy()  # the own rows must not stand for one of the k
+            for x, j in enumerate(open_.tolist()):
+                rivals[x, mine[j]] = -np.inf
+            if n >= k:
+                least[open_] = np.maximum(least[open_], np.partition(rivals, n - k, axis=1)[:, n - k] - margin)
+            bar = (least[open_] - margin)[:, None]
+            if depth < n:
+                rivals += left[:, None] - room_p @ high.T
+                rivals -= room_q @ low.T  # now the upper bounds
+            alive = rivals >= np.maximum(bar, -1e300)
+            outside = base[open_] + left  # the upper bound of whom no list has shown
+            stops = (depth == n) | ((outside < bar[:, 0]) & (np.count_nonzero(alive, axis=1) <= max(2 * k, n // FEW)))
+            for x in np.flatnonzero(stops).tolist():
+                at = np.flatnonzero(alive[x])
+                pairs[open_[x]] = at, lower[x, at]
+            if stops.any():
+                lower, open_ = lower[~stops], open_[~stops]
+        if margin:  # sums of doubles are not exact: the living are summed once more in integers
+            return [(at, self.low @ plus[j] + self.high @ minus[j] + self.above[at] @ plus[j] + self.below[at] @ minus[j]) for j, (at, _) in enumerate(pairs)]
+        return [(at, np.rint(scores).astype("i8")) for at, scores in pairs]
 
 
 class Best:
@@ -121,10 +140,10 @@ class Best:
         self.found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, "i8"), np.zeros(0, "i8")) for _ in query_ids]
 
     def add(self, block: Block) -> None:
-        for j, (query, own) in enumerate(zip(self.queries, self.query_ids.tolist(), strict=True)):
-            scores, ids = self.found[j]
-            at, new = block.best(query, own, self.k, float(scores[-1]) if len(scores) == self.k else -np.inf)
+        least = np.array([s[-1] if len(s) == self.k else -np.inf for s, _ in self.found])
+        for j, (at, new) in enumerate(block.best(self.queries, self.query_ids, self.k, least)):
             if len(at):
+                scores, ids = self.found[j]
                 scores, ids = np.r_[scores, new], np.r_[ids, block.ids[at]]
                 order = np.lexsort((ids, -scores))[: self.k]
                 self.found[j] = scores[order], ids[order]

@@ -409,8 +409,7 @@ def test_lists_are_read_with_bounds(kind):
         values = np.sign(values)
     ids = r.permutation(n)
     block = topk_search.Block(ids, values)
-    for j in range(40):
-        places, scores = block.best(values[j], int(ids[j]), k)
+    for j, (places, scores) in enumerate(block.best(values[:40], ids[:40], k, np.full(40, -np.inf))):
         found = sorted(zip((-scores).tolist(), ids[places].tolist(), strict=True))[:k]
         assert [(-s, i) for s, i in found] == _brute(values, ids, values[j], ids[j], k)
     whole = 40 * n * dims
@@ -458,7 +457,7 @@ def test_top_k_own_rows_in_later_blocks():
     # one block, k = 1: the query's own row is by far the best and its upper bound must not cut the best of the others
     sparse = np.zeros((1000, 8), "i8")
     sparse[7], sparse[8] = 1000, 10
-    assert 8 in topk_search.Block(np.arange(1000), sparse).best(np.full(8, 1000), 7, 1, 1.0)[0].tolist()
+    assert 8 in topk_search.Block(np.arange(1000), sparse).best(np.full((1, 8), 1000), np.array([7]), 1, np.array([1.0]))[0][0].tolist()
 
 
 def test_html():
