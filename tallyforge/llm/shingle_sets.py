@@ -6,8 +6,9 @@ similarity 0.8 share one of the first ``n - ceil(0.8 n) + 1`` items of each in a
 only these enter the cells. No pair is lost: the sample only decides how full cells get. Each cell
 first gives its least node with every other one; once those links have made components, a cell
 that still holds several gives all pairs between them, so a large group gives no pairs within
-itself. Pairs are tested by sizes and by bitmaps of parities, whose differing bits are never more
-than the differing items, and then by the sets themselves.
+itself. Pairs are tested by sizes, then by bitmaps of parities of some two bits an item, whose
+differing bits are never more than the differing items, and what is left by the sets themselves,
+which are made only for the texts of such pairs.
 
 Defined cases are those of ``simhash``: wordless texts are one node, a text with fewer words than a
 shingle is one shingle, documents with a null id never name a component that holds another id.
@@ -31,9 +32,8 @@ SEED = 42
 SAMPLE = 16
 FREQUENT = 8
 MOST_FREQUENT = 1 << 18
-#: Longs in a bitmap of parities.
-LONGS = 8
-BITMAP = [f"b{k}" for k in range(LONGS)]
+#: A bitmap of parities has a power of two of bytes, this at least.
+LEAST_MAP = 64
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -57,10 +57,19 @@ def prefix(items: np.ndarray, late: np.ndarray) -> np.ndarray:
     return np.r_[items[~last], items[last]][:take]
 
 
-def parities(items: np.ndarray) -> np.ndarray:
-    """For each bit of the bitmap whether an odd number of items fall on it."""
-    odd = np.bincount((items >> np.uint64(20)) % np.uint64(64 * LONGS), minlength=64 * LONGS) % 2
-    return np.packbits(odd.astype("u1"), bitorder="little").view("<i8")
+def parities(items: np.ndarray) -> bytes:
+    """For each bit of a bitmap whether an odd number of items fall on it: some two bits an item."""
+    size = max(LEAST_MAP, 1 << max(len(items) // 4 - 1, 0).bit_length())
+    odd = np.bincount((items >> np.uint64(20)) % np.uint64(8 * size), minlength=8 * size) & 1
+    return np.packbits(odd.astype("u1"), bitorder="little").tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Bits in which two bitmaps differ; the larger one is folded, which keeps the parities of items modulo the smaller size."""
+    x, y = (np.frombuffer(m, "u1") for m in (a, b))
+    small = min(len(x), len(y))
+    folded = [np.bitwise_xor.reduce(m.reshape(-1, small), axis=0) for m in (x, y)]
+    return int(np.bitwise_count(folded[0] ^ folded[1]).sum())
 
 
 def _hash(items: np.ndarray) -> int:
@@ -73,10 +82,9 @@ def _nodes(shingle: int, late):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t, shingle) for t in texts(batch)]
-            maps = np.array([parities(s) for s in sets], "<i8").reshape(-1, LONGS)
-            columns = [batch.column(0), pa.array(np.array([_hash(s) for s in sets], "u8").view("i8")), pa.array([len(s) for s in sets], pa.int32())]
-            columns += [pa.array([prefix(s, late.value).view("i8") for s in sets], pa.list_(pa.int64()))] + [pa.array(maps[:, k]) for k in range(LONGS)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n", "prefix", *BITMAP])
+            columns = [batch.column(0), batch.column(2), pa.array(np.array([_hash(s) for s in sets], "u8").view("i8")), pa.array([len(s) for s in sets], pa.int32())]
+            columns += [pa.array([prefix(s, late.value).view("i8") for s in sets], pa.list_(pa.int64())), pa.array([parities(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "node", "n", "prefix", "map"])
 
     return run
 
@@ -100,6 +108,14 @@ def _counted(shingle: int):
     return run
 
 
+def _maybe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose bitmaps differ in no more bits than similar sets of their sizes can differ in items."""
+    for batch in batches:
+        u, v, n, m = (batch.column(k).to_pylist() for k in (2, 3, 4, 5))
+        near = pa.array([(UNDER + OVER) * differing(a, b) <= (UNDER - OVER) * (x + y) for a, b, x, y in zip(u, v, n, m, strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], ["u", "v"])
+
+
 def _tested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [[np.frombuffer(x, "u8") for x in batch.column(k).to_pylist()] for k in (2, 3)]
@@ -115,15 +131,19 @@ def frequent(docs: DataFrame, shingle: int) -> np.ndarray:
     return np.array([r["key"] for r in rows], "i8").view("u8")
 
 
-def _links(pairs: DataFrame, distinct: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+def _fits(a: str, b: str):
+    return F.lit(UNDER) * F.least(a, b) >= F.lit(OVER) * F.greatest(a, b)
+
+
+def _links(pairs: DataFrame, distinct: DataFrame, items: DataFrame, shingle: int, name: str) -> DataFrame:
     """Those of the pairs ``(u, v)`` of nodes that are similar."""
-    side = lambda c: distinct.select(F.col("node").alias(c), F.col("n").alias(f"{c}n"), *[F.col(b).alias(c + b) for b in BITMAP])
-    both = pairs.join(side("u"), "u").join(side("v"), "v")
-    apart = sum((F.bit_count(F.col("u" + b).bitwiseXOR(F.col("v" + b))) for b in BITMAP), F.lit(0))
-    fits = F.lit(UNDER) * F.least("un", "vn") >= F.lit(OVER) * F.greatest("un", "vn")
-    maybe = stored(both.where(fits & (F.lit(UNDER + OVER) * apart <= F.lit(UNDER - OVER) * (F.col("un") + F.col("vn")))).select("u", "v"), f"{name}-candidates")
+    side = lambda c: distinct.select(F.col("node").alias(c), F.col("map").alias(f"{c}map"), F.col("n").alias(f"{c}n"))
+    both = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "umap", "vmap", "un", "vn")
+    maybe = stored(both.mapInArrow(_maybe, "u long, v long"), f"{name}-candidates")
     wanted = maybe.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    held = stored(sets.join(wanted, "node", "left_semi"), f"{name}-sets")
+    keys = stored(distinct.join(wanted, "node").select("text_key").distinct(), f"{name}-texts")
+    sets = items.join(keys, "text_key").select("text").mapInArrow(_items(shingle), "node long, items binary").groupBy("node").agg(F.first("items").alias("items"))
+    held = stored(sets, f"{name}-sets")
     ready = maybe.join(held.select(F.col("node").alias("u"), F.col("items").alias("a")), "u").join(held.select(F.col("node").alias("v"), F.col("items").alias("b")), "v")
     links = stored(ready.select("u", "v", "a", "b").mapInArrow(_tested, "u long, v long"), f"{name}-links")
     free_disk(pairs.sparkSession)
@@ -134,31 +154,31 @@ def near_duplicates(docs: DataFrame, shingle: int) -> DataFrame:
     """``(doc_id, print, component_id)`` of every document; ``print`` is a hash of its set of shingles."""
     spark = docs.sparkSession
     small_batches(spark)
-    items = docs.select("doc_id", "text")
+    items = docs.select("doc_id", "text").withColumn("text_key", F.xxhash64("text"))
     late = spark.sparkContext.broadcast(frequent(items, shingle))
     kind = items.schema["doc_id"].dataType.simpleString()
-    every = stored(items.mapInArrow(_nodes(shingle, late), f"doc_id {kind}, node long, n int, prefix array<long>, {', '.join(f'{b} long' for b in BITMAP)}"), "shingle-nodes")
-    distinct = stored(every.groupBy("node").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("n", "prefix", *BITMAP)]), "distinct-shingle-nodes")
-    sets = items.select("text").mapInArrow(_items(shingle), "node long, items binary").groupBy("node").agg(F.first("items").alias("items"))
+    every = stored(items.mapInArrow(_nodes(shingle, late), f"doc_id {kind}, text_key long, node long, n int, prefix array<long>, map binary"), "shingle-nodes")
+    distinct = stored(every.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("text_key").alias("text_key"), *[F.first(c).alias(c) for c in ("n", "prefix", "map")]), "distinct-shingle-nodes")
+    free_disk(spark)
 
     cell = Window.partitionBy("key")
     postings = distinct.select(F.explode("prefix").alias("key"), "node", "n")
-    cells = postings.withColumn("hub", F.min("node").over(cell)).withColumn("top", F.max("node").over(cell)).where("hub <> top")
-    cells = stored(cells.select("key", "node", "n", "hub"), "cells")
+    cells = postings.withColumn("hub", F.min(F.struct("node", "n")).over(cell)).withColumn("top", F.max("node").over(cell)).where("hub.node <> top")
+    cells = stored(cells.select("key", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "cells")
     free_disk(spark)
-    first = _links(cells.where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct(), distinct, sets, "first")
+    starred = cells.where("node <> hub").where(_fits("n", "hub_n")).select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
+    first = _links(starred, distinct, items, shingle, "first")
 
     near = components(first)
     rooted = cells.join(near, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     mixed = rooted.withColumn("low", F.min("root").over(cell)).withColumn("high", F.max("root").over(cell)).where("low <> high")
     mixed = stored(mixed.select("key", "node", "n", "root"), "mixed-cells")
     right = mixed.select("key", F.col("node").alias("v"), F.col("n").alias("vn"), F.col("root").alias("v_root"))
-    fits = F.lit(UNDER) * F.least("n", "vn") >= F.lit(OVER) * F.greatest("n", "vn")
-    across = mixed.join(right, "key").where((F.col("node") < F.col("v")) & (F.col("root") != F.col("v_root")) & fits)
+    across = mixed.join(right, "key").where((F.col("node") < F.col("v")) & (F.col("root") != F.col("v_root")) & _fits("n", "vn"))
     rooted = stored(distinct.select("node", "first_id").join(near, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("top")), "rooted")
     if not mixed.isEmpty():
         tested = cells.select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
-        second = _links(across.select(F.col("node").alias("u"), "v").distinct().join(tested, ["u", "v"], "left_anti"), distinct, sets, "second")
+        second = _links(across.select(F.col("node").alias("u"), "v").distinct().join(tested, ["u", "v"], "left_anti"), distinct, items, shingle, "second")
         root_of = lambda c: rooted.select(F.col("node").alias(c), F.col("top").alias(f"{c}_top"))
         between = second.join(root_of("u"), "u").join(root_of("v"), "v").select(F.col("u_top").alias("u"), F.col("v_top").alias("v"))
         tops = components(between).select(F.col("node").alias("top"), "root")
