@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import aggregate_plans, graph_plans, join_plans, rank_plans, text_plans  # noqa: F401  each registers its queries
+from .plans import aggregate_plans, graph_plans, join_plans, rank_plans, release_plans, scan_plans, text_plans  # noqa: F401  each registers its queries
 from .plans.registry import QUERIES, SQL
 
 

@@ -84,7 +84,7 @@ def salvage(text: str | None) -> str | None:
         for attempt in tries:
             try:
                 found = _result(attempt())
-            except ValueError:
+            except (ValueError, RecursionError):  # too deep an answer has no result
                 continue
             if found is not None:
                 return json.dumps(found, ensure_ascii=False, separators=(",", ":"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def lines(source: Column) -> Column:
@@ -176,6 +176,11 @@ BRANCHES = ["if ", "if(", "elif ", "else if ", "match ", "switch ", "case ", "wh
 LOOPS = ["for ", "for(", "while ", "while(", "loop ", "do "]
 
 
+def filled_lines(source: Column) -> Column:
+    """The number of lines that hold more than spaces."""
+    return F.size(F.filter(lines(source), lambda x: F.trim(x) != ""))
+
+
 def count_line_starts(source: Column, starts: list[str]) -> Column:
     return F.size(F.filter(lines(source), lambda x: reduce(lambda a, b: a | b, [F.ltrim(x).startswith(s) for s in starts])))
 
@@ -207,6 +212,18 @@ def secret_kind(line: Column) -> Column:
     return out.when(named & ~from_environment & long_enough, "credential-like assignment")
 
 
+def may_hold_secret(text: Column) -> Column:
+    """A quick necessary test: a mark of a key, a token prefix or a credential's name."""
+    return text.rlike("PRIVATE KEY-----|" + "|".join(p for p, _, _ in SECRET_PREFIXES) + f"|(?i:{SECRET_NAMES})")
+
+
+def require_no_secrets(found: DataFrame, most: int = 8) -> None:
+    """Raises with the places of credentials ``(file_path, line_no, kind)``, never their values."""
+    bad = found.orderBy("file_path", "line_no").limit(most).collect()
+    if bad:
+        raise ValueError("credentials: " + "; ".join(f"{r['file_path']}:{r['line_no']} {r['kind']}" for r in bad))
+
+
 # Words by which a reason has its kind.
 REASON_KINDS = {
     "supporting_only": ["orphaned export", "overbuilt helper", "copy-pasted method body", "duplicate method body", "test mirrors production implementation", "architecture sprawl", "high churn", "generated-style marker present"],
@@ -231,7 +248,16 @@ def visible_reasons(reasons: Column, file_role: Column) -> Column:
 
 
 def truncated(text: Column, most: int) -> Column:
-    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("…"))).otherwise(text)
+    """The longest prefix of whole characters within ``most`` bytes of UTF-8, with an ellipsis where something was cut."""
+
+    def cut(raw: Column) -> Column:
+        head = F.substring(raw, 1, most)
+        following = F.substring(raw, most + 1, 1)
+        # where the cut falls inside a character, its bytes go: a lead byte and what stands after it
+        whole = F.when(F.hex(following).rlike("^[89AB]"), F.regexp_replace(F.hex(head), "[C-F][0-9A-F](?:[89AB][0-9A-F]){0,3}$", "")).otherwise(F.hex(head))
+        return F.concat(F.decode(F.unhex(whole), "UTF-8"), F.lit("…"))
+
+    return F.when(F.octet_length(text) > most, bound(F.encode(text, "UTF-8"), cut)).otherwise(text)
 
 
 def numbered(source: Column, first: int = 1) -> Column:
@@ -259,3 +285,22 @@ def duration(seconds: Column) -> Column:
 def redacted_endpoint(url: Column) -> Column:
     """An address without user, query and fragment."""
     return F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), r"^([a-z]+://)[^/@]*@", "$1")
+
+
+def pattern_suits(tier: Column, pattern: Column) -> Column:
+    """A finding has a pattern, and nothing else has one."""
+    return tier.isin("slop", "kinda_slop") == (pattern != "none")
+
+
+def same_paths(a: Column, b: Column) -> Column:
+    """Whether two lists hold the same paths, in whatever order."""
+    return F.array_sort(a) == F.array_sort(b)
+
+
+def line_starts(source: Column) -> Column:
+    """Byte offsets at which lines begin, and last the end of a line after the text."""
+
+    def step(s: Column, line: Column) -> Column:
+        return F.array_append(s, F.element_at(s, -1) + F.octet_length(line) + 1)
+
+    return F.aggregate(F.split(source, "\n"), F.array(F.lit(0).cast("long")), step)

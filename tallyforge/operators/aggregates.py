@@ -142,11 +142,12 @@ def merge_cases(cases: DataFrame, key: str, content: list[str], sets: list[str],
     return g.withColumn("conflict", F.col("__kinds") > 1).drop("__kinds")
 
 
-def fill_symbols(rows: DataFrame, key: str, attributes: list[str]) -> DataFrame:
-    """One row per symbol: the first known value of each attribute, and whether known values differ."""
-    picked = [F.min(a).alias(a) for a in attributes]
+def fill_symbols(rows: DataFrame, key: str, attributes: list[str], order: str, sets: list[str] = ()) -> DataFrame:
+    """One row per symbol: the first known value of each attribute by ``order``, the united ``sets``, and whether known values differ."""
+    picked = [F.min_by(a, F.when(F.col(a).isNotNull(), F.col(order))).alias(a) for a in attributes]
+    united = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in sets]
     conflict = F.greatest(F.lit(0), *[F.count_distinct(a) for a in attributes]) > 1
-    return rows.groupBy(key).agg(*picked, conflict.alias("conflict"))
+    return rows.groupBy(key).agg(*picked, *united, conflict.alias("conflict"))
 
 
 def architecture(methods: DataFrame, calls: DataFrame, most_methods: int = 20, most_loc: int = 100) -> DataFrame:

@@ -1,44 +1,53 @@
-"""Graphs: components, chains, reach and paths, as bounded loops over joins with written steps."""
+"""Graphs: components, chains, reach and paths, as loops over joins whose steps are written to the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame, Window, functions as F
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from ..storage import fresh_path, removed, written, written_at
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one of this process only where none is named, as in tests."""
-    held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return held or "file://" + tempfile.mkdtemp(prefix="steps-")
+def _both_ways(edges: DataFrame) -> DataFrame:
+    return edges.select(F.explode(F.array(F.struct(F.col("u"), F.col("v")), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage is cut and lost executors lose nothing."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """``(node, component)`` of an undirected graph, named by its least node.
+    """``(node, component)`` of an undirected graph, named by its least node; null ends take no part.
 
-    Every round hooks each node's label under the least label around it and then jumps to the
-    label's own label, so paths shorten by half or more in each round.
+    Alternating star contraction: a round points every node's larger neighbours, then its smaller
+    ones, at the least node around it; stars are left when a round changes nothing, after a number
+    of rounds that grows with the logarithm of the longest path. A round's table replaces the one before.
     """
-    pairs = written(edges.where(f"{a} is not null and {b} is not null").select(F.explode(F.array(F.struct(F.col(a).alias("x"), F.col(b).alias("y")), F.struct(F.col(b).alias("x"), F.col(a).alias("y")))).alias("e")).select("e.*").distinct(), "pairs")
-    labels = written(pairs.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("label")), "labels")
-    while True:
-        around = pairs.join(labels.select(F.col("node").alias("y"), "label"), "y").groupBy("x").agg(F.min("label").alias("near"))
-        hooked = labels.join(around, labels.node == around.x).select("node", "label", F.least("label", "near").alias("next"))
-        # a label that some member can better is bettered for all that carry it
-        better = hooked.groupBy("label").agg(F.min("next").alias("best"))
-        moved = hooked.join(better, "label").select("node", F.col("label").alias("old"), F.least("next", "best").alias("label"))
-        new = written(moved, "labels")
-        if not new.where("old <> label").take(1):
-            return new.select("node", F.col("label").alias("component"))
-        labels = new.select("node", "label")
+    spark = edges.sparkSession
+    named = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
+    at = fresh_path(spark, "edges")
+    pairs = written_at(named.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), at)
+    alone = pairs.where("u = v").select("u")  # a loop names its node
+    stars_at, stars = at, pairs.where("u <> v")
+    before = _state(stars)
+    while before[0]:
+        ways = _both_ways(stars)
+        least = ways.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large_at, small_at = fresh_path(spark, "large-star"), fresh_path(spark, "small-star")
+        large = written_at(ways.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), large_at)
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        stars = written_at(small.select("e.u", "e.v").where("u <> v").distinct(), small_at)
+        removed(spark, large_at)
+        if stars_at != at:
+            removed(spark, stars_at)
+        stars_at, after = small_at, _state(stars)
+        if after == before:
+            break
+        before = after
+    roots = stars.select("v").distinct()
+    out = stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("component")))
+    lone = alone.withColumnRenamed("u", "node").join(out, "node", "left_anti")
+    return out.unionByName(lone.select("node", F.col("node").alias("component")))
 
 
 def resolve_chain(links: DataFrame, node: str, target: str, most_rounds: int = 40) -> DataFrame:
@@ -63,29 +72,123 @@ def resolve_chain(links: DataFrame, node: str, target: str, most_rounds: int = 4
     raise ValueError("a chain did not end")
 
 
-def reachable(edges: DataFrame, a: str, b: str, roots: DataFrame, most_depth: int = 30) -> DataFrame:
-    """Nodes that the roots reach with the least number of steps."""
+def merge_targets(decisions: DataFrame) -> DataFrame:
+    """Where each merged case of ``(case_id, decision, merge_into)`` ends: (case_id, end, status).
+
+    Status is resolved where the chain's end is kept, cycle where it has none, and otherwise says how the end was decided.
+    """
+    ends = resolve_chain(decisions.where("decision = 'merge'").select("case_id", "merge_into"), "case_id", "merge_into")
+    said = decisions.select(F.col("case_id").alias("end"), F.col("decision").alias("__end"))
+    bad = F.concat(F.lit("ends in a case that is "), F.coalesce("__end", F.lit("unknown")))
+    return ends.join(said, "end", "left").select("case_id", "end", F.when(F.col("status") == "cycle", "cycle").when(F.col("__end") == "keep", "resolved").otherwise(bad).alias("status"))
+
+
+def reachable(edges: DataFrame, a: str, b: str, roots: DataFrame, most_depth: int | None = None) -> DataFrame:
+    """Nodes that the roots reach with the least number of steps; all of them, or those within ``most_depth`` steps."""
     root = roots.columns[0]
     seen = written(roots.select(F.col(root).alias("node"), F.lit(0).alias("depth")).distinct(), "reach")
-    front = seen
-    for depth in range(1, most_depth + 1):
-        step = edges.join(front.select(F.col("node").alias(a)), a).select(F.col(b).alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
+    front, depth = seen, 0
+    while most_depth is None or depth < most_depth:
+        depth += 1
+        step = edges.join(front.select(F.col("node").alias(a)), a).select(F.col(b).alias("node")).where("node is not null").distinct().join(seen.select("node"), "node", "left_anti")
         front = written(step.select("node", F.lit(depth).alias("depth")), "front")
         if not front.take(1):
             break
         seen = seen.unionByName(front)
+        if depth % 32 == 0:
+            seen = written(seen, "reach")  # keeps the plan short
     return seen
 
 
-def follow_exports(exports: DataFrame, start: DataFrame, most_depth: int = 16) -> DataFrame:
-    """Follows re-exports ``(file, name) -> (to_file, to_name)`` with a cycle guard; (file, name, end_file, end_name, hops)."""
-    cur = start.select("file", "name", F.col("file").alias("end_file"), F.col("name").alias("end_name"), F.lit(0).alias("hops"), F.array(F.struct("file", "name")).alias("seen"))
+def agreed_reach(agreed: DataFrame, disputed: DataFrame, roots: DataFrame) -> DataFrame:
+    """Nodes that the roots reach over agreed relationships ``(a, b)`` in both directions; an error if one of them is ``disputed``."""
+    ways = agreed.select("a", "b").unionByName(agreed.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    found = reachable(ways, "a", "b", roots)
+    touched = found.join(disputed.select(F.col(disputed.columns[0]).alias("node")), "node", "left_semi").orderBy("node").limit(1).collect()
+    if touched:
+        raise ValueError(f"related to a disputed method: {touched[0]['node']}")
+    return found
+
+
+def follow_exports(exports: DataFrame, start: DataFrame) -> DataFrame:
+    """Follows re-exports ``(file, name) -> (to_file, to_name)`` to their end with a cycle guard; (file, name, end_file, end_name, hops)."""
+    pair = lambda f, n: F.struct(F.col(f).alias("file"), F.col(n).alias("name"))
+    cur = start.select("file", "name", F.col("file").alias("end_file"), F.col("name").alias("end_name"), F.lit(0).alias("hops"), F.array(pair("file", "name")).alias("seen"))
     e = exports.select(F.col("file").alias("end_file"), F.col("name").alias("end_name"), "to_file", "to_name")
-    for _ in range(most_depth):
-        joined = cur.join(e, ["end_file", "end_name"], "left")
-        go = F.col("to_file").isNotNull() & ~F.array_contains("seen", F.struct(F.col("to_file").alias("file"), F.col("to_name").alias("name")))
-        cur = written(joined.select("file", "name", F.when(go, F.col("to_file")).otherwise(F.col("end_file")).alias("end_file"), F.when(go, F.col("to_name")).otherwise(F.col("end_name")).alias("end_name"), (F.col("hops") + go.cast("int")).alias("hops"), F.when(go, F.array_append("seen", F.struct(F.col("to_file").alias("file"), F.col("to_name").alias("name")))).otherwise(F.col("seen")).alias("seen"), go.alias("moved")), "exports")
-        if not cur.where("moved").take(1):
-            break
-        cur = cur.drop("moved")
-    return cur.select("file", "name", "end_file", "end_name", "hops")
+    done = None
+    while True:
+        go = F.col("to_file").isNotNull() & ~F.array_contains("seen", pair("to_file", "to_name"))
+        step = written(cur.join(e, ["end_file", "end_name"], "left").withColumn("go", go), "exports")
+        ended = step.where("not go").select("file", "name", "end_file", "end_name", "hops")
+        done = ended if done is None else done.unionByName(ended)
+        cur = step.where("go").select("file", "name", F.col("to_file").alias("end_file"), F.col("to_name").alias("end_name"), (F.col("hops") + 1).alias("hops"), F.array_append("seen", pair("to_file", "to_name")).alias("seen"))
+        if not cur.take(1):
+            return done
+
+
+def call_edges(references: DataFrame, definitions: DataFrame, methods: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges ``(caller, callee)`` from references ``(file_path, line, name)`` whose name has exactly one definition ``(name, unit_id)``, and counts.
+
+    The caller is the shortest method ``(unit_id, file_path, start_line, end_line)`` around the line, the first
+    of equal ones; counts say how many references had no or several definitions and how many lie in no method.
+    """
+    from .joins import enclosing_interval
+
+    one = definitions.groupBy("name").agg(F.count("*").alias("n"), F.min("unit_id").alias("callee"))
+    refs = references.withColumn("point_id", F.xxhash64("file_path", "line", "name")).dropDuplicates(["file_path", "line", "name"])
+    spans = methods.select("file_path", F.col("unit_id").alias("caller"), "start_line", "end_line")
+    placed = enclosing_interval(refs, spans, ["file_path"], "line", "start_line", "end_line", ["caller"]).join(one, "name", "left")
+    placed = written(placed.select("caller", F.when(F.col("n") == 1, F.col("callee")).alias("callee"), F.coalesce("n", F.lit(0)).alias("n")), "placed")
+    counts = placed.agg(F.count_if(F.col("n") != 1).alias("unresolved"), F.count_if((F.col("n") == 1) & F.col("caller").isNull()).alias("external"))
+    return placed.where("caller is not null and callee is not null").select("caller", "callee").distinct(), counts
+
+
+def case_components(cases: DataFrame, units: DataFrame, edges: DataFrame) -> DataFrame:
+    """Cases that belong together: ``(case_id, component)``.
+
+    ``cases`` is (case_id, semantics), ``units`` is (case_id, unit_id), ``edges`` is (caller, callee). Cases are linked
+    by a shared unit, by equal semantics, or by an edge between their units; the cases of one unit, meaning
+    or edge form a star around the least of them, so no rule gives all pairs.
+    """
+    star = lambda df, key: df.join(df.groupBy(key).agg(F.min("case_id").alias("hub")), key).select(F.col("case_id").alias("u"), F.col("hub").alias("v"))
+    least = units.groupBy("unit_id").agg(F.min("case_id").alias("case_id"))
+    of = lambda c, name: least.select(F.col("unit_id").alias(c), F.col("case_id").alias(name))
+    across = edges.join(of("caller", "u"), "caller").join(of("callee", "v"), "callee").select("u", "v")
+    links = cases.select(F.col("case_id").alias("u"), F.col("case_id").alias("v")).unionByName(star(units, "unit_id")).unionByName(star(cases, "semantics")).unionByName(across)
+    return components(links, "u", "v").withColumnRenamed("node", "case_id")
+
+
+def crossing_pairs(edges: DataFrame, membership: DataFrame) -> DataFrame:
+    """Unordered pairs of units ``(a, b)``, each once, that an edge joins across chunks of ``membership`` (unit_id, chunk)."""
+    of = lambda c, name: membership.select(F.col("unit_id").alias(c), F.col("chunk").alias(name))
+    both = edges.join(of("caller", "c1"), "caller").join(of("callee", "c2"), "callee").where("c1 <> c2")
+    return both.select(F.least("caller", "callee").alias("a"), F.greatest("caller", "callee").alias("b")).distinct()
+
+
+def upstream_callers(edges: DataFrame, roots: DataFrame, depth: int = 2, most: int = 16, most_roots: int = 8) -> DataFrame:
+    """Callers above each root ``unit_id`` in the order of a depth-first walk: (root, place, unit_id, depth).
+
+    ``most_roots`` roots, the least ones, have ``most`` callers listed at most; a caller is listed once, where the walk meets it first.
+    """
+    start = roots.select(F.col(roots.columns[0]).alias("root")).distinct().orderBy("root").limit(most_roots)
+    up = edges.select(F.col("callee").alias("unit_id"), F.col("caller").alias("next")).distinct()
+    level = start.select("root", F.col("root").alias("unit_id"), F.array(F.col("root")).alias("path"))
+    levels = []
+    for _ in range(depth):
+        level = level.join(up, "unit_id").where(~F.array_contains("path", F.col("next"))).select("root", F.col("next").alias("unit_id"), F.array_append("path", F.col("next")).alias("path"))
+        levels.append(level)
+    found = levels[0]
+    for more in levels[1:]:
+        found = found.unionByName(more)
+    # in the order of their paths, a caller stands before what lies above it
+    first = found.groupBy("root", "unit_id").agg(F.min("path").alias("path"))
+    order = Window.partitionBy("root").orderBy("path")
+    return first.select("root", F.row_number().over(order).alias("place"), "unit_id", (F.size("path") - 1).alias("depth")).where(F.col("place") <= most)
+
+
+def neighbours(edges: DataFrame, methods: DataFrame) -> DataFrame:
+    """Every method's callers and callees, each a sorted array: (unit_id, callers, callees)."""
+    into = edges.groupBy(F.col("callee").alias("unit_id")).agg(F.array_sort(F.collect_set("caller")).alias("callers"))
+    out = edges.groupBy(F.col("caller").alias("unit_id")).agg(F.array_sort(F.collect_set("callee")).alias("callees"))
+    none = F.array().cast("array<string>")
+    return methods.select("unit_id").join(into, "unit_id", "left").join(out, "unit_id", "left").select("unit_id", F.coalesce("callers", none).alias("callers"), F.coalesce("callees", none).alias("callees"))

@@ -8,36 +8,58 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.hashing import rank_digest
+from ..storage import written
 
 
 def with_rank(df: DataFrame, digest: Column, *ties: str) -> DataFrame:
     """Adds ``digest`` and the 1-based ``rank`` in its order, over all rows, without a single-task window.
 
-    Rows are range-partitioned and sorted; each partition's numbers start after the sizes of those before it.
+    Rows are range-partitioned, sorted and written once with their partition and their place in it, as a second evaluation
+    could cut the ranges elsewhere; each partition's numbers start after the sizes of those before it.
     """
     digested = df.withColumn("digest", digest)
+    part, at, before = (_free(digested, x) for x in ("part", "at", "before"))
     ordered = digested.repartitionByRange("digest", *ties).sortWithinPartitions("digest", *ties)
-    numbered = ordered.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__at"))
-    base = numbered.groupBy("__part").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
-    before = base.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return numbered.join(before.select("__part", "__first", "__before"), "__part").select(*df.columns, "digest", (F.col("__before") + F.col("__at") - F.col("__first") + 1).alias("rank"))
+    # the partition's number stands in the upper bits of the increasing id, the place in it in the lower 33
+    numbered = written(ordered.withColumn(at, F.monotonically_increasing_id()), "ranked")
+    numbered = numbered.withColumn(part, F.shiftright(at, 33))
+    sizes = numbered.groupBy(part).agg(F.count("*").alias("n"))  # one row a partition
+    starts = sizes.select(part, F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before))
+    place = F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+    return numbered.join(F.broadcast(starts), part).select(*df.columns, "digest", (F.col(before) + place + 1).alias("rank"))
 
 
-def hash_rank(df: DataFrame, contract: str, seed: str, keys: list[str], k: int | None = None) -> DataFrame:
+def _free(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` lacks."""
+    taken = {c.lower() for c in df.columns}
+    while stem in taken:
+        stem = "_" + stem
+    return stem
+
+
+def hash_rank(df: DataFrame, contract: str, seed: str, keys: list[str], k: int | None = None, separator: str = "\0") -> DataFrame:
     """Ranks rows by a seeded digest of their keys; with k only the best k, with an error if there are fewer."""
-    digest = rank_digest(contract, seed, *[F.col(c) for c in keys])
+    digest = rank_digest(contract, seed, *[F.col(c) for c in keys], separator=separator)
     if k is None:
         return with_rank(df, digest, *keys)
-    best = df.withColumn("digest", digest).orderBy("digest", *keys).limit(k)
+    best = written(df.withColumn("digest", digest).orderBy("digest", *keys).limit(k), "best")
+    if (n := best.count()) < k:
+        raise ValueError(f"{k} rows are wanted and the population has {n}")
     return best.withColumn("rank", F.row_number().over(Window.orderBy("digest", *keys)).cast("long"))
 
 
 def quota_fill(ranked: DataFrame, by: str, rank: str, quota: int, eligible: Column | None = None) -> DataFrame:
-    """Takes each group's first rows in rank order up to the quota; stateless exclusions come before it."""
-    ok = F.lit(True) if eligible is None else eligible
-    place = F.row_number().over(Window.partitionBy(by, ok).orderBy(rank))
-    outcome = F.when(~ok, "excluded").when(place <= quota, "selected").otherwise("quota_filled")
-    return ranked.withColumn("outcome", outcome)
+    """Takes each group's first rows in rank order up to the quota; stateless exclusions come before it.
+
+    Each group's last rank within the quota is found by a bounded top-k, which tasks cut down before they
+    shuffle; the rows themselves are only compared with it. Ranks have to be unique.
+    """
+    ok = F.lit(True) if eligible is None else F.coalesce(eligible, F.lit(False))
+    first = F.row_number().over(Window.partitionBy(by).orderBy(rank))
+    last = ranked.where(ok).select(by, rank).withColumn("k", first).where(F.col("k") <= quota).groupBy(by).agg(F.max(rank).alias("__last"))
+    outcome = F.when(~ok, "excluded").when(F.col(rank) <= F.col("__last"), "selected").otherwise("quota_filled")
+    back = last.withColumnRenamed(by, "__by")
+    return ranked.join(back, F.col(by).eqNullSafe(F.col("__by")), "left").withColumn("outcome", outcome).select(*ranked.columns, "outcome")
 
 
 def category_slots(df: DataFrame, by: str, digest: str, categories: list, k: int) -> DataFrame:

@@ -4,42 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..operators import aggregates as A
+from ..operators import aggregates as A, release
 from .registry import query, read
 
 
-@query(
-    """SELECT count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS returned, count(*) FILTER (l_linestatus = 'O') AS open, count(*) FILTER (l_discount > 0.05) AS discounted,
-  count(*) FILTER (l_quantity >= 30 AND l_returnflag = 'A') AS large_a, count(DISTINCT l_suppkey) AS suppliers, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem"""
-)
-def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "lineitem").agg(
-        F.count("*").alias("n"),
-        F.count_if(F.col("l_returnflag") == "R").alias("returned"),
-        F.count_if(F.col("l_linestatus") == "O").alias("open"),
-        F.count_if(F.col("l_discount") > 0.05).alias("discounted"),
-        F.count_if((F.col("l_quantity") >= 30) & (F.col("l_returnflag") == "A")).alias("large_a"),
-        F.count_distinct("l_suppkey").alias("suppliers"),
-        F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"),
-    )
-
-
-@query(
-    """WITH m AS (SELECT l_orderkey AS k, count(*) AS methods, count(*) FILTER (l_returnflag = 'N') AS exported, max(l_quantity) AS max_loc, min(CASE WHEN l_quantity > 0 THEN l_quantity END) AS min_loc, count(DISTINCT l_suppkey) AS outbound FROM lineitem GROUP BY 1)
-  SELECT k, methods, exported, outbound, round(max_loc / coalesce(min_loc, 1), 6) AS spread,
-  CASE WHEN methods < 4 AND max_loc > 45 THEN 'oversized' ELSE array_to_string(list_filter([CASE WHEN outbound >= 5 THEN 'fan-out' END, CASE WHEN exported >= 4 THEN 'surface' END, CASE WHEN max_loc / coalesce(min_loc, 1) >= 8 THEN 'uneven' END], lambda x: x IS NOT NULL), '; ') END AS reasons FROM m"""
-)
-def arch_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.col("l_quantity")
-    m = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(
-        F.count("*").alias("methods"), F.count_if(F.col("l_returnflag") == "N").alias("exported"), F.max(q).alias("max_loc"), F.min(F.when(q > 0, q)).alias("min_loc"), F.count_distinct("l_suppkey").alias("outbound")
-    )
-    spread = F.col("max_loc") / F.coalesce("min_loc", F.lit(1))
-    reasons = F.array_compact(F.array(F.when(F.col("outbound") >= 5, F.lit("fan-out")), F.when(F.col("exported") >= 4, F.lit("surface")), F.when(spread >= 8, F.lit("uneven"))))
-    oversized = (F.col("methods") < 4) & (F.col("max_loc") > 45)
-    return m.select("k", "methods", "exported", "outbound", F.round(spread, 6).alias("spread"), F.when(oversized, "oversized").otherwise(F.array_join(reasons, "; ")).alias("reasons"))
-
-
 @query(
     """SELECT CAST(user_id AS VARCHAR) AS file_path, count(*) AS commits, count(*) FILTER (event_type = 'error') AS reverts,
   array_to_string(list_filter([CASE WHEN count(*) >= 8 THEN 'high churn (' || count(*) || ' commits touched this file)' END,
@@ -107,17 +75,11 @@ def vote_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.majority(read(spark, sf_dir, "events", "user_id", "event_type"), "user_id", "event_type")
 
 
-@query("SELECT user_id, arg_max(event_type, event_id) AS latest, max(event_id) AS last_event, count(*) AS events, round(sum(value), 4) AS spent FROM events GROUP BY 1")
-def journal_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("latest"), F.max("event_id").alias("last_event"), F.count("*").alias("events"), F.round(F.sum("value"), 4).alias("spent"))
-
-
-@query("SELECT event_id, user_id, round(s, 4) AS spent, s - v < 500 AS admitted FROM (SELECT event_id, user_id, coalesce(value, 0) AS v, sum(coalesce(value, 0)) OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM events)")
+@query("SELECT event_id, user_id, round(s, 4) AS spent_before, s < 500 AS admitted FROM (SELECT event_id, user_id, coalesce(sum(coalesce(value, 0)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM events)")
 def running_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spend so far per user; an event is admitted while the spend before it is below the limit."""
-    e = read(spark, sf_dir, "events").withColumn("v", F.coalesce("value", F.lit(0.0)))
-    s = F.sum("v").over(Window.partitionBy("user_id").orderBy("event_id"))
-    return e.withColumn("s", s).select("event_id", "user_id", F.round("s", 4).alias("spent"), (F.col("s") - F.col("v") < 500).alias("admitted"))
+    """Spend before each event of a user; an event is admitted while that is below the limit."""
+    e = release.admitted(read(spark, sf_dir, "events"), ["user_id"], "event_id", "value", 500)
+    return e.select("event_id", "user_id", F.round("spent_before", 4).alias("spent_before"), "admitted")
 
 
 @query(
@@ -144,12 +106,12 @@ def scan_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT doc_id, count(DISTINCT reviewer) AS reviewers, count(DISTINCT sig) AS signatures, CASE WHEN count(DISTINCT reviewer) < 2 THEN 'incomplete' WHEN count(DISTINCT sig) = 1 THEN 'agreed' ELSE 'disputed' END AS status
-  FROM (SELECT doc_id, 'a' AS reviewer, quality AS sig FROM labels UNION ALL SELECT doc_id, 'b', 1 - toxic FROM labels WHERE doc_id % 3 > 0) GROUP BY 1"""
+  FROM (SELECT doc_id, 'a' AS reviewer, CASE WHEN n_chars > 1000 THEN 1 ELSE 0 END AS sig FROM documents UNION ALL SELECT doc_id, 'b', quality FROM labels) GROUP BY 1"""
 )
 def label_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = read(spark, sf_dir, "labels")
-    a = labels.select("doc_id", F.lit("a").alias("reviewer"), F.col("quality").alias("sig"))
-    b = labels.where("doc_id % 3 > 0").select("doc_id", F.lit("b").alias("reviewer"), (1 - F.col("toxic")).alias("sig"))
+    """A rule on lengths and the labels as two reviewers; documents without a label have one."""
+    a = read(spark, sf_dir, "documents").select("doc_id", F.lit("a").alias("reviewer"), (F.col("n_chars") > 1000).cast("int").alias("sig"))
+    b = read(spark, sf_dir, "labels").select("doc_id", F.lit("b").alias("reviewer"), F.col("quality").alias("sig"))
     return A.agreement(a.unionByName(b), "doc_id", "reviewer", F.col("sig"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators import graph as G
 from .registry import query, read
 
-_EDGES = "(SELECT DISTINCT CAST(s_suppkey AS BIGINT) AS a, CAST((s_suppkey * 37) % 101 AS BIGINT) AS b FROM supplier WHERE s_acctbal > 4000)"
+_EDGES = "(SELECT DISTINCT 's' || s_suppkey AS a, 'n' || s_nationkey || ':' || CAST(floor(s_acctbal / 2500) AS BIGINT) AS b FROM supplier)"
 
 
 @query(
@@ -15,7 +15,8 @@ _EDGES = "(SELECT DISTINCT CAST(s_suppkey AS BIGINT) AS a, CAST((s_suppkey * 37)
   SELECT node, min(root) AS component FROM r GROUP BY 1"""
 )
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = read(spark, sf_dir, "supplier").where("s_acctbal > 4000").selectExpr("s_suppkey as a", "(s_suppkey * 37) % 101 as b").distinct()
+    """Suppliers that belong together by nation and balance."""
+    edges = read(spark, sf_dir, "supplier").selectExpr("'s' || s_suppkey as a", "'n' || s_nationkey || ':' || cast(floor(s_acctbal / 2500) as bigint) as b").distinct()
     return G.components(edges, "a", "b")
 
 

@@ -2,49 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import joins
+from ..operators import joins, release
 from .registry import query, read
 
 
 @query(
-    """WITH i AS (SELECT o_custkey, o_orderkey AS interval_id, o_orderdate AS s, o_orderdate + INTERVAL (30 + o_orderkey % 60) DAY AS e FROM orders)
-  SELECT o.o_orderkey AS point_id, arg_min(i.interval_id, (epoch_us(i.e) - epoch_us(i.s), -epoch_us(i.s), i.interval_id)) AS interval_id
-  FROM orders o LEFT JOIN i ON o.o_custkey = i.o_custkey AND i.s <= o.o_orderdate AND o.o_orderdate <= i.e AND i.interval_id <> o.o_orderkey GROUP BY 1"""
+    """WITH i AS (SELECT o_custkey AS k, o_orderkey AS interval_id, date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS s FROM orders), j AS (SELECT *, s + 30 + interval_id % 60 AS e FROM i)
+  SELECT p.interval_id AS point_id, arg_min(j.interval_id, (j.e - j.s, -j.s, j.interval_id)) AS interval_id FROM i p LEFT JOIN j ON p.k = j.k AND j.s <= p.s AND p.s <= j.e GROUP BY 1"""
 )
 def interval_enclosing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each order with the innermost other order's window of its customer around it."""
-    o = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
-    days = F.make_dt_interval((30 + F.col("o_orderkey") % 60).cast("int"))
-    windows = o.select("o_custkey", F.col("o_orderkey").alias("interval_id"), F.col("o_orderdate").alias("s"), (F.col("o_orderdate") + days).alias("e"))
-    points = o.select(F.col("o_orderkey").alias("point_id"), "o_custkey", "o_orderdate")
-    span, since = F.timestamp_diff("MICROSECOND", F.col("s"), F.col("e")), F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("s"))
-    hits = points.join(windows, "o_custkey").where("s <= o_orderdate and o_orderdate <= e and interval_id <> point_id")
-    best = hits.groupBy("point_id").agg(F.min_by("interval_id", F.struct(span, -since, "interval_id")).alias("interval_id"))
-    return points.select("point_id").join(best, "point_id", "left")
+    """Each order with the innermost order's window of its customer around it, its own among them."""
+    days = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1990-01-01").cast("date"))
+    o = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate").select("o_orderkey", "o_custkey", days.alias("day"))
+    windows = o.select("o_custkey", F.col("o_orderkey").alias("interval_id"), F.col("day").alias("s"), (F.col("day") + 30 + F.col("o_orderkey") % 60).alias("e"))
+    points = o.select(F.col("o_orderkey").alias("point_id"), "o_custkey", "day")
+    return joins.enclosing_interval(points, windows, ["o_custkey"], "day", "s", "e", ["interval_id"], bin_width=45).select("point_id", "interval_id")
 
 
 @query(
     """WITH s AS (SELECT user_id, min(ts) AS a, max(ts) AS b, CAST(ts AS DATE) AS d FROM events GROUP BY user_id, CAST(ts AS DATE)),
-  h AS (SELECT user_id, CAST(ts AS DATE) AS d, date_trunc('hour', ts) AS x FROM events WHERE event_type = 'purchase' GROUP BY ALL)
+  h AS (SELECT user_id, CAST(ts AS DATE) AS d, date_trunc('hour', ts) AS x FROM events GROUP BY ALL)
   SELECT s.user_id, CAST(s.d AS VARCHAR) AS day, count(*) AS overlaps FROM s JOIN h ON s.user_id = h.user_id AND s.d = h.d AND s.a <= h.x + INTERVAL 1 HOUR AND h.x <= s.b GROUP BY 1, 2"""
 )
 def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events", "user_id", "ts", "event_type").withColumn("d", F.to_date("ts"))
     sessions = e.groupBy("user_id", "d").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
-    hours = e.where("event_type = 'purchase'").select("user_id", "d", F.date_trunc("hour", "ts").alias("x")).distinct().withColumn("y", F.col("x") + F.expr("INTERVAL 1 HOUR"))
+    hours = e.select("user_id", "d", F.date_trunc("hour", "ts").alias("x")).distinct().withColumn("y", F.col("x") + F.expr("INTERVAL 1 HOUR"))
     found = joins.overlapping(sessions, hours, ["user_id", "d"], ("a", "b"), ("x", "y"))
     return found.groupBy("user_id", F.col("d").cast("string").alias("day")).agg(F.count("*").alias("overlaps"))
 
 
 @query(
-    """WITH b AS (SELECT n_nationkey, n_name, count(s_suppkey) AS n, min(s_suppkey) AS one FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 6000 GROUP BY 1, 2)
-  SELECT n_nationkey, CASE WHEN n = 0 THEN 'missing' WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, n AS candidates, CASE WHEN n = 1 THEN one END AS resolved FROM b"""
+    """WITH k AS (SELECT n_nationkey * 10 + b AS key FROM nation, (SELECT unnest([0, 1, 2]) AS b)), s AS (SELECT s_nationkey * 10 + least(greatest(CAST(floor(s_acctbal / 3500) AS INTEGER), 0), 2) AS key, s_suppkey FROM supplier),
+  b AS (SELECT key, count(s_suppkey) AS n, min(s_suppkey) AS one FROM k LEFT JOIN s USING (key) GROUP BY 1)
+  SELECT key, CASE WHEN n = 0 THEN 'missing' WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, n AS candidates, CASE WHEN n = 1 THEN one END AS resolved FROM b"""
 )
 def unique_match_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rich = read(spark, sf_dir, "supplier").where("s_acctbal > 6000").select(F.col("s_nationkey").alias("n_nationkey"), "s_suppkey")
-    return joins.unique_match(read(spark, sf_dir, "nation", "n_nationkey"), rich, "n_nationkey", "s_suppkey")
+    """Nations and ranges of balances with the one supplier in each."""
+    keys = read(spark, sf_dir, "nation").select(F.explode(F.transform(F.array(F.lit(0), F.lit(1), F.lit(2)), lambda b: F.col("n_nationkey") * 10 + b)).alias("key"))
+    suppliers = read(spark, sf_dir, "supplier").selectExpr("s_nationkey * 10 + least(greatest(cast(floor(s_acctbal / 3500) as int), 0), 2) as key", "s_suppkey")
+    return joins.unique_match(keys, suppliers, "key", "s_suppkey")
 
 
 @query(
@@ -67,12 +66,15 @@ def cascade_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.cascade(o.select("o_orderkey"), "o_orderkey", rules)
 
 
-_EDGES = "(SELECT DISTINCT c_nationkey % 25 AS a, (c_custkey * 7) % 25 AS b FROM customer WHERE c_custkey % 3 = 0)"
+_EDGES = "(SELECT c_custkey AS a, CASE WHEN c_nationkey % 2 = 0 THEN (SELECT max(c_custkey) FROM customer) + 1 - c_custkey ELSE c_custkey % 10 END AS b FROM customer)"
 
 
-@query(f"SELECT CAST(e.a AS BIGINT) AS a, CAST(e.b AS BIGINT) AS b FROM {_EDGES} e WHERE NOT EXISTS (SELECT 1 FROM {_EDGES} r WHERE r.a = e.b AND r.b = e.a)")
+@query(f"SELECT e.a, e.b FROM {_EDGES} e WHERE NOT EXISTS (SELECT 1 FROM {_EDGES} r WHERE r.a = e.b AND r.b = e.a)")
 def reciprocal_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = read(spark, sf_dir, "customer").where("c_custkey % 3 = 0").selectExpr("cast(c_nationkey % 25 as bigint) as a", "(c_custkey * 7) % 25 as b").distinct()
+    """Customers that point at one which does not point back."""
+    c = read(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
+    last = c.agg(F.max("c_custkey")).first()[0]
+    edges = c.select(F.col("c_custkey").alias("a"), F.when(F.col("c_nationkey") % 2 == 0, F.lit(last) + 1 - F.col("c_custkey")).otherwise(F.col("c_custkey") % 10).alias("b"))
     return joins.not_reciprocal(edges, "a", "b")
 
 
@@ -107,23 +109,13 @@ def division_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.covers_all(l.join(part, l.l_partkey == part.p_partkey), "l_suppkey", "size", part)
 
 
-@query("SELECT conv_id, turn, role, lag(role) OVER w AS previous, CAST(turn - lag(turn) OVER w AS BIGINT) AS step, lag(role) OVER w IS DISTINCT FROM role AS changed FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
-def stage_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn with the one before it: the chain check of ordered stages."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    before = F.lag("role").over(w)
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", before.alias("previous"), (F.col("turn") - F.lag("turn").over(w)).alias("step"), (~before.eqNullSafe(F.col("role"))).alias("changed"))
-
-
 @query(
-    """SELECT conv_id, run, min(turn) AS first_turn, max(turn) AS last_turn, any_value(role) AS role FROM (
-  SELECT *, CAST(sum(c) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS run FROM (SELECT *, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = role THEN 0 ELSE 1 END AS c FROM conversations)) GROUP BY 1, 2"""
+    """SELECT conv_id, run, role, min(turn) AS first, max(turn) AS last, count(*) AS n FROM (
+  SELECT *, CAST(sum(c) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS run FROM (SELECT *, CASE WHEN lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = role THEN 0 ELSE 1 END AS c FROM conversations)) GROUP BY 1, 2, 3"""
 )
 def run_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consecutive turns of one role as islands."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    c = read(spark, sf_dir, "conversations").withColumn("c", F.when(F.lag("role").over(w) == F.col("role"), 0).otherwise(1))
-    return c.withColumn("run", F.sum("c").over(w)).groupBy("conv_id", "run").agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.first("role").alias("role"))
+    return release.runs_of(read(spark, sf_dir, "conversations"), ["conv_id"], "turn", ["role"])
 
 
 @query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k, json_valid(props) AS valid FROM events")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import hashing as H
 from ..operators import ranking as R
@@ -41,11 +41,14 @@ def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT lang, CAST(slot AS INTEGER) AS slot, doc_id, doc_id IS NOT NULL AS filled FROM (SELECT unnest(['de', 'en', 'es', 'fr', 'it']) AS lang) CROSS JOIN (SELECT unnest(range(1, 11)) AS slot)
+    f"""SELECT lang, CAST(slot AS INTEGER) AS slot, doc_id, doc_id IS NOT NULL AS filled FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL UNION SELECT 'xx') CROSS JOIN (SELECT unnest(range(1, 11)) AS slot)
   LEFT JOIN (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY digest) AS slot FROM {_RANKED}) USING (lang, slot)"""
 )
 def category_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.category_slots(_ranked(spark, sf_dir), "lang", "digest", ["de", "en", "es", "fr", "it"], 10).select("lang", "slot", "doc_id", "filled")
+    """Ten slots for every language of the documents, and for one that none has."""
+    ranked = _ranked(spark, sf_dir)
+    languages = sorted(r["lang"] for r in ranked.where("lang is not null").select("lang").distinct().collect())  # a row a language
+    return R.category_slots(ranked, "lang", "digest", [*languages, "xx"], 10).select("lang", "slot", "doc_id", "filled")
 
 
 @query(
@@ -98,21 +101,6 @@ def spread_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.spread_sample(read(spark, sf_dir, "events", "user_id", "event_id"), "user_id", ["event_id"], 24, 8)
 
 
-@query(
-    """WITH q AS (SELECT vec_id AS query_id, embedding AS a FROM embeddings WHERE vec_id < 5)
-  SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank FROM (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(a, embedding), 5) DESC, vec_id) AS rank FROM q JOIN embeddings ON vec_id <> query_id) WHERE rank <= 10"""
-)
-def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest vectors by cosine of the five first vectors, a fixed number of queries."""
-    e = read(spark, sf_dir, "embeddings", "vec_id", "embedding")
-    q = e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("a"))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v), F.lit(0.0), lambda s, t: s + t)
-    cosine = dot("a", "embedding") / F.sqrt(dot("a", "a") * dot("embedding", "embedding"))
-    pairs = e.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(cosine, 5).alias("c"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("c"), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where("rank <= 10").select("query_id", "vec_id", "rank")
-
-
 @query()
 def review_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of a conversation in batches of eight turns and 4,000 characters at most."""

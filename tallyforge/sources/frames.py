@@ -2,9 +2,27 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import has_component, is_test_file, language_of, repository_identity
+from ..storage import written
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, line_number, line)`` of text files, read by lines, so that a large file is many tasks.
+
+    A file's parts keep their order in the id that grows over the scan's partitions, which hold them in the
+    order of their files; a line's number follows from the sizes of the parts before it.
+    """
+    spark_lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+    rows = written(spark_lines.withColumn("at", F.monotonically_increasing_id()), "lines")
+    sizes = rows.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    ahead = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("file", "block", "first", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    # the lines of one block of a file are read by one task, one after the other
+    return rows.join(starts, ["file", "block"]).select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line_number"), F.regexp_replace("line", "\r$", "").alias("line"))
 
 
 def repository_list(spark: SparkSession, path: str) -> DataFrame:
@@ -12,8 +30,7 @@ def repository_list(spark: SparkSession, path: str) -> DataFrame:
 
     A record is cut at its first comma; blank lines are neither counted nor rejected; the header is line 1.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "line"))
-    return repository_rows(lines.select((F.col("at") + 1).alias("line_number"), F.regexp_replace("line", "\r$", "").alias("line")))
+    return repository_rows(numbered_lines(spark, path))
 
 
 def repository_rows(lines: DataFrame) -> DataFrame:
@@ -47,13 +64,32 @@ def pages(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 JOURNAL = "version int, scan_id string, stage string, is_manifest boolean, unit_id string, expected_units long, source_hash string, context_hash string, status string, provider string, model string, in_tok long, out_tok long, cached_in_tok long, estimated_cost_usd double, timestamp_unix_ms long, retry_on_resume boolean"
 
 
+def _torn(spark: SparkSession, path: str) -> list[str]:
+    """Those of the files at ``path`` that don't end with a line end, by their last byte alone."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = []
+    for status in system.globStatus(where) or []:
+        for one in system.listStatus(status.getPath()):
+            if one.isFile() and one.getLen():
+                stream = system.open(one.getPath())
+                stream.seek(one.getLen() - 1)
+                if stream.read() != 10:
+                    out.append(one.getPath().toString())
+                stream.close()
+    return out
+
+
 def journal(spark: SparkSession, path: str, schema: str = JOURNAL) -> DataFrame:
     """Events of a JSONL journal with their line numbers. A last line without its end is a torn write and is dropped; any other broken line is an error."""
-    whole = spark.read.text(path, wholetext=True).select(F.split("value", "\n").alias("lines"), F.col("_metadata.file_path").alias("file"))
-    # what follows the last line end goes before any row is parsed: a later filter could be moved below a condition on parsed values
-    ended = F.transform(F.slice("lines", 1, F.size("lines") - 1), lambda x, i: F.struct((i + 1).alias("seq"), x.alias("line")))
-    kept = whole.select("file", F.explode(F.filter(ended, lambda e: F.trim(e["line"]) != "")).alias("l"))
-    return kept.select("file", "l.seq", F.from_json("l.line", schema, {"mode": "FAILFAST"}).alias("e")).select("file", "seq", "e.*")
+    lines = numbered_lines(spark, path)
+    for file in _torn(spark, path):
+        mine = F.regexp_replace("file", "^file:/+", "/") == F.lit(re.sub("^file:/+", "/", file))
+        last = lines.where(mine).agg(F.max("line_number")).first()[0]
+        lines = lines.where(~(mine & (F.col("line_number") == last)))
+    # written before it is parsed: a later filter could be moved below a condition on parsed values
+    kept = written(lines.where(F.trim("line") != ""), "journal-lines")
+    return kept.select("file", F.col("line_number").alias("seq"), F.from_json("line", schema, {"mode": "FAILFAST"}).alias("e")).select("file", "seq", "e.*")
 
 
 def latest(events: DataFrame) -> DataFrame:

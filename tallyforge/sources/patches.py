@@ -46,7 +46,7 @@ def patch_facts(patches: DataFrame, key: str, patch: str = "patch") -> DataFrame
     hunk = F.col("line").startswith("@@ ") | (F.col("line") == "@@")
     lines = lines.withColumn("hunk", hunk).withColumn("begun", F.count_if("hunk").over(within.rowsBetween(Window.unboundedPreceding, -1)) > 0)
     header = ~F.col("begun") & F.col("line").rlike(r"^(---|\+\+\+) ")
-    value = F.trim(F.substring("line", 5, 1 << 20))
+    value = F.trim(F.substr("line", F.lit(5)))
     bad = header & (value != "/dev/null") & (value.startswith('"') | value.contains("\t"))
     path = F.regexp_replace(value, "^[ab]/", "")
     bad = bad | (header & (value != "/dev/null") & path.rlike(r"^$|^/|(^|/)\.\.(/|$)"))
@@ -58,7 +58,7 @@ def patch_facts(patches: DataFrame, key: str, patch: str = "patch") -> DataFrame
     active = F.last(F.when(F.col("hunk"), F.struct(_language(F.col("path")).alias("l"))), ignorenulls=True).over(within)["l"]
     lines = lines.withColumn("language", active)
     body = F.col("begun") & ~F.col("hunk") & F.col("language").isNotNull()
-    filled = lambda sign: body & F.col("line").startswith(sign) & (F.trim(F.substring("line", 2, 1 << 20)) != "")
+    filled = lambda sign: body & F.col("line").startswith(sign) & (F.trim(F.substr("line", F.lit(2))) != "")
     facts = lines.groupBy(key).agg(
         F.bool_or("bad").alias("bad"),
         F.bool_or("lost").alias("lost"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from ..operators.graph import written
+from ..storage import written
 
 # Stages of a slot in their order.
 STAGES = ["payload", "materialization", "test_materialization", "source_census", "semantic_census", "assessment_identity", "qualification", "test_recipe", "identical_tests", "ready_for_review"]
@@ -38,9 +38,12 @@ def windowed_counts(events: DataFrame, time: str, by: str, size: str, late: str,
 
 
 def progress(events: DataFrame) -> DataFrame:
-    """Expected, settled and retryable units per stage."""
-    real = F.coalesce(F.col("is_manifest"), F.lit(False))
-    return events.groupBy("stage").agg(F.max("expected_units").alias("expected"), F.approx_count_distinct(F.when(~real, F.col("unit_id")), 0.01).alias("seen"), F.count_if("retry_on_resume").alias("retryable"), F.sum("estimated_cost_usd").alias("spent"))
+    """Expected, settled and retryable units per stage, with the spend of all events: exact counts, each unit by its last event of ``seq``."""
+    manifest = F.coalesce(F.col("is_manifest"), F.lit(False))
+    units = events.where(~manifest).groupBy("stage", "unit_id").agg(F.max_by(F.coalesce("retry_on_resume", F.lit(False)), "seq").alias("retry"), F.sum("estimated_cost_usd").alias("spent"))
+    done = units.groupBy("stage").agg(F.count_if(~F.col("retry")).alias("settled"), F.count_if("retry").alias("retryable"), F.sum("spent").alias("spent"))
+    expected = events.groupBy("stage").agg(F.max("expected_units").alias("expected"))
+    return expected.join(done, "stage", "left").select("stage", "expected", F.coalesce("settled", F.lit(0)).alias("settled"), F.coalesce("retryable", F.lit(0)).alias("retryable"), F.coalesce("spent", F.lit(0.0)).alias("spent"))
 
 
 def stage_errors(checkpoints: DataFrame) -> DataFrame:

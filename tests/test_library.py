@@ -6,9 +6,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.functions import hashing, json_text, text
-from tallyforge.operators import aggregates, graph, joins, ranking, similarity, symbols
-from tallyforge.sources import extract, frames, patches
+from tallyforge.functions import hashing, json_text, shape, text
+from tallyforge.functions import text as T
+from tallyforge.operators import aggregates, graph, joins, ranking, release, scoring, similarity, symbols
+from tallyforge.sources import extract, frames, patches, sinks
 from tallyforge.streaming import journal as streams
 
 
@@ -143,8 +144,9 @@ def test_extraction_and_references(spark):
     assert by_name["helper"] == (2, "pkg/b.py::helper") and by_name["other"] == (3, "pkg/c.py::other") and by_name["run"] == (1, "pkg/a.py::run")
     refs = symbols.references(resolved, m)
     assert {(r["target"], r["caller"]) for r in refs.collect()} == {("pkg/b.py::helper", "run"), ("pkg/c.py::other", "run"), ("pkg/a.py::run", "_m")}
-    flags = {r["name"]: r["reason"] for r in symbols.reference_flags(m.where("language = 'python'"), refs).collect()}
-    assert flags == {"lonely": "orphaned export (never referenced)"}
+    python = m.where("language = 'python'")
+    flags = {r["method_name"]: r["reasons"] for r in scoring.reference_flags(python, shape.module_kinds(files, python), symbols.reference_counts(refs, python)).collect()}
+    assert flags == {"lonely": ["orphaned export (never referenced)"]}
 
 
 def test_components_and_chains(spark):
@@ -253,3 +255,158 @@ def test_entry_stands_alone():
 
     q, s = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(s) <= set(q) and "near_duplicates" in q
+
+
+def test_ranks_over_many_partitions(spark):
+    n = 1_000_000
+    rows = spark.range(n).select(F.col("id"), (F.col("id") * 7919 % 1000003).alias("k"), F.lit("x").alias("part"), F.lit(1).alias("at"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for partitions, coalesced in (("64", "true"), ("64", "false")):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)
+        ranked = ranking.with_rank(rows, F.sha2(F.col("k").cast("string"), 256), "id")
+        # the digests in rank order rise, and ranks are 1 to n, each once
+        r = ranked.agg(F.count("*").alias("n"), F.min("rank").alias("lo"), F.max("rank").alias("hi"), F.count_distinct("rank").alias("d"), F.count_distinct("id").alias("ids")).first()
+        assert tuple(r) == (n, 1, n, n, n) and ranked.columns == ["id", "k", "part", "at", "digest", "rank"]
+        some = ranked.where("rank <= 2000 or rank > 998000").select("rank", "digest").orderBy("rank").collect()
+        assert [x["digest"] for x in some] == sorted(x["digest"] for x in some)
+        exact = rows.select("id", F.sha2(F.col("k").cast("string"), 256).alias("digest")).orderBy("digest", "id").limit(50).collect()
+        assert [x["id"] for x in exact] == [x["id"] for x in ranked.where("rank <= 50").orderBy("rank").collect()]
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    with pytest.raises(ValueError, match="population has 3"):
+        ranking.hash_rank(spark.range(3), "c", "s", ["id"], 10)
+
+
+def test_long_paths_are_followed(spark):
+    path = spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    found = graph.reachable(path, "a", "b", spark.range(1).select(F.col("id").alias("root"))).collect()
+    assert sorted((r["node"], r["depth"]) for r in found) == [(k, k) for k in range(61)]
+    assert graph.reachable(path, "a", "b", spark.range(1).select(F.col("id").alias("root")), 3).count() == 4
+    hops = [(f"f{k}", "x", f"f{k + 1}", "x") for k in range(24)]
+    exports = spark.createDataFrame(hops, "file string, name string, to_file string, to_name string")
+    ends = graph.follow_exports(exports, exports.limit(1).select("file", "name")).collect()
+    assert [(r["end_file"], r["hops"]) for r in ends] == [("f24", 24)]
+    with pytest.raises(ValueError, match="disputed"):
+        graph.agreed_reach(path, spark.createDataFrame([(40,)], "node long"), spark.range(1).select(F.col("id").alias("root"))).collect()
+
+
+def test_deep_answers_have_no_result():
+    assert json_text.salvage("{" * 100_000) is None
+
+
+def test_journal_of_many_parts(spark, tmp_path):
+    path = tmp_path / "j.jsonl"
+    path.write_text("".join(json.dumps({"k": k}) + "\n" for k in range(20_000)) + '{"k"')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    found = frames.journal(spark, str(path), "k long").select("seq", "k").collect()
+    listed = frames.numbered_lines(spark, str(path)).agg(F.count("*"), F.max("line_number")).first()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r["seq"], r["k"]) for r in found) == [(k + 1, k) for k in range(20_000)]
+    assert tuple(listed) == (20_001, 20_001)
+
+
+def test_truncation_in_bytes(spark):
+    for text in ["short", "a" * 30, "é" * 12, "日本語のテキストです", "x" + "🙂" * 6, "ab" + "é" * 9]:
+        got = spark.createDataFrame([(text,)], "t string").select(T.truncated(F.col("t"), 20)).first()[0]
+        raw = text.encode()
+        want = text if len(raw) <= 20 else raw[:20].decode(errors="ignore") + "…"
+        assert got == want
+
+
+def test_earlier_matches(spark):
+    r = random.Random(9)
+    pool = [[r.randrange(60) for _ in range(r.randint(1, 14))] for _ in range(25)]
+    sets = []
+    for k in range(120):
+        own = set(r.choice(pool))
+        if r.random() < 0.4:
+            own ^= {r.randrange(60)}
+        sets.append((k, sorted(own), r.choice("ab")))
+    df = spark.createDataFrame(sets, "id int, s array<int>, g string")
+    want = {}
+    for i, a, g in sets:
+        best = max(((len(set(a) & set(b)) / len(set(a) | set(b)), j) for j, b, h in sets if j < i and h == g and a and b), default=(0, None))
+        if best[0] >= 0.8:
+            want[i] = (best[1], round(best[0], 9))
+    got = {x["later"]: (x["earlier"], round(x["similarity"], 9)) for x in similarity.earlier_matches(df, "id", "s", 0.8, "g").collect()}
+    assert got == want and want
+
+
+def test_sinks(spark, tmp_path):
+    at = f"file://{tmp_path}"
+    df = spark.createDataFrame([(10, "a/b", "2026"), (2, "c/d", "2025")], "id long, full_name string, created_at string")
+    sinks.repository_csv(df, f"{at}/csv")
+    text = "".join(p.read_text() for p in sorted((tmp_path / "csv").glob("part-*")))
+    assert text == "repo,metadata\nhttps://github.com/c/d,2025\nhttps://github.com/a/b,2026\n"
+    with pytest.raises(Exception):
+        sinks.repository_csv(df, f"{at}/csv")
+    sinks.create_json(df, f"{at}/json")
+    with pytest.raises(Exception):
+        sinks.create_json(df, f"{at}/json")
+    files = {r["file_path"]: r["n_bytes"] for r in sinks.inventory(spark, f"{at}/csv").collect() if "part-" in r["file_path"]}
+    assert sum(files.values()) == len(text.encode()) and all("/" not in p for p in files)
+    sealed = sinks.sealed(df.withColumn("seal", F.lit("")), ["id", "full_name", "seal"], "seal")
+    assert sinks.seal_errors(sealed, ["id", "full_name", "seal"], "seal").count() == 0
+    assert sinks.seal_errors(sealed.withColumn("id", F.col("id") + 1), ["id", "full_name", "seal"], "seal").count() == 2
+    verdicts = spark.createDataFrame([("u", "slop"), ("v", "clean")], "unit_id string, tier string")
+    sources = spark.createDataFrame([("a.py", "00")], "file_path string, sha256 string")
+    run = sinks.completed_run(sources, verdicts, "s", "c")
+    assert sinks.verify_run(run, sources, verdicts) == [] and sinks.verify_run(run, sources, verdicts.limit(1)) != []
+    shown = spark.createDataFrame([("b.py", "kinda_slop", ["x"]), ("a.py", "slop", ["y", "z"]), ("c.py", "clean", [])], "file_path string, verdict string, top_reasons array<string>")
+    report = sinks.markdown(shown)
+    assert report == "# Report\n\n## a.py: slop\n- y\n- z\n\n## b.py: kinda_slop\n- x\n\nslop 1, kinda_slop 1, unresolved 0, clean 1\n"
+    sinks.write_atomically(report, str(tmp_path / "r.md"))
+    assert (tmp_path / "r.md").read_text() == report and len(list(tmp_path.glob("r.md*"))) == 1
+
+
+def test_places_and_settings(tmp_path):
+    deep = tmp_path / "repo" / "a" / "b"
+    deep.mkdir(parents=True)
+    (tmp_path / "repo" / "go.mod").write_text("module x")
+    (tmp_path / "repo" / "own.toml").write_text("limit = 3\n")
+    assert sinks.repository_root(str(deep)) == str(tmp_path / "repo")
+    assert sinks.settings(str(deep), "own.toml") == {"limit": 3} and sinks.settings(str(deep), "other.toml") == {}
+    (deep / "own.toml").write_text("limit =")
+    with pytest.raises(ValueError):
+        sinks.settings(str(deep), "own.toml")
+
+
+def test_aliases(spark):
+    settings = '{// paths\n"compilerOptions": {"baseUrl": "./src", "paths": {"@/*": ["./*"], "@/lib/*": ["lib/*"], "one": ["lib/one.ts"],}, /* end */},}'
+    aliases = symbols.path_aliases(settings, "web")
+    assert aliases == [("@/lib/*", "web/src/lib/*"), ("one", "web/src/lib/one.ts"), ("@/*", "web/src/*")]
+    rows = spark.createDataFrame([("@/lib/a",), ("@/b",), ("one",), ("other",)], "m string")
+    assert [r[0] for r in rows.select(symbols.aliased(F.col("m"), aliases)).collect()] == ["web/src/lib/a", "web/src/b", "web/src/lib/one.ts", None]
+    text = spark.createDataFrame([("a.name + $name",), ("my_name names",), ("(name)",)], "t string")
+    assert [r[0] for r in text.select(symbols.names_identifier(F.col("t"), "name")).collect()] == [True, False, True]
+
+
+def test_gates_raise(spark):
+    bad = spark.createDataFrame([("b.py", 3, "private key"), ("a.py", 9, "AWS access key")], "file_path string, line_no int, kind string")
+    with pytest.raises(ValueError, match="a.py:9 AWS access key; b.py:3 private key"):
+        T.require_no_secrets(bad)
+    T.require_no_secrets(bad.limit(0))
+    status = spark.createDataFrame([(1, "matched"), (2, "missing")], "k int, status string")
+    with pytest.raises(ValueError, match="2: missing"):
+        joins.require_complete(status, "k")
+    one = spark.createDataFrame([("A/b", "R1", "Go")], "repository string, revision string, language string")
+    with pytest.raises(ValueError, match="selected twice"):
+        release.composite([one, one], {"go": 2})
+    with pytest.raises(ValueError, match="go: 1 of 2"):
+        release.composite([one], {"go": 2})
+    prior = spark.createDataFrame([(1, "a", "ok"), (2, "b", "no")], "rank int, repo string, assessment string")
+    longer = spark.createDataFrame([(1, "a"), (2, "x"), (3, "c")], "rank int, repo string")
+    with pytest.raises(ValueError, match="inherited rank 2 changed"):
+        release.continued(prior, longer, ["repo"])
+
+
+def test_context_windows(spark):
+    source = "\n".join(f"line {k}" for k in range(1, 31))
+    files = spark.createDataFrame([("a.py", source)], "file_path string, source string")
+    methods = spark.createDataFrame([("a.py", "m", 9, 14)], "file_path string, name string, start_line int, end_line int")
+    refs = spark.createDataFrame([("t", "a.py", 10, "m"), ("t", "a.py", 2, None), ("t", "a.py", 29, None)], "target string, file_path string, line int, caller string")
+    got = {r["line"]: r["context"].split("\n") for r in symbols.caller_context(refs, files, methods).collect()}
+    lines = lambda a, b: [f"line {k}" for k in range(a, b + 1)]
+    assert got == {10: lines(9, 14), 2: lines(1, 7), 29: lines(25, 30)}
