@@ -31,7 +31,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths of all tables that this process has written, in the order of their making.
+made: list[str] = []
+
+
 def written_at(df: DataFrame, path: str) -> DataFrame:
+    made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -44,3 +49,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def removed(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def remove_made(spark: SparkSession, since: int, keep: str | None = None) -> None:
+    """Removes the tables that were written since ``made`` had so many entries, but for one."""
+    for path in made[since:]:
+        if path != keep:
+            removed(spark, path)
+    made[since:] = [keep] if keep else []
