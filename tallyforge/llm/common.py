@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import gc
-import re
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..shipping import ship
+from ..storage import fresh_path, made, remove_made, removed as remove_path, written as stored, written_at as stored_at
+
+__all__ = ["fresh_path", "made", "remove_made", "remove_path", "stored", "stored_at"]
 
 #: A word is a run of characters other than space and the five ASCII controls 09-0D.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
@@ -39,54 +38,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    ``spark.checkpoint.dir`` names it on a cluster. Only where that is unset and all runs in this
-    process, as in tests, a folder is made and set; a cluster without the setting is refused.
-    """
-    held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not held:
-        set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if set_before.isDefined():
-            return set_before.get()
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        held = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
-        spark.sparkContext.setCheckpointDir(held)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(held)
-    return held
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read again; cuts lineage, survives lost executors."""
-    return stored_at(df, fresh_path(df.sparkSession, name))
-
-
-#: Paths of all stored tables of this process, in the order of their making.
-made: list[str] = []
-
-
-def stored_at(df: DataFrame, path: str) -> DataFrame:
-    made.append(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove_made(spark: SparkSession, since: int, keep: str | None = None) -> None:
-    """Removes the tables that were stored since ``made`` had so many entries, but for one."""
-    for path in made[since:]:
-        if path != keep:
-            remove_path(spark, path)
-    made[since:] = [keep] if keep else []
-
-
 def free_disk(spark: SparkSession) -> None:
     """Lets Spark drop shuffle files of finished queries now, not when the driver happens to collect its garbage."""
     gc.collect()
@@ -117,24 +68,6 @@ def dealt_join(rows: DataFrame, keys: DataFrame, on: list[str], by: str) -> Data
     return dealt.join(each, [*on, deal]).drop(deal, "n")
 
 
-def remove_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def per_batch(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]):
-    """A ``mapInArrow`` function from one that builds the per-batch function once per task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = make()
-        for batch in batches:
-            if batch.num_rows:
-                yield one(batch)
-
-    return run
-
-
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str | None]:
     return batch.column(batch.schema.get_field_index(column)).to_pylist()
 
@@ -152,6 +85,3 @@ def crc_mod5(column) -> "F.Column":
     """crc32 of the value as decimal text, modulo 5."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % 5
 
-
-def letters_only(name: str) -> str:
-    return re.sub(r"\W+", "_", name)

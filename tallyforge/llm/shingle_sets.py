@@ -22,8 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..operators.graph import components
 from .common import free_disk, small_batches, stored, texts, words
-from .graph import components
 
 #: The least similarity as a fraction, so that no test rounds.
 OVER, UNDER = 4, 5
@@ -169,7 +169,7 @@ def near_duplicates(docs: DataFrame, shingle: int) -> DataFrame:
     starred = cells.where("node <> hub").where(_fits("n", "hub_n")).select(F.col("hub").alias("u"), F.col("node").alias("v")).distinct()
     first = _links(starred, distinct, items, shingle, "first")
 
-    near = components(first)
+    near = components(first, "u", "v").withColumnRenamed("component", "root")
     rooted = cells.join(near, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     mixed = rooted.withColumn("low", F.min("root").over(cell)).withColumn("high", F.max("root").over(cell)).where("low <> high")
     mixed = stored(mixed.select("key", "node", "n", "root"), "mixed-cells")
@@ -181,7 +181,7 @@ def near_duplicates(docs: DataFrame, shingle: int) -> DataFrame:
         second = _links(across.select(F.col("node").alias("u"), "v").distinct().join(tested, ["u", "v"], "left_anti"), distinct, items, shingle, "second")
         root_of = lambda c: rooted.select(F.col("node").alias(c), F.col("top").alias(f"{c}_top"))
         between = second.join(root_of("u"), "u").join(root_of("v"), "v").select(F.col("u_top").alias("u"), F.col("v_top").alias("v"))
-        tops = components(between).select(F.col("node").alias("top"), "root")
+        tops = components(between, "u", "v").select(F.col("node").alias("top"), F.col("component").alias("root"))
         rooted = stored(rooted.join(tops, "top", "left").select("node", "first_id", F.coalesce("root", "top").alias("top")), "rooted")
     named = rooted.join(rooted.groupBy("top").agg(F.min("first_id").alias("component_id")), "top").select("node", "component_id")
     return every.select("doc_id", "node").join(named, "node").select("doc_id", F.col("node").alias("print"), "component_id")

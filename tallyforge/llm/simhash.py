@@ -28,10 +28,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..operators.graph import components
 from ..shipping import ship
 from . import shingle_sets
 from .common import free_name, small_batches, stored, table, texts
-from .graph import components
 
 SHINGLE = 3
 SEED = 42
@@ -225,7 +225,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         return shingle_sets.near_duplicates(docs, shingle)
     prints = stored(fingerprints(docs, shingle), "prints")
     distinct = stored(prints.groupBy("print").agg(F.min("doc_id").alias("first_id")), "distinct-prints")
-    roots = components(near_links(distinct.select("print"))).withColumnRenamed("node", "print")
+    roots = components(near_links(distinct.select("print")), "u", "v").select(F.col("node").alias("print"), F.col("component").alias("root"))
     linked = stored(distinct.join(roots, "print"), "linked-prints")
     names = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = linked.join(names, "root").select("print", "component_id")
