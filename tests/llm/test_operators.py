@@ -646,3 +646,60 @@ def test_language_distance_and_hot_language(spark, monkeypatch):
         assert name == profiles.names[best] and abs(score - second / (least + second)) < 1e-12
     right = sum(profiles.predict(t)[0] == lang for _, t, lang in rows if t)
     assert right > 0.9 * len(rows)
+
+
+def test_quality_verdicts(docs):
+    import regex
+
+    classes = [p.replace(r"[\p{L}&&[^\p{Lu}]]+", r"[\p{L}--\p{Lu}]+") for p in quality_rules.CLASSES]
+
+    def histograms(text):
+        w = WORD.findall(text or "")
+        left, sizes = "".join(w), [len("".join(w))]
+        for p in classes:
+            left = regex.sub("(?V1)" + p, "", left)
+            sizes.append(len(left))
+        common = np.array([sum(x.lower() == c for x in w) for c in quality_rules.COMMON], float)
+        return len(w), np.r_[-np.diff(sizes), sizes[-1]].astype(float), np.r_[common, len(w) - common.sum()]
+
+    def distance(p, q):
+        mid = (p + q) / 2
+        kl = lambda a: float(np.sum(a[a > 0] * np.log2(a[a > 0] / mid[a > 0])))
+        return np.sqrt(max((kl(p) + kl(q)) / 2, 0))
+
+    rows = {r[0]: r for r in corpus()}
+    sums = {}
+    for _, text, lang, *_ in corpus():
+        if lang:
+            n, chars, words_ = histograms(text)
+            a, b = sums.setdefault(lang, [0.0, 0.0])
+            sums[lang] = [a + chars, b + words_]
+    refs = {k: (a / max(a.sum(), 1), b / max(b.sum(), 1)) for k, (a, b) in sums.items() if b.sum()}
+    for r in quality_rules.judge(docs).collect():
+        n, chars, words_ = histograms(rows[r["doc_id"]][1])
+        most = 0.24 + 0.5 / np.sqrt(max(n, 1)), 0.25 + 1 / np.sqrt(max(n, 1))
+        each = [(distance(chars / max(chars.sum(), 1), a), distance(words_ / max(n, 1), b)) for a, b in refs.values()]
+        c, w = min(each, key=lambda x: max(x[0] / most[0], x[1] / most[1]))
+        if n:
+            assert (r["class_distance"], r["word_distance"]) == (pytest.approx(c, abs=1e-9), pytest.approx(w, abs=1e-9))
+        short = n < quality_rules.MIN_WORDS or chars.sum() < quality_rules.MIN_CHARS
+        assert r["kept"] == (not r["base_failed"] and (short or (c <= most[0] and w <= most[1])))
+
+
+def test_repeated_ids_and_held_out_quality(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = quality.train(docs, labels)
+    found = quality.score_documents(docs, model).join(labels, "doc_id").where("held_out").collect()
+    good, bad = [r["score"] for r in found if r["quality"] == 1], [r["score"] for r in found if r["quality"] == 0]
+    assert np.mean([a > b for a in good for b in bad]) > 0.95
+    assert all((r["predicted"] == 1) == (r["score"] >= 0.3) and 0 <= r["score"] <= 1 for r in found)
+    # of different texts with one id the least trains, in whatever order they come
+    some = docs.join(labels, "doc_id").select(docs["doc_id"], "text").limit(200).cache()
+    twice = some.unionByName(some.selectExpr("doc_id", "concat('zz ', text) AS text"))
+    a, b = quality.train(twice, labels), quality.train(twice.repartition(3).orderBy("text", ascending=False), labels)
+    assert np.array_equal(a.w1, b.w1) and a.temperature == b.temperature
+    langs = language_id.op9_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").collect()
+    assert np.mean([r["lang_pred"] == r["lang"] for r in langs]) > 0.98
+    clash = spark.createDataFrame([(5, "the cat and the dog", "en"), (5, "la casa de la playa", "es"), (None, "x", "en")], "doc_id long, text string, lang string")
+    assert sorted(r["lang_pred"] for r in language_id.identify(clash, language_id.train(clash)).collect()) == ["en", "en", "es"]
