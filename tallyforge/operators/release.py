@@ -166,6 +166,11 @@ def method_census(methods: DataFrame, declared: DataFrame) -> DataFrame:
     return total.join(counts, "repository", "left").select("repository", "language", F.coalesce("n", F.lit(0)).alias("n"), "sums_up")
 
 
+def tier_pivot(verdicts: DataFrame, by: str) -> DataFrame:
+    """Numbers of each tier side by side for every group: (by, clean, kinda_slop, slop, unresolved)."""
+    return verdicts.groupBy(by).agg(*[F.count_if(F.col("tier") == t).alias(t) for t in ("clean", "kinda_slop", "slop", "unresolved")])
+
+
 def slot_summary(slots: DataFrame, least_each: int, least_total: int) -> DataFrame:
     """Slots (language, outcome) by language, with the total as a null language: counts by outcome and whether enough were accepted."""
     n = lambda kind: F.count_if(F.col("outcome") == kind)

@@ -62,7 +62,13 @@ def greedy_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.greedy_slots_single(ranked, "c_custkey", "c_mktsegment", "digest", 128).select("o_orderkey", "c_custkey", "c_mktsegment", "slot")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE d AS (SELECT doc_id, source, lang, row_number() OVER (ORDER BY digest) AS k FROM {_RANKED}),
+  r AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS taken, CAST([] AS VARCHAR[]) AS langs, CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS VARCHAR) AS source, CAST(NULL AS VARCHAR) AS lang, CAST(0 AS INTEGER) AS slot UNION ALL
+    SELECT d.k, CASE WHEN ok THEN list_append(taken, d.source) ELSE taken END, CASE WHEN ok THEN list_append(langs, d.lang) ELSE langs END, d.doc_id, d.source, d.lang, CAST(CASE WHEN ok THEN n + 1 ELSE 0 END AS INTEGER)
+    FROM (SELECT r.taken, r.langs, d.k, d.doc_id, d.source, d.lang, len(list_filter(r.langs, lambda x: x = d.lang)) AS n, NOT list_contains(r.taken, d.source) AND len(list_filter(r.langs, lambda x: x = d.lang)) < 4 AS ok FROM r JOIN d ON d.k = r.k + 1) d)
+  SELECT doc_id, source, lang, slot FROM r WHERE slot > 0"""
+)
 def greedy_slots_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy selection where repositories (sources) have several languages."""
     return R.greedy_slots(_ranked(spark, sf_dir), "source", "lang", "digest", 4).select("doc_id", "source", "lang", "slot")
@@ -101,7 +107,12 @@ def spread_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.spread_sample(read(spark, sf_dir, "events", "user_id", "event_id"), "user_id", ["event_id"], 24, 8)
 
 
-@query()
+@query(
+    """WITH RECURSIVE t AS (SELECT conv_id, turn, length(text) AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+  r AS (SELECT conv_id, turn, chars, k, 1 AS batch, 1 AS n, chars AS used FROM t WHERE k = 1 UNION ALL
+    SELECT t.conv_id, t.turn, t.chars, t.k, CASE WHEN r.n = 8 OR r.used + t.chars > 4000 THEN r.batch + 1 ELSE r.batch END, CASE WHEN r.n = 8 OR r.used + t.chars > 4000 THEN 1 ELSE r.n + 1 END, CASE WHEN r.n = 8 OR r.used + t.chars > 4000 THEN t.chars ELSE r.used + t.chars END FROM r JOIN t ON t.conv_id = r.conv_id AND t.k = r.k + 1)
+  SELECT conv_id, turn, chars, batch FROM r"""
+)
 def review_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of a conversation in batches of eight turns and 4,000 characters at most."""
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("chars"))

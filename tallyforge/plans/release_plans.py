@@ -216,6 +216,13 @@ def method_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.method_census(d.select(F.col("source").alias("repository"), F.col("lang").alias("language")), declared)
 
 
+@query("SELECT source, count(*) FILTER (quality = 1) AS clean, 0 AS kinda_slop, count(*) FILTER (quality = 0) AS slop, count(*) FILTER (quality IS NULL) AS unresolved FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
+def tier_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiers of documents side by side for every source."""
+    d = read(spark, sf_dir, "documents", "doc_id", "source").join(read(spark, sf_dir, "labels"), "doc_id", "left")
+    return R.tier_pivot(d.select("source", F.when(F.col("quality") == 1, "clean").when(F.col("quality") == 0, "slop").otherwise("unresolved").alias("tier")), "source")
+
+
 _OUTCOME = "CASE CAST(o_orderkey % 5 AS INT) WHEN 0 THEN 'unfilled' WHEN 1 THEN 'excluded' WHEN 2 THEN 'review_closed' ELSE 'accepted' END"
 
 

@@ -105,13 +105,15 @@ def reusable(wanted: DataFrame, events: DataFrame, version: int) -> tuple[DataFr
     return wanted.join(done.select(*keys), keys, "left_semi"), wanted.join(done.select(*keys), keys, "left_anti")
 
 
-def source_files(spark: SparkSession, root: str, ignored: list[str] = ("node_modules", "target", ".git", "dist", "build", "vendor")) -> DataFrame:
-    """Supported source files below a root with language, text, digest and whether they are tests."""
+def source_files(spark: SparkSession, root: str, ignored: list[str] = ("node_modules", "target", ".git", "dist", "build", "vendor"), rules: list[str] = ()) -> DataFrame:
+    """Supported source files below a root with language, text, digest and whether they are tests; ``rules`` are those of an ignore file."""
+    from .sinks import gitignored
+
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
     path = F.regexp_replace("path", "^.*?" + base.replace(".", r"\.") + "/", "")
     named = files.select(path.alias("file_path"), "content", F.sha2("content", 256).alias("source_hash"))
-    kept = named.withColumn("language", language_of(F.col("file_path"))).where("language is not null").where(~has_component(F.col("file_path"), list(ignored)))
+    kept = named.withColumn("language", language_of(F.col("file_path"))).where("language is not null").where(~has_component(F.col("file_path"), list(ignored)) & ~gitignored(F.col("file_path"), list(rules)))
     return kept.select("file_path", "language", F.decode("content", "UTF-8").alias("source"), "source_hash", is_test_file(F.col("file_path")).alias("is_test"))
 
 
@@ -119,3 +121,8 @@ def cache_misses(files: DataFrame, cache: DataFrame, contract: str) -> DataFrame
     """Files that the content-addressed cache lacks; its key is a digest of contract, extension and content."""
     key = F.sha2(F.concat(F.lit(contract), F.char(F.lit(0)), "language", F.char(F.lit(0)), "source_hash"), 256)
     return files.withColumn("cache_key", key).join(cache.select("cache_key"), "cache_key", "left_anti")
+
+
+def cache_store(parsed: DataFrame, path: str) -> None:
+    """Adds parsed files with their ``cache_key`` to the cache; entries are never changed, so a file that comes twice gives equal rows."""
+    parsed.dropDuplicates(["cache_key"]).write.mode("append").parquet(path)
