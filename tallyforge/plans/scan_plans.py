@@ -252,7 +252,8 @@ def copied_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copied and near-copied methods, and tests that repeat what they test."""
     files, methods = X.copied(spark)
     kinds = S.module_kinds(files, methods)
-    found = scoring.union_flags(scoring.duplicate_flags(methods, kinds), scoring.mirror_flags(methods, kinds), scoring.provenance_flags(kinds))
+    rows = scoring.prepared(methods, kinds)
+    found = scoring.union_flags(scoring.duplicate_flags(rows), scoring.mirror_flags(rows), scoring.provenance_flags(kinds))
     return found.select("gate", "file_path", "method_name", F.get("reasons", F.lit(0)).alias("reason"), "tier")
 
 

@@ -258,7 +258,7 @@ def test_entry_stands_alone():
 
 
 def test_ranks_over_many_partitions(spark):
-    n = 1_000_000
+    n = 1_000_000  # enough rows for several parts of the sort
     rows = spark.range(n).select(F.col("id"), (F.col("id") * 7919 % 1000003).alias("k"), F.lit("x").alias("part"), F.lit(1).alias("at"))
     before = spark.conf.get("spark.sql.shuffle.partitions")
     for partitions, coalesced in (("64", "true"), ("64", "false")):
