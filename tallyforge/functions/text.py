@@ -137,8 +137,7 @@ def matches_name(name: Column, patterns: list[str]) -> Column:
 
 
 def is_generic_name(name: Column, generic: list[str], allowed: list[str] = ()) -> Column:
-    snake = snake_case(name)
-    return ~matches_name(snake, list(allowed)) & matches_name(snake, generic) & (F.size(name_tokens(snake)) <= 2)
+    return bound(snake_case(name), lambda snake: ~matches_name(snake, list(allowed)) & matches_name(snake, generic) & (F.size(name_tokens(snake)) <= 2))
 
 
 #: Fixed value: the tokens of source code in the order in which they are tried.
@@ -152,8 +151,14 @@ TOKEN = (
 
 def code_tokens(source: Column) -> Column:
     """Tokens with comments dropped and strings, numbers and words replaced by their class."""
-    found = F.filter(F.regexp_extract_all(source, F.lit(TOKEN), F.lit(0)), lambda t: ~t.rlike(r"^(//|/\*|#)"))
-    return F.transform(found, lambda t: F.when(t.rlike("^[\"'`]"), "STR").when(t.rlike("^[0-9]"), "NUM").when(t.rlike(r"^[\p{L}_]"), "ID").otherwise(t))
+    found = F.filter(F.regexp_extract_all(source, F.lit(TOKEN), F.lit(0)), lambda t: ~(t.startswith("//") | t.startswith("/*") | t.startswith("#")))
+
+    def kind(t: Column) -> Column:
+        c = F.substring(t, 1, 1)
+        word = c.between("a", "z") | c.between("A", "Z") | (c == "_") | ((F.ascii(c) > 127) & c.rlike(r"^\p{L}"))
+        return F.when(word, "ID").when(c.isin('"', "'", "`"), "STR").when(c.between("0", "9"), "NUM").otherwise(t)
+
+    return F.transform(found, kind)
 
 
 def bound(value: Column, body) -> Column:
