@@ -12,8 +12,8 @@ from .aggregates import is_finding, metrics, ratio
 
 def joined_predictions(cases: DataFrame, predictions: DataFrame) -> DataFrame:
     """Every case in every run: predictions ``(run_id, case_id, tier, ...)`` beside ``cases`` (case_id, expected_tier, ...), clean where a run has none."""
-    runs = predictions.select("run_id").distinct()
-    every = cases.crossJoin(F.broadcast(runs))  # a submission holds a handful of runs
+    runs = sorted(r["run_id"] for r in predictions.select("run_id").where("run_id is not null").distinct().collect())  # a submission holds a handful of runs
+    every = cases.withColumn("run_id", F.explode(F.array(*[F.lit(r) for r in runs]).cast("array<string>")))
     own = predictions.where("case_id is not null").groupBy("run_id", "case_id").agg(F.min_by("tier", "prediction_id").alias("predicted_tier"), F.count("*").alias("n_predictions"))
     return every.join(own, ["run_id", "case_id"], "left").withColumn("predicted_tier", F.coalesce("predicted_tier", F.lit("clean"))).na.fill(0, ["n_predictions"])
 
