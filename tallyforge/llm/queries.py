@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import prefix_trie, topk_search
+from . import divergence, prefix_trie, topk_search
 from .bpe import op3_bpe
 from .html_text import op6_html_text
 from .language_id import op9_language_id
@@ -31,8 +31,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_language_id": op9_language_id,
         "op10_topk": topk_search.op10_topk,
         "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+        "op12_divergence": divergence.op12_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_topk": topk_search.ORACLE, "op11_prefix_trie": prefix_trie.ORACLE}
+    return {"op10_topk": topk_search.ORACLE, "op11_prefix_trie": prefix_trie.ORACLE, "op12_divergence": divergence.ORACLE}
