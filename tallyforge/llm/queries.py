@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import divergence, prefix_trie, topk_search
 from .bpe import op3_bpe
 from .html_text import op6_html_text
+from .jaccard_join import op13_jaccard_join
 from .language_id import op9_language_id
 from .packing import op2_packing
 from .quality import op7_quality
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_topk": topk_search.op10_topk,
         "op11_prefix_trie": prefix_trie.op11_prefix_trie,
         "op12_divergence": divergence.op12_divergence,
+        "op13_jaccard_join": op13_jaccard_join,
     }
 
 
