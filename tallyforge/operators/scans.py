@@ -1,9 +1,9 @@
 """Running sums over rows in order, in two levels, so that no group is one task.
 
 Rows are range-partitioned by group and order, sorted and summed within each partition in the same
-stage, and written once. One row for each partition then says what its last group has come to; a group
+stage, and written once. Each partition's first and last rows then say what its last group has come to; a group
 that goes on in the next partition brings that along. So a group may hold any share of the rows, and what
-is gathered on the driver is one row for each partition.
+is gathered on the driver is two rows for each partition.
 """
 
 from __future__ import annotations
@@ -59,13 +59,13 @@ def _changes(columns: list[pa.Array]) -> np.ndarray:
     return out
 
 
-def _local(group: list[str], sums: list[str], n_out: int):
-    """Adds each group's sums so far within the partition, the partition, the row's place and whether the row is of its first group."""
+def _local(group: list[str], sums: list[str], n_out: int, names: list[str]):
+    """Adds each group's sums so far within the partition, the partition, the row's place, whether the row is of its first group, and whether it is its last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, at, first, before, carried = TaskContext.get().partitionId(), 0, True, None, np.zeros(len(sums), "i8")
+        part, at, first, before, carried, held = TaskContext.get().partitionId(), 0, True, None, np.zeros(len(sums), "i8"), None
         for batch in batches:
             n = batch.num_rows
             if not n:
@@ -90,7 +90,12 @@ def _local(group: list[str], sums: list[str], n_out: int):
                 first = not len(starts)
             marks = [pa.array(np.full(n, part, "i4")), pa.array(np.arange(at, at + n)), pa.array(head)]
             at += n
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n_out], *out, *marks], names=[f"c{k}" for k in range(n_out + len(out) + 3)])
+            if held is not None:
+                yield pa.RecordBatch.from_arrays([*held, pa.array(np.full(len(held[0]), False))], names=names)
+            held = [*batch.columns[:n_out], *out, *marks]
+        if held is not None:
+            last = np.arange(len(held[0])) == len(held[0]) - 1
+            yield pa.RecordBatch.from_arrays([*held, pa.array(last)], names=names)
 
     return run
 
@@ -104,34 +109,26 @@ def running(df: DataFrame, group: list[str], order: list[Column | str], sums: di
     """
     spark = df.sparkSession
     ship(spark)
-    part, at, head = free_names([*df.columns, *sums], "part", "at", "head")
+    part, at, head, tail = free_names([*df.columns, *sums], "part", "at", "head", "tail")
     keys = [F.col(g).asc_nulls_first() for g in group] + list(order)
     ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     kept = list(df.schema.fields)
-    schema = T.StructType([*kept, *[T.StructField(c, T.LongType()) for c in sums], T.StructField(part, T.IntegerType()), T.StructField(at, T.LongType()), T.StructField(head, T.BooleanType())])
-    local = ordered.mapInArrow(_named(_local(group, list(sums.values()), len(kept)), schema.names), schema)
-    scanned = written(local, name)
+    schema = T.StructType([*kept, *[T.StructField(c, T.LongType()) for c in sums], T.StructField(part, T.IntegerType()), T.StructField(at, T.LongType()), T.StructField(head, T.BooleanType()), T.StructField(tail, T.BooleanType())])
+    scanned = written(ordered.mapInArrow(_local(group, list(sums.values()), len(kept), schema.names), schema), name)
     key = F.struct(*group) if group else F.lit(0)
-    ends = scanned.groupBy(part).agg(F.min_by(key, at).alias("low"), F.max_by(key, at).alias("high"), F.max_by(F.struct(*sums), at).alias("sums"), F.bool_and(head).alias("whole"))
+    ends = scanned.where(F.col(tail) | (F.col(at) == 0)).select(part, at, tail, key.alias("key"), F.col(head).alias("whole"), F.struct(*sums).alias("sums"))
     bring, last, rows = [0] * len(sums), None, []
-    for end in sorted(ends.collect(), key=lambda r: r[part]):  # one row a partition
-        goes_on = last is not None and last == (end["low"],)
-        bring = bring if goes_on else [0] * len(sums)
-        if any(bring):
-            rows.append((end[part], *bring))
-        bring = [x + (b if end["whole"] else 0) for x, b in zip(end["sums"], bring, strict=True)]
-        bring = [_signed(x) for x in bring] if wraps else bring
-        last = (end["high"],)
+    for end in sorted(ends.collect(), key=lambda r: (r[part], r[at])):  # two rows a partition
+        if end[at] == 0:
+            bring = bring if last == (end["key"],) else [0] * len(sums)
+            if any(bring):
+                rows.append((end[part], *bring))
+        if end[tail]:
+            bring = [x + (b if end["whole"] else 0) for x, b in zip(end["sums"], bring, strict=True)]
+            bring = [_signed(x) for x in bring] if wraps else bring
+            last = (end["key"],)
     brought = [f"{c}_brought" for c in sums]
     carry = spark.createDataFrame(rows, T.StructType([T.StructField(part, T.IntegerType()), *[T.StructField(c, T.LongType()) for c in brought]]))
     joined = scanned.join(F.broadcast(carry), part, "left")
     add = wrapped_sum if wraps else lambda a, b: a + b
     return joined.select(*df.columns, *[F.when(F.col(head) & F.col(b).isNotNull(), add(F.col(c), F.col(b))).otherwise(F.col(c)).alias(c) for c, b in zip(sums, brought, strict=True)])
-
-
-def _named(run, names: list[str]):
-    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in run(batches):
-            yield pa.RecordBatch.from_arrays(batch.columns, names=names)
-
-    return renamed
