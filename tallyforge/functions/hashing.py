@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def sha256(column: Column) -> Column:
@@ -34,6 +33,24 @@ def set_commitment(digest: Column) -> Column:
     return F.sha2(F.array_join(F.array_sort(F.collect_list(digest)), "\n"), 256)
 
 
+def tree_commitment(digests: DataFrame, digest: str, lengths: tuple[int, ...] = (4, 2, 0)) -> DataFrame:
+    """``(n, commitment)`` of a set of hex digests, as a Merkle tree over their first digits.
+
+    A leaf is the digest of the sorted digests that begin alike, a node that of its children's prefixes and digests, so no
+    aggregate holds more than a leaf's part of the set or 256 children. ``lengths`` are the numbers of digits from the
+    leaves to the root; other lengths give other commitments. An empty set's is the digest of an empty text.
+    """
+    level = digests.select(F.col(digest).alias("line"), F.lit(1).cast("long").alias("n"), F.col(digest).alias("prefix"))
+    for length in lengths:
+        whole = F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256)
+        grouped = level.withColumn("prefix", F.substring("prefix", 1, length))
+        if length:
+            level = grouped.groupBy("prefix").agg(whole.alias("d"), F.sum("n").alias("n")).select(F.concat_ws(":", "prefix", "d").alias("line"), "n", "prefix")
+        else:
+            level = grouped.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), whole.alias("commitment"))
+    return level
+
+
 def identity(*parts: Column) -> Column:
     """Length-prefixed parts, so that no two lists of parts look alike."""
     return F.concat(*[F.concat(F.octet_length(p).cast("string"), F.lit(":"), p) for p in parts])

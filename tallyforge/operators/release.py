@@ -412,6 +412,17 @@ def admitted(events: DataFrame, by: list[str], order: str, cost: str, limit: flo
     return events.withColumn("spent_before", before).withColumn("admitted", F.col("spent_before") < limit)
 
 
+def admitted_units(events: DataFrame, by: list[str], order: list[str], units: str, limit: int) -> DataFrame:
+    """``admitted`` for costs in whole units, with exact sums in two levels: a scan may hold any number of rows, as no window holds it.
+
+    ``order`` should tell the rows of a scan apart. Adds ``units_before`` and ``admitted``; a null cost is none.
+    """
+    from .scans import running
+
+    after = running(events.withColumn(units, F.coalesce(F.col(units).cast("long"), F.lit(0).cast("long"))), by, order, {"units_before": units}, name="budget")
+    return after.withColumn("units_before", F.col("units_before") - F.col(units)).withColumn("admitted", F.col("units_before") < limit)
+
+
 def sweep(slots: DataFrame, checkpoints: DataFrame, stages: list[str]) -> DataFrame:
     """What is left to do for each selected slot: (slot, next_stage, state), state done, closed or open; ``checkpoints`` is (slot, seq, stage, terminal)."""
     last = checkpoints.groupBy("slot").agg(F.max_by(F.struct("stage", "terminal"), "seq").alias("c"))

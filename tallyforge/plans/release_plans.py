@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import json_text, text as T
+from ..functions import hashing, json_text, text as T
 from ..operators import graph as G, joins, release as R, reviews as V
 from ..sources import compiler, frames, patches, sinks
 from ..storage import fresh_path
@@ -692,3 +692,25 @@ def line_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read(spark, sf_dir, "documents", "doc_id", "text").withColumn("s", T.line_starts(F.col("text")))
     return d.select("doc_id", (F.size("s") - 1).cast("long").alias("n_lines"), F.coalesce(F.get("s", F.lit(2)), F.element_at("s", -1)).alias("third_start"))
 
+
+@query(
+    """SELECT l_orderkey, l_linenumber, units_before, units_before < 1000000000 AS admitted FROM (SELECT l_orderkey, l_linenumber,
+    CAST(coalesce(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS units_before FROM lineitem)"""
+)
+def scan_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of lineitem as one scan: the cents spent before each row, and whether it is admitted below ten million."""
+    rows = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").withColumn("cents", F.round(F.col("l_extendedprice") * 100).cast("long"))
+    return R.admitted_units(rows, [], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "cents", 1_000_000_000).select("l_orderkey", "l_linenumber", "units_before", "admitted")
+
+
+@query(
+    """WITH h AS (SELECT sha256(l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey) AS h FROM lineitem),
+  leaves AS (SELECT left(h, 4) AS p, count(*) AS n, sha256(string_agg(h, chr(10) ORDER BY h)) AS d FROM h GROUP BY 1),
+  twigs AS (SELECT left(p, 2) AS p, sum(n) AS n, sha256(string_agg(p || ':' || d, chr(10) ORDER BY p)) AS d FROM leaves GROUP BY 1)
+  SELECT CAST(coalesce(sum(n), 0) AS BIGINT) AS n, sha256(coalesce(string_agg(p || ':' || d, chr(10) ORDER BY p), '')) AS commitment FROM twigs"""
+)
+def lineitem_commitment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A commitment to all rows of lineitem, the same for any order and partitioning."""
+    columns = [F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+    rows = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return hashing.tree_commitment(rows.select(F.sha2(F.concat_ws("|", *columns), 256).alias("h")), "h")

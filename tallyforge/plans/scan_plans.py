@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import shape as S, text as T
 from ..operators import aggregates as A, scoring, symbols
-from ..streaming import journal as J
+from ..storage import fresh_path
+from ..streaming import journal as J, stages as ST
 from . import fixtures as X
 from .registry import query, read
 
@@ -178,15 +179,15 @@ def gravest_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SHA = "sha256('c' || conv_id || ':' || {})"
 
 
-@query(
-    f"""WITH c AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) + CASE WHEN conv_id % 7 = 3 AND turn > 2 THEN 1 ELSE 0 END AS seq, turn, conv_id % 5 = 2 AND turn = 3 AS odd, conv_id % 4 = 1 AND turn = 1 AS terminal FROM conversations),
+_STAGE_ERRORS = f"""WITH c AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) + CASE WHEN conv_id % 7 = 3 AND turn > 2 THEN 1 ELSE 0 END AS seq, turn, conv_id % 5 = 2 AND turn = 3 AS odd, conv_id % 4 = 1 AND turn = 1 AS terminal FROM conversations),
   d AS (SELECT *, row_number() OVER w AS r, {_SHA.format("seq")} AS sha, CASE WHEN odd THEN 'x' WHEN row_number() OVER w = 1 THEN NULL ELSE {_SHA.format("lag(seq) OVER w")} END AS previous_sha, lag(terminal) OVER w AS ended, CAST((row_number() OVER w - 1) % 11 + 1 AS BIGINT) AS place, CAST((row_number() OVER w - 2) % 11 + 1 AS BIGINT) AS before FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
   e AS (SELECT *, {_SHA.format("lag(seq) OVER w")} AS real FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
   SELECT conv_id AS slot, seq, CASE WHEN place = 11 THEN 'unknown stage' WHEN r <> seq THEN 'sequence is not contiguous' WHEN (CASE WHEN r = 1 THEN NULL ELSE real END) IS DISTINCT FROM previous_sha THEN 'previous hash differs' WHEN coalesce(ended, false) THEN 'event after the end'
     WHEN r > 1 AND place <> before % 11 + 1 THEN 'stage out of order' END AS error FROM e WHERE error IS NOT NULL"""
-)
-def stage_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Breaks in hash-linked chains of stages."""
+
+
+def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash-linked chains of stages made of conversations, some of them broken."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("conv_id").orderBy("turn")
@@ -202,7 +203,29 @@ def stage_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((F.col("conv_id") % 5 == 2) & (F.col("turn") == 3), "x").otherwise(sha(F.lag("seq").over(w))).alias("previous_sha"),
         ((F.col("conv_id") % 4 == 1) & (F.col("turn") == 1)).alias("terminal"),
     )
-    return J.stage_errors(chain)
+    return chain
+
+
+@query(_STAGE_ERRORS)
+def stage_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Breaks in hash-linked chains of stages."""
+    return J.stage_errors(_chains(spark, sf_dir))
+
+
+@query(_STAGE_ERRORS)
+def streamed_stage_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same breaks found by a stream that is stopped after the chains' beginnings and started again for the rest."""
+    chains, paths = _chains(spark, sf_dir), {name: fresh_path(spark, name) for name in ("chain-rows", "chain-errors", "chain-checkpoint")}
+    held = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ST.STORE)
+    try:
+        for part in ("seq <= 3", "seq > 3"):
+            chains.where(part).write.mode("append").parquet(paths["chain-rows"])
+            found = ST.stage_errors_stream(spark.readStream.schema(chains.schema).parquet(paths["chain-rows"]))
+            found.writeStream.format("parquet").option("path", paths["chain-errors"]).option("checkpointLocation", paths["chain-checkpoint"]).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", held)
+    return spark.read.schema(found.schema).parquet(paths["chain-errors"])
 
 
 @query(

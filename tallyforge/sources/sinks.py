@@ -76,10 +76,10 @@ def tier_counts(verdicts: DataFrame) -> DataFrame:
     return tiers.join(n, "tier", "left").select("place", "tier", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def markdown(verdicts: DataFrame, most: int = 1000) -> str:
-    """A report of the gravest files (file_path, verdict, top_reasons), ``most`` of them at most, and the numbers of all."""
+def markdown(verdicts: DataFrame) -> str:
+    """A report of all flagged files (file_path, verdict, top_reasons), gravest first, and the numbers of all; read a partition at a time."""
     grade = F.when(F.col("verdict") == "slop", 0).when(F.col("verdict") == "unresolved", 1).when(F.col("verdict") == "kinda_slop", 2)
-    shown = verdicts.where(grade.isNotNull()).orderBy(grade, "file_path").limit(most).collect()
+    shown = verdicts.where(grade.isNotNull()).orderBy(grade, "file_path").toLocalIterator()
     counts = tier_counts(verdicts.withColumnRenamed("verdict", "tier")).orderBy("place").collect()
     out = ["# Report", ""]
     out += [line for r in shown for line in [f"## {r['file_path']}: {r['verdict']}", *[f"- {x}" for x in r["top_reasons"]], ""]]

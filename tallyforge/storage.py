@@ -46,9 +46,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return written_at(df, fresh_path(df.sparkSession, name))
 
 
-def removed(spark: SparkSession, path: str) -> None:
+def _found(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, where = _found(spark, path)
+    return store.exists(where)
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder."""
+    store, where = _found(spark, path)
+    return [x.getPath().getName() for x in store.listStatus(where)] if store.exists(where) else []
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    store, where = _found(spark, path)
+    store.delete(where, True)
 
 
 def remove_made(spark: SparkSession, since: int, keep: str | None = None) -> None:

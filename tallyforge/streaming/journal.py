@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from ..storage import written
+from ..storage import exists, listed, removed
 
 # Stages of a slot in their order.
 STAGES = ["payload", "materialization", "test_materialization", "source_census", "semantic_census", "assessment_identity", "qualification", "test_recipe", "identical_tests", "ready_for_review"]
@@ -18,14 +18,33 @@ def latest_state(state: DataFrame | None, batch: DataFrame, key: str, seq: str)
 
 
 class LatestTable:
-    """A table of latest rows that a stream maintains by ``foreachBatch``; a batch that comes again changes nothing."""
+    """A table of latest rows that a stream maintains by ``foreachBatch`` below ``path``, one table for each batch id.
 
-    def __init__(self, key: str, seq: str):
-        self.key, self.seq = key, seq
-        self.state: DataFrame | None = None
+    A batch starts from the table of the batch before it, so a stream that starts again from its checkpoint goes on with
+    all keys, and a batch that comes again gives the same table again. The last two tables are kept.
+    """
+
+    def __init__(self, key: str, seq: str, path: str):
+        self.key, self.seq, self.path = key, seq, path.rstrip("/")
+
+    def _at(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
+        at = f"{self.path}/{batch_id}"
+        return spark.read.parquet(at) if exists(spark, f"{at}/_SUCCESS") else None
 
     def merge(self, batch: DataFrame, batch_id: int) -> None:
-        self.state = written(latest_state(self.state, batch, self.key, self.seq), f"latest-{batch_id}")
+        spark = batch.sparkSession
+        before = self._at(spark, batch_id - 1)
+        if before is None and batch_id:
+            raise ValueError(f"the table of batch {batch_id - 1} is missing below {self.path}")
+        latest_state(before, batch, self.key, self.seq).write.mode("overwrite").parquet(f"{self.path}/{batch_id}")
+        removed(spark, f"{self.path}/{batch_id - 2}")
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """The rows after the last whole batch."""
+        ids = sorted((int(name) for name in listed(spark, self.path) if name.isdigit() and exists(spark, f"{self.path}/{name}/_SUCCESS")), reverse=True)
+        if not ids:
+            raise ValueError(f"no batch has ended below {self.path}")
+        return self._at(spark, ids[0])
 
     def attach(self, stream: DataFrame) -> DataStreamWriter:
         return stream.writeStream.foreachBatch(self.merge).outputMode("append")

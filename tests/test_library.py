@@ -234,10 +234,19 @@ def test_streams(spark, tmp_path):
     df = spark.createDataFrame(rows, "user string, seq long, ts string, kind string").withColumn("ts", F.to_timestamp("ts"))
     df.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    latest = streams.LatestTable("kind", "seq")
-    q = latest.attach(stream).option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert {r["kind"]: r["seq"] for r in latest.state.collect()} == {"a": 19, "b": 18}
+    latest = streams.LatestTable("kind", "seq", str(tmp_path / "latest"))
+
+    def run(table):
+        table.attach(stream).option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start().awaitTermination(120)
+        return {r["kind"]: r["seq"] for r in table.table(spark).collect()}
+
+    assert run(latest) == {"a": 19, "b": 18}
+    # a new object on the same checkpoint goes on with all keys
+    spark.createDataFrame([("u", 30, "c")], "user string, seq long, kind string").withColumn("ts", F.lit(None).cast("timestamp")).select("user", "seq", "ts", "kind").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert run(streams.LatestTable("kind", "seq", str(tmp_path / "latest"))) == {"a": 19, "b": 18, "c": 30}
+    latest.merge(spark.createDataFrame([("u", 30, None, "c")], schema), max(int(x.name) for x in (tmp_path / "latest").iterdir()))  # a batch that comes again
+    assert {r["kind"]: r["seq"] for r in latest.table(spark).collect()} == {"a": 19, "b": 18, "c": 30}
+    stream = stream.where("ts is not null")
     q = streams.windowed_counts(stream, "ts", "kind", "5 minutes", "1 hour").writeStream.format("memory").queryName("counts").outputMode("complete").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     want = {tuple(r) for r in streams.windowed_counts(df, "ts", "kind", "5 minutes", "1 hour").collect()}
@@ -250,6 +259,32 @@ def test_stage_chain(spark):
     assert {(r["slot"], r["error"]) for r in streams.stage_errors(df).collect()} == {(2, "event after the end"), (3, "previous hash differs")}
 
 
+def test_tree_commitment(spark):
+    import hashlib
+
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    digests = [sha(str(k)) for k in range(300)]
+    df = spark.createDataFrame([(d,) for d in digests], "h string")
+    level = {d: d for d in digests}
+    for length in (4, 2, 0):
+        groups = {}
+        for prefix, line in level.items():
+            groups.setdefault(prefix[:length], []).append(line)
+        level = {prefix: f"{prefix}:{sha(chr(10).join(sorted(lines)))}" for prefix, lines in groups.items()}
+    want = level[""][1:]
+    for some in (df, df.repartition(7), df.orderBy("h")):
+        assert tuple(hashing.tree_commitment(some, "h").first()) == (300, want)
+    assert hashing.tree_commitment(df.where("h <> ''").limit(299), "h").first()[1] != want
+    assert tuple(hashing.tree_commitment(df.limit(0), "h").first()) == (0, sha(""))
+
+
+def test_admitted_units(spark):
+    rows = [("s", k, None if k == 3 else k) for k in range(50)] + [("t", 1, 5)]
+    got = release.admitted_units(spark.createDataFrame(rows, "scan string, k int, cents long"), ["scan"], ["k"], "cents", 20).collect()
+    want = {("s", k): sum(x for x in range(k) if x != 3) for k in range(50)} | {("t", 1): 0}
+    assert {(r["scan"], r["k"]): (r["units_before"], r["admitted"]) for r in got} == {key: (n, n < 20) for key, n in want.items()}
+
+
 def test_entry_stands_alone():
     import __spark_entry__
 
