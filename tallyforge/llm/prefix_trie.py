@@ -20,7 +20,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.scans import running, wrapped_less
 from ..shipping import ship
@@ -29,7 +29,7 @@ from .common import stored, table
 #: Turns at the head of a conversation that another one may lend, and how often such conversations stand.
 HEADS = 4
 EVERY = 20
-#: Ids joined in one row before they are hashed.
+#: Ids of one string lie between two multiples of this.
 IDS = 4096
 NODE = ["depth", "ka", "kb"]
 
@@ -49,9 +49,10 @@ def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Conversation ``c`` takes ``h`` = crc32(c) modulo 4 turns of conversation ``c - c % 20``, then its own after the first ``h``.
     """
-    sizes = turns.groupBy("conv_id").agg(F.max("at").alias("n"))
     base = F.col("conv_id") - F.col("conv_id") % EVERY
-    lent = turns.where((F.col("conv_id") == base) & (F.col("at") < HEADS)).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("at", "print", "words"))).alias("heads"))
+    first = F.when((F.col("conv_id") == base) & (F.col("at") < HEADS), F.struct("at", "print", "words"))  # collect_list leaves nulls out
+    sizes = turns.groupBy("conv_id").agg(F.max("at").alias("n"), F.array_sort(F.collect_list(first)).alias("heads"))
+    lent = sizes.where(F.col("conv_id") == base).select("conv_id", "heads")
     h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % HEADS
     every = sizes.select("conv_id", base.alias("base"), h.cast("int").alias("h"), "n").join(lent.withColumnRenamed("conv_id", "base"), "base", "left")
     taken = F.when(F.col("heads").isNull(), F.array().cast(lent.schema["heads"].dataType)).otherwise(F.slice("heads", F.lit(1), F.col("h")))
@@ -64,30 +65,12 @@ def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, every.select("conv_id", "length")
 
 
-def _joined_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of sorted ids of one node as one string each."""
-    node, ids = None, []
-
-    def run() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pylist([{**dict(zip(NODE, node, strict=True)), "least": ids[0], "ids": ",".join(map(str, ids))}], pa.schema([("depth", pa.int64()), ("ka", pa.int64()), ("kb", pa.int64()), ("least", pa.int64()), ("ids", pa.string())]))
-
-    for batch in batches:
-        for *key, conv_id in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            if key != node or len(ids) == IDS:
-                if ids:
-                    yield run()
-                node, ids = key, []
-            ids.append(conv_id)
-    if ids:
-        yield run()
-
-
 def _hashed_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """SHA-256 of each node's strings, which come in order; no more than one batch is held."""
     node, so_far = None, None
     for batch in batches:
         out = []
-        for *key, ids in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2, 4)), strict=True):
+        for *key, ids in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
             if key != node:
                 if node:
                     out.append((*node, so_far.hexdigest()))
@@ -107,13 +90,12 @@ def _hashes(rows: list[tuple]) -> pa.RecordBatch:
 def ends_hashes(ends: DataFrame) -> DataFrame:
     """SHA-256 of each node's ascending ids, joined by commas: ``(depth, ka, kb, ends_sha256)``.
 
-    SHA-256 reads in order, so one node's ids go through one task, but as strings of ``IDS`` ids that are never held together.
+    SHA-256 reads in order, so one node's ids go through one task, but as strings of ``IDS`` ids at most that are never held together.
     """
     ship(ends.sparkSession)
-    order = ["ka", "kb", "depth", "conv_id"]
-    runs = ends.select(*NODE, F.col("conv_id").cast("long").alias("conv_id")).repartitionByRange(*order).sortWithinPartitions(*order)
-    runs = runs.mapInArrow(_joined_ids, "depth long, ka long, kb long, least long, ids string")
-    return runs.repartition(*NODE).sortWithinPartitions(*NODE, "least").mapInArrow(_hashed_ids, "depth long, ka long, kb long, ends_sha256 string")
+    ids = F.array_join(F.array_sort(F.collect_list(F.col("conv_id").cast("long"))).cast("array<string>"), ",")
+    runs = ends.groupBy(*NODE, F.floor(F.col("conv_id") / IDS).alias("run")).agg(ids.alias("ids")).select(*NODE, "ids", "run")
+    return runs.repartition(*NODE).sortWithinPartitions(*NODE, "run").mapInArrow(_hashed_ids, "depth long, ka long, kb long, ends_sha256 string")
 
 
 def nodes_of(rows: DataFrame, every: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -140,47 +122,47 @@ def with_heavy_children(nodes: DataFrame) -> DataFrame:
 
 
 def path_tops(trie: DataFrame) -> DataFrame:
-    """The top of every node's heavy path, by pointer doubling: ``(conv_id, depth, top_id, top_depth)``; a node's least member and depth name it."""
-    done = stored(trie.where("light").select("conv_id", "depth", F.col("conv_id").alias("top_id"), F.col("depth").alias("top_depth")), "tops")
-    going = trie.where("not light").select("conv_id", "depth", F.col("parent_conv_id").alias("top_id"), (F.col("depth") - 1).alias("top_depth"))
+    """``trie`` with the top of every node's heavy path, ``top_id`` and ``top_depth``, by pointer doubling; a node's least member and depth name it."""
+    own = [c for c in trie.columns if c != "light"]
+    done = stored(trie.where("light").select(*own, F.col("conv_id").alias("top_id"), F.col("depth").alias("top_depth")), "tops")
+    going = trie.where("not light").select(*own, F.col("parent_conv_id").alias("top_id"), (F.col("depth") - 1).alias("top_depth"))
     while not going.isEmpty():
         ahead = done.withColumn("ended", F.lit(True)).unionByName(going.withColumn("ended", F.lit(False)))
         ahead = ahead.select(F.col("conv_id").alias("top_id"), F.col("depth").alias("top_depth"), F.col("top_id").alias("next_id"), F.col("top_depth").alias("next_depth"), "ended")
-        step = going.join(ahead, ["top_id", "top_depth"]).select("conv_id", "depth", F.col("next_id").alias("top_id"), F.col("next_depth").alias("top_depth"), "ended")
+        step = going.join(ahead, ["top_id", "top_depth"]).select(*own, F.col("next_id").alias("top_id"), F.col("next_depth").alias("top_depth"), "ended")
         step = stored(step, "tops")
         done, going = done.unionByName(step.where("ended").drop("ended")), step.where("not ended").drop("ended")
     return done
 
 
-def subtree_sums(trie: DataFrame, sums: dict[str, Column]) -> DataFrame:
-    """Sums of long columns over every node's subtree, itself included: ``(conv_id, depth, ...)``."""
-    tops = path_tops(trie)
-    own = stored(trie.select("conv_id", "depth", *[c.cast("long").alias(name) for name, c in sums.items()]).join(tops, ["conv_id", "depth"]), "own")
-    total = [F.sum(name).alias(name) for name in sums]
-    parents = trie.where("light and depth > 0").select(F.col("conv_id").alias("top_id"), F.col("depth").alias("top_depth"), "parent_conv_id")
-    moving, hung = own.groupBy("top_id", "top_depth").agg(*total), None
-    while True:
-        up = moving.join(parents, ["top_id", "top_depth"]).groupBy(F.col("parent_conv_id").alias("conv_id"), (F.col("top_depth") - 1).alias("depth")).agg(*total)
-        up = stored(up, "hung")
-        if up.isEmpty():
+def with_subtree_sums(trie: DataFrame, sums: list[str]) -> DataFrame:
+    """``trie`` with each of its long columns ``sums`` summed over every node's subtree, the node included."""
+    kept = [c for c in trie.columns if c not in (*sums, "light")]
+    own = path_tops(trie)
+    total, top = [F.sum(c).alias(c) for c in sums], ["top_id", "top_depth"]
+    hung = own.where("conv_id = top_id and depth = top_depth and depth > 0").select(*top, "parent_conv_id", (F.col("depth") - 1).alias("parent_depth"))
+    of_parent = own.select(F.col("conv_id").alias("parent_conv_id"), F.col("depth").alias("parent_depth"), F.col("top_id").alias("above_id"), F.col("top_depth").alias("above_depth"))
+    paths = stored(hung.join(of_parent, ["parent_conv_id", "parent_depth"]), "paths")
+    moving = stored(own.groupBy(*top).agg(*total), "path-sums")
+    passed = moving
+    while True:  # a round for each path that lies above another
+        moving = moving.join(paths, top).groupBy(F.col("above_id").alias("top_id"), F.col("above_depth").alias("top_depth")).agg(*total)
+        moving = stored(moving, "path-sums")
+        if moving.isEmpty():
             break
-        hung = up if hung is None else hung.unionByName(up)
-        moving = up.join(tops, ["conv_id", "depth"]).groupBy("top_id", "top_depth").agg(*total)
-    if hung is not None:
-        extra = hung.groupBy("conv_id", "depth").agg(*[F.sum(name).alias(f"{name}_hung") for name in sums])
-        whole = own.join(extra, ["conv_id", "depth"], "left")
-        own = whole.select("conv_id", "depth", "top_id", "top_depth", *[(F.col(name) + F.coalesce(f"{name}_hung", F.lit(0))).alias(name) for name in sums])
-    below = running(own, ["top_id", "top_depth"], [F.desc("depth")], {f"{name}_below": name for name in sums}, name="subtrees")
-    return below.select("conv_id", "depth", *[F.col(f"{name}_below").alias(name) for name in sums])
+        passed = passed.unionByName(moving)
+    extra = passed.join(paths, top).groupBy(F.col("parent_conv_id").alias("conv_id"), F.col("parent_depth").alias("depth")).agg(*[F.sum(c).alias(f"{c}_hung") for c in sums])
+    whole = own.join(extra, ["conv_id", "depth"], "left").select(*kept, *top, *[(F.col(c) + F.coalesce(f"{c}_hung", F.lit(0))).alias(f"{c}_own") for c in sums])
+    return running(whole, top, [F.desc("depth")], {c: f"{c}_own" for c in sums}, name="subtrees").select(*kept, *sums)
 
 
 def prefix_trie(rows: DataFrame, every: DataFrame) -> DataFrame:
     """Nodes of the trie of numbered turns ``rows`` (conv_id, at, print, words, last) and conversations ``every`` (conv_id, length)."""
     nodes, ends = nodes_of(rows, every)
-    trie = with_heavy_children(nodes)
-    below = subtree_sums(trie, {"n_leaves": F.col("n_children") == 0, "saved_tokens": (F.col("n_convs") - 1) * F.col("words")})
-    named = trie.join(ends_hashes(ends), NODE, "left").withColumn("ends_sha256", F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)))
-    return named.join(below, ["conv_id", "depth"]).select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+    trie = with_heavy_children(nodes).withColumn("n_leaves", (F.col("n_children") == 0).cast("long")).withColumn("saved_tokens", (F.col("n_convs") - 1) * F.col("words")).drop("words")
+    below = with_subtree_sums(trie, ["n_leaves", "saved_tokens"])
+    named = below.join(ends_hashes(ends), NODE, "left").withColumn("ends_sha256", F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)))
+    return named.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
