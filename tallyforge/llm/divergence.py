@@ -30,7 +30,7 @@ TOP = 10
 #: Counters in a row of the sketch.
 WIDTH = 1 << 20
 #: Distinct terms that a task holds before it hands them on.
-HELD = 1 << 18
+HELD = 1 << 19
 SCALE = 1_000_000_000
 #: Bytes that end a term become spaces, A-Z become a-z; what is no ASCII stays.
 FOLDED = bytes(c | 0x20 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -73,43 +73,42 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     yield from counters.blocks()
 
 
-def _counted(possible) -> object:
+def _counted(possible):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tell: Often = possible.value
         known: dict[bytes, dict[bytes, bool]] = {}
-        held: dict[tuple[bytes, bytes], dict[bytes, list[int]]] = {}
-        n_known = n_held = 0
+        held: dict[tuple[bytes, bytes], tuple[Counter, Counter]] = {}
+        n = 0
+
+        def told(lang: bytes, found: Counter) -> list[bytes]:
+            own = known.setdefault(lang, {})
+            if new := [t for t in found if t not in own]:
+                own.update(zip(new, tell(_hashes(lang, new)).tolist(), strict=True))
+            return [t for t in found if own[t]]
 
         def rows() -> Iterator[pa.RecordBatch]:
-            flat = [(lang, source, term, *n) for (lang, source), found in held.items() for term, n in found.items()]
-            for k in range(0, len(flat), 1 << 14):
-                columns = zip(*flat[k : k + (1 << 14)], strict=True)
-                kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()).cast(t) if t == pa.string() else pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["lang", "source", "term", "n", "docs"])
+            for (lang, source), (words, docs) in held.items():
+                left = told(lang, words)
+                if sum(map(len, known.values())) > HELD:
+                    known.clear()
+                if left:
+                    columns = [pa.array(left, pa.binary()).cast(pa.string()), pa.array([words[t] for t in left], pa.int64()), pa.array([docs[t] for t in left], pa.int64())]
+                    names = [pa.repeat(pa.scalar(x.decode(), pa.string()), len(left)) for x in (lang, source)]
+                    yield pa.RecordBatch.from_arrays([*names, *columns], names=["lang", "source", "term", "n", "docs"])
+            held.clear()
 
         for batch in batches:
             for lang, source, text in _columns(batch):
-                found = Counter(terms(text))
-                own = known.setdefault(lang, {})
-                if new := [t for t in found if t not in own]:
-                    own.update(zip(new, tell(_hashes(lang, new)).tolist(), strict=True))
-                    n_known += len(new)
-                into = held.setdefault((lang, source), {})
-                n_held -= len(into)
-                for term, n in found.items():
-                    if own[term]:
-                        if (x := into.get(term)) is None:
-                            into[term] = [n, 1]
-                        else:
-                            x[0] += n
-                            x[1] += 1
-                n_held += len(into)
-                if n_known > HELD:
-                    known, n_known = {}, 0
-                if n_held > HELD:
+                if (both := held.get((lang, source))) is None:
+                    both = held[lang, source] = (Counter(), Counter())
+                found = terms(text)
+                n -= len(both[0])
+                both[0].update(found)
+                both[1].update(set(found))
+                n += len(both[0])
+                if n > HELD:
                     yield from rows()
-                    held.clear()
-                    n_held = 0
+                    n = 0
         yield from rows()
 
     return run
