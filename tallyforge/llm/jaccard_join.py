@@ -8,9 +8,10 @@ is rare, both sets are found under it. Otherwise everything they share is freque
 combination of the first two. The number of combinations grows with the square of a prefix, so a pair with a set of more
 than ``LONG`` items is found under the single frequent item instead. No pair is lost, however the sketch draws the line.
 
-A cell of few sets gives its pairs that pass a test by sizes and bitmaps of parities, whose differing bits are never more
-than the differing items. A cell of many sets gets the sets themselves and gives a spanning forest of its links, in blocks
-of ``FULL``, so a large group gives no pairs. All links are tested on the sets.
+A cell of few sets gives a spanning forest of the pairs that pass a test by sizes and bitmaps of parities, whose differing
+bits are never more than the differing items. Wider bitmaps, of two bits an item, are held against each other once for each
+pair; what is left is tested on the sets. Where a pair fails, its cells give their other pairs. A cell of many sets gets the sets themselves and gives a spanning forest of its links, in blocks of ``FULL``, so a
+large group gives no pairs. All links are tested on the sets, by 48 bits of each item.
 
 Defined cases: texts without words are linked with nothing, not even with each other; a text with fewer words than a
 shingle is one shingle; documents with a null id take part but never name a component that holds another id; rows that
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.graph import components
-from .common import free_disk, small_batches, stored, table, texts
+from .common import free_disk, fresh_path, remove_path, small_batches, stored, stored_at, table, texts
 from .sketches import Counters, Often, often
 
 SEED = 42
@@ -41,8 +42,10 @@ LONG = 512
 FEW = 64
 FULL = 1024
 #: Bytes of a bitmap of parities.
-MAP = 128
+MAP = 64
 LARGE_MAP = 256
+#: Bytes of an item in a set that is compared.
+ITEM = 6
 RARE_KEY, TWO_KEY, LONG_KEY = 0, 1, 2
 
 
@@ -84,6 +87,17 @@ def parities(items: np.ndarray, size: int) -> np.ndarray:
     return np.packbits(odd.astype("u1"))
 
 
+def packed(items: np.ndarray) -> bytes:
+    return np.ascontiguousarray(items.astype("<u8").view("u1").reshape(-1, 8)[:, :ITEM]).tobytes()
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    """Items by their low bytes, sorted."""
+    out = np.zeros((len(blob) // ITEM, 8), "u1")
+    out[:, :ITEM] = np.frombuffer(blob, "u1").reshape(-1, ITEM)
+    return np.sort(out.view("<u8").ravel())
+
+
 def keys(items: np.ndarray, late: np.ndarray, limit: Limit) -> tuple[np.ndarray, np.ndarray]:
     """Kinds and keys of all cells that a set enters; ``late`` marks its frequent items."""
     n = len(items)
@@ -126,8 +140,8 @@ def _nodes(limit: Limit, frequent):
             late = np.split(tell(np.concatenate([np.zeros(0, "u8"), *sets])), np.cumsum([len(s) for s in sets])[:-1])
             found = [keys(s, f, limit) for s, f in zip(sets, late, strict=True)]
             columns = [batch.column(0), batch.column(2), pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32())]
-            columns += [pa.array([k for k, _ in found], pa.list_(pa.int8())), pa.array([k for _, k in found], pa.list_(pa.int64())), pa.array([parities(s, MAP).tobytes() for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "node", "n", "kinds", "cells", "map"])
+            columns += [pa.array([k for k, _ in found], pa.list_(pa.int8())), pa.array([k for _, k in found], pa.list_(pa.int64())), pa.array([parities(s, MAP).tobytes() for s in sets], pa.binary()), pa.array([wide_map(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "node", "n", "kinds", "cells", "map", "wide"])
 
     return run
 
@@ -137,8 +151,8 @@ def _items(shingle: int):
         from xxhash import xxh3_128_digest
 
         for batch in batches:
-            sets = [shingle_set(t, shingle).tobytes() for t in texts(batch)]
-            yield pa.RecordBatch.from_arrays([pa.array([xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["node", "items"])
+            sets = [shingle_set(t, shingle) for t in texts(batch)]
+            yield pa.RecordBatch.from_arrays([pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([packed(s) for s in sets], pa.binary())], ["node", "items"])
 
     return run
 
@@ -162,24 +176,32 @@ def _links_of(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
 
 
-def _few(limit: Limit):
-    """Pairs of cells of few sets that pass the tests of sizes and bitmaps."""
+def _few(limit: Limit, spanning: bool):
+    """Pairs ``(u, v, kind, cell)`` of cells of few sets that pass the tests of sizes and bitmaps: all, or a spanning forest of them."""
+    schema = pa.schema([("u", pa.binary()), ("v", pa.binary()), ("kind", pa.int8()), ("cell", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[bytes, bytes]] = []
-        for kinds, _, nodes, sizes, maps in _runs(batches, 2):
-            n, bits = np.array(sizes), np.frombuffer(b"".join(maps), "u8").reshape(len(maps), -1)
+        out: list[tuple] = []
+
+        def given() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out, strict=True)) or [()] * 4, schema, strict=True)], schema=schema)
+
+        for kinds, cells, nodes, sizes, maps in _runs(batches, 2):
+            n, bits, label = np.array(sizes), np.frombuffer(b"".join(maps), "u8").reshape(len(maps), -1), np.arange(len(sizes))
             for i in range(len(n) - 1):
                 j = i + 1 + np.flatnonzero(limit.sized(n[i], n[i + 1 :]))
                 if kinds[0] == LONG_KEY and n[i] <= LONG:
                     j = j[n[j] > LONG]
                 if len(j):
                     j = j[np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype="i4") <= limit.differ(n[i], n[j])]
-                    out += [(min(nodes[i], nodes[k]), max(nodes[i], nodes[k])) for k in j.tolist()]
+                for k in j.tolist():
+                    if not spanning or label[k] != label[i]:
+                        label[label == label[k]] = label[i]
+                        out.append((nodes[i], nodes[k], kinds[0], cells[0]))  # nodes come in order
             if len(out) > 1 << 14:
-                yield _links_of(out)
+                yield given()
                 out = []
-        yield _links_of(out)
+        yield given()
 
     return run
 
@@ -207,17 +229,42 @@ def _many(limit: Limit):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, low, high, block, nodes, items in _runs(batches, 4):
-            sets = [np.frombuffer(x, "u8") for x in items]
+            sets = [unpacked(x) for x in items]
             found = forest(sets, np.array(block) == low[0], low[0] != high[0], limit)
             yield _links_of([(nodes[i], nodes[k]) for i, k in found])
 
     return run
 
 
+def wide_map(items: np.ndarray) -> bytes:
+    """Parities in a power of two of bytes, some two bits an item."""
+    return parities(items, max(MAP, 1 << max(len(items) // 4 - 1, 0).bit_length())).tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Bits in which two bitmaps differ; the wider one is folded, which leaves the parities of items modulo the smaller size."""
+    x, y = (np.frombuffer(m, "u1") for m in (a, b))
+    small = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(m.reshape(-1, small), axis=0) for m in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _likely(limit: Limit):
+    """Pairs whose wide bitmaps differ in no more bits than similar sets may in items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)
+            near = pa.array([differing(a, b) <= limit.differ(n, m) for a, b, n, m in rows], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], ["u", "v"])
+
+    return run
+
+
 def _tested(limit: Limit):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = ([np.frombuffer(x, "u8") for x in batch.column(k).to_pylist()] for k in (2, 3))
+            a, b = ([unpacked(x) for x in batch.column(k).to_pylist()] for k in (2, 3))
             near = pa.array([limit.similar(x, y) for x, y in zip(a, b, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], ["u", "v"])
 
@@ -225,7 +272,7 @@ def _tested(limit: Limit):
 
 
 def links(distinct: DataFrame, items: DataFrame, limit: Limit) -> DataFrame:
-    """Links ``(u, v)`` that connect all similar nodes of ``distinct`` (node, text_key, n, kinds, cells, map)."""
+    """Links ``(u, v)`` that connect all similar nodes of ``distinct`` (node, text_key, n, kinds, cells, map, wide)."""
     spark = distinct.sparkSession
     postings = distinct.select("node", F.explode(F.arrays_zip("kinds", "cells")).alias("x")).select(F.col("x.kinds").alias("kind"), F.col("x.cells").alias("cell"), "node")
     sizes = stored(postings.groupBy("kind", "cell").agg(F.count("*").alias("size")).where("size > 1"), "cells")
@@ -233,28 +280,46 @@ def links(distinct: DataFrame, items: DataFrame, limit: Limit) -> DataFrame:
     free_disk(spark)
 
     few = placed.where(F.col("size") <= FEW).join(distinct.select("node", "n", "map"), "node").select("kind", "cell", "node", "n", "map")
-    pairs = few.repartition("kind", "cell").sortWithinPartitions("kind", "cell").mapInArrow(_few(limit), "u binary, v binary").distinct()
-    pairs = stored(pairs, "candidates")
+    near = lambda rows, spanning: rows.repartition("kind", "cell").sortWithinPartitions("kind", "cell", "node").mapInArrow(_few(limit, spanning), "u binary, v binary, kind byte, cell long")
+    pairs = stored(near(few, True), "candidates")
     free_disk(spark)
 
     blocks = F.ceil(F.col("size") / FULL).cast("int")
     many = placed.where(F.col("size") > FEW).select("kind", "cell", "node", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), F.sequence(F.lit(0), blocks - 1).alias("others"))
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).unionByName(many.select("node")).distinct()
     wanted = stored(distinct.join(wanted, "node").select("text_key").distinct(), "wanted-texts")
-    sets = items.join(wanted, "text_key").select("text").mapInArrow(_items(limit.shingle), "node binary, items binary").groupBy("node").agg(F.first("items").alias("items"))
-    sets = stored(sets, "sets")
+    once = items.join(wanted, "text_key").groupBy("text_key").agg(F.first("text").alias("text"))
+    sets = stored(once.select("text").mapInArrow(_items(limit.shingle), "node binary, items binary"), "sets")
     free_disk(spark)
 
     side = lambda c, name: sets.select(F.col("node").alias(c), F.col("items").alias(name))
-    first = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(_tested(limit), "u binary, v binary")
+    wide = lambda c: distinct.select(F.col("node").alias(c), F.col("wide").alias(f"{c}_map"), F.col("n").alias(f"{c}_n"))
+    likely = lambda some: stored(some.join(wide("u"), "u").join(wide("v"), "v").select("u", "v", "u_map", "v_map", "u_n", "v_n").mapInArrow(_likely(limit), "u binary, v binary"), "likely-pairs")
+    tested = lambda some: likely(some).join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(_tested(limit), "u binary, v binary")
+    # one partner of each set comes first; then only pairs that this has not brought together
+    every = pairs.select("u", "v").distinct()
+    one = stored(every.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), "first-partners")
+    first = stored(tested(one), "links")
+    free_disk(spark)
+    roots = stored(components(first, "u", "v"), "roots")
+    root = lambda c: roots.select(F.col("node").alias(c), F.col("component").alias(f"{c}_root"))
+    apart = lambda some: some.join(root("u"), "u", "left").join(root("v"), "v", "left").where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
+    left = stored(apart(every.join(one, ["u", "v"], "left_anti")), "other-partners")
+    second = stored(tested(left), "links")
+    free_disk(spark)
+    # a pair that failed may have stood for others of its cell
+    failed = one.unionByName(left).join(first.unionByName(second), ["u", "v"], "left_anti")
+    cells = stored(pairs.join(failed, ["u", "v"], "left_semi").select("kind", "cell").distinct(), "failed-cells")
+    others = near(few.join(cells, ["kind", "cell"], "left_semi"), False).select("u", "v").distinct().join(pairs.select("u", "v"), ["u", "v"], "left_anti")
+    fourth = stored(tested(apart(others)), "links")
+    free_disk(spark)
     # each pair of blocks is one piece of work: a set goes to as many as its cell has blocks
     spread = many.join(sets, "node").select("kind", "cell", F.explode("others").alias("other"), "block", "node", "items")
     spread = spread.select("kind", "cell", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "items")
     work = ["kind", "cell", "low", "high"]
-    second = spread.repartition(*work).sortWithinPartitions(*work).mapInArrow(_many(limit), "u binary, v binary")
-    found = stored(first.unionByName(second).distinct(), "links")
+    third = stored(spread.repartition(*work).sortWithinPartitions(*work).mapInArrow(_many(limit), "u binary, v binary"), "links")
     free_disk(spark)
-    return found
+    return first.unionByName(second).unionByName(third).unionByName(fourth)
 
 
 def similar_documents(docs: DataFrame, limit: Limit) -> DataFrame:
@@ -264,11 +329,14 @@ def similar_documents(docs: DataFrame, limit: Limit) -> DataFrame:
     items = docs.select("doc_id", "text").withColumn("text_key", F.xxhash64("text"))
     frequent = often(items.select("text"), _counted(limit.shingle), WIDTH, lambda n: min(RARE + 2 * n // WIDTH, 65535))
     kind = items.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, text_key long, node binary, n int, kinds array<byte>, cells array<long>, map binary"
-    every = stored(items.mapInArrow(_nodes(limit, spark.sparkContext.broadcast(frequent)), schema), "shingle-nodes")
-    firsts = [F.first(c).alias(c) for c in ("n", "kinds", "cells", "map")]
+    schema = f"doc_id {kind}, text_key long, node binary, n int, kinds array<byte>, cells array<long>, map binary, wide binary"
+    at = fresh_path(spark, "shingle-nodes")
+    every = stored_at(items.mapInArrow(_nodes(limit, spark.sparkContext.broadcast(frequent)), schema), at)
+    firsts = [F.first(c).alias(c) for c in ("n", "kinds", "cells", "map", "wide")]
     distinct = every.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("text_key").alias("text_key"), *firsts)
     distinct = stored(distinct, "distinct-nodes")
+    every = stored(every.select("doc_id", "node", "n"), "documents-nodes")
+    remove_path(spark, at)
     free_disk(spark)
     roots = components(links(distinct, items, limit), "u", "v")
     rooted = stored(distinct.select("node", "first_id").join(roots, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("root")), "rooted")

@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.graph import components
 from ..shipping import ship
-from . import shingle_sets
 from .common import free_name, small_batches, stored, table, texts
+from .jaccard_join import Limit, similar_documents
 
 SHINGLE = 3
 SEED = 42
@@ -219,10 +219,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``(doc_id, print, component_id)`` of every document; the component is named by its smallest id.
 
     Three bits are the limit for shingles of ``SHINGLE`` words alone; sets of other shingles are linked by
-    their Jaccard similarity, whose 0.8 leaves fingerprints up to some 14 bits apart.
+    their Jaccard similarity, whose 0.8 leaves fingerprints up to some 14 bits apart; there ``print`` tells sets apart, and texts without words are linked with nothing.
     """
     if shingle != SHINGLE:
-        return shingle_sets.near_duplicates(docs, shingle)
+        return similar_documents(docs, Limit(4, 5, shingle)).select("doc_id", F.col("node").alias("print"), "component_id")
     prints = stored(fingerprints(docs, shingle), "prints")
     distinct = stored(prints.groupBy("print").agg(F.min("doc_id").alias("first_id")), "distinct-prints")
     roots = components(near_links(distinct.select("print")), "u", "v").select(F.col("node").alias("print"), F.col("component").alias("root"))
