@@ -41,8 +41,9 @@ LONG = 512
 #: Sets of a cell that are compared in pairs of rows, and sets of one block of a larger cell.
 FEW = 64
 FULL = 1024
-#: Bytes of a bitmap of parities.
+#: Bytes of a bitmap of parities that goes into cells, for sets of at most ``SMALL`` items and for larger ones.
 MAP = 64
+SMALL = 1024
 LARGE_MAP = 256
 #: Bytes of an item in a set that is compared.
 ITEM = 6
@@ -140,7 +141,7 @@ def _nodes(limit: Limit, frequent):
             late = np.split(tell(np.concatenate([np.zeros(0, "u8"), *sets])), np.cumsum([len(s) for s in sets])[:-1])
             found = [keys(s, f, limit) for s, f in zip(sets, late, strict=True)]
             columns = [batch.column(0), batch.column(2), pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32())]
-            columns += [pa.array([k for k, _ in found], pa.list_(pa.int8())), pa.array([k for _, k in found], pa.list_(pa.int64())), pa.array([parities(s, MAP).tobytes() for s in sets], pa.binary()), pa.array([wide_map(s) for s in sets], pa.binary())]
+            columns += [pa.array([k for k, _ in found], pa.list_(pa.int8())), pa.array([k for _, k in found], pa.list_(pa.int64())), pa.array([parities(s, MAP if len(s) <= SMALL else LARGE_MAP).tobytes() for s in sets], pa.binary()), pa.array([wide_map(s) for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "node", "n", "kinds", "cells", "map", "wide"])
 
     return run
@@ -187,13 +188,20 @@ def _few(limit: Limit, spanning: bool):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out, strict=True)) or [()] * 4, schema, strict=True)], schema=schema)
 
         for kinds, cells, nodes, sizes, maps in _runs(batches, 2):
-            n, bits, label = np.array(sizes), np.frombuffer(b"".join(maps), "u8").reshape(len(maps), -1), np.arange(len(sizes))
+            n, label = np.array(sizes), np.arange(len(sizes))
+            bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(m, "u8").reshape(-1, MAP // 8), axis=0) for m in maps])
+            large = n > SMALL
+            wide = np.zeros((len(n), LARGE_MAP // 8), "u8")
+            for k in np.flatnonzero(large).tolist():
+                wide[k] = np.frombuffer(maps[k], "u8")
             for i in range(len(n) - 1):
                 j = i + 1 + np.flatnonzero(limit.sized(n[i], n[i + 1 :]))
                 if kinds[0] == LONG_KEY and n[i] <= LONG:
                     j = j[n[j] > LONG]
                 if len(j):
                     j = j[np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype="i4") <= limit.differ(n[i], n[j])]
+                if len(j) and large[i]:
+                    j = j[~large[j] | (np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1, dtype="i4") <= limit.differ(n[i], n[j]))]
                 for k in j.tolist():
                     if not spanning or label[k] != label[i]:
                         label[label == label[k]] = label[i]
