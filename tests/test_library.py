@@ -179,6 +179,54 @@ def test_greedy_slots(spark):
     assert {(x["id"], x["slot"]) for x in got} == want
 
 
+def _greedy(rows, slots):
+    taken, filled, want = set(), {}, set()
+    for k, repo, lang, _ in sorted(rows, key=lambda x: x[3]):
+        if repo not in taken and filled.get(lang, 0) < slots:
+            taken.add(repo)
+            filled[lang] = filled.get(lang, 0) + 1
+            want.add((k, filled[lang]))
+    return want
+
+
+def test_greedy_slot_rounds(spark):
+    schema = "id int, repo string, lang string, rank double"
+    for seed, repos, langs, slots in [(1, 60, "abcde", 4), (2, 4, "abc", 3), (3, 200, "ab", 1)]:
+        r = random.Random(seed)
+        rows = [(k, r.choice([None, *(f"r{i}" for i in range(repos))]), r.choice([None, *langs]), r.random()) for k in range(500)]
+        got, rounds = ranking.greedy_slot_rounds(spark.createDataFrame(rows, schema), "repo", "lang", "rank", slots)
+        assert {(x["id"], x["slot"]) for x in got.collect()} == _greedy(rows, slots)
+        assert rounds <= 6
+    # every repository waits for the one before it: with one slot a language, each round settles one more
+    chain = [(2 * k + j, f"r{k + j}", f"l{k}", 2.0 * k + j) for k in range(5) for j in (0, 1)]
+    got, rounds = ranking.greedy_slot_rounds(spark.createDataFrame(chain, schema), "repo", "lang", "rank", 1)
+    assert {(x["id"], x["slot"]) for x in got.collect()} == _greedy(chain, 1)
+    assert rounds <= 6
+    empty, rounds = ranking.greedy_slot_rounds(spark.createDataFrame([], schema + ", taken int, place int"), "repo", "lang", "rank", 2)
+    assert empty.collect() == [] and rounds == 0
+    clash = spark.createDataFrame([(1, "r", "a", 0.5, 7, 8)], schema + ", taken int, place int")
+    assert [tuple(x) for x in ranking.greedy_slots(clash, "repo", "lang", "rank", 2).collect()] == [(1, "r", "a", 0.5, 7, 8, 1)]
+
+
+def test_batches_of_parts(spark):
+    r = random.Random(4)
+    groups = {"hot": 300, None: 60, "whole": 16, "one": 1, "short": 17}
+    rows = [(g, k, r.choice([0, 1, 2, 3, 5, 9, 30, None]), "x") for g, n in groups.items() for k in range(n)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "file string, k int, chars int, part string")
+    for most, budget, part_rows in [(3, 10, 16), (8, 12, 8), (5, 1000, 16), (4, 0, 64), (3, 10, 4096)]:
+        got = {(x["file"], x["k"]): (x["batch"], x["part"]) for x in ranking.greedy_batches(df, "file", ["k"], "chars", most, budget, part_rows).collect()}
+        assert len(got) == len(rows)
+        for g in groups:
+            batch, n, used = 1, 0, 0
+            for _, k, chars, _ in sorted((x for x in rows if x[0] == g), key=lambda x: x[1]):
+                if n and (n == most or used + (chars or 0) > budget):
+                    batch, n, used = batch + 1, 0, 0
+                n, used = n + 1, used + (chars or 0)
+                assert got[g, k] == (batch, "x"), (most, budget, part_rows, g, k)
+    assert ranking.greedy_batches(df.limit(0), "file", ["k"], "chars", 3, 10).collect() == []
+
+
 def test_batches(spark):
     rows = [("f", 1, 5), ("f", 2, 6), ("f", 3, 1), ("f", 4, 1), ("f", 5, 1), ("f", 6, 30), ("g", 1, 1)]
     got = ranking.greedy_batches(spark.createDataFrame(rows, "file string, k int, chars int"), "file", ["k"], "chars", 3, 10).collect()
