@@ -50,26 +50,57 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     return out.unionByName(lone.select("node", F.col("node").alias("component")))
 
 
-def resolve_chain(links: DataFrame, node: str, target: str, most_rounds: int = 40) -> DataFrame:
-    """End of each node's chain of targets by pointer jumping: (node, end, status), status resolved or cycle."""
-    jump = written(links.select(F.col(node).alias("n"), F.col(target).alias("t")), "chain")
-    for _ in range(most_rounds):
-        ahead = jump.select(F.col("n").alias("t"), F.col("t").alias("t2"))
-        new = written(jump.join(ahead, "t", "left").select("n", F.coalesce("t2", "t").alias("t"), F.col("t2").isNotNull().alias("moved")), "chain")
-        jump = new.select("n", "t")
-        if not new.where("moved").take(1):
-            return jump.select(F.col("n").alias(node), F.col("t").alias("end"), F.lit("resolved").alias("status"))
-        stuck = new.where("moved and n = t").select("n")
-        if stuck.take(1):
-            # members of cycles, and what leads into them, never leave; all others have ended
-            looping = written(stuck.distinct(), "cycle")
-            rest = jump.join(looping.withColumnRenamed("n", "t"), "t", "left_semi")
-            known = looping.unionByName(rest.select("n")).distinct()
-            ends = resolve_chain(links.join(known.withColumnRenamed("n", node), node, "left_anti"), node, target, most_rounds)
-            into = ends.join(known.select(F.col("n").alias("end")), "end", "left_semi").select(node)
-            cycles = known.select(F.col("n").alias(node)).unionByName(into).distinct().select(node, F.lit(None).cast(links.schema[target].dataType).alias("end"), F.lit("cycle").alias("status"))
-            return ends.join(into, node, "left_anti").select(node, "end", "status").unionByName(cycles)
-    raise ValueError("a chain did not end")
+def _doubled(links: DataFrame, most_rounds: int) -> tuple[DataFrame, DataFrame | None]:
+    """Ends of chains of ``(n, t)``, one link a node: ``(n, t, d)``, d links on, of nodes whose chain ends, and of those left after ``most_rounds`` (or None).
+
+    Each round joins what has not ended with all pointers, so that a pointer leads twice as far as before. Ended rows
+    are written once and not read by later joins' left side.
+    """
+    spark = links.sparkSession
+    pointers = written(links.select("n", "t", F.lit(1).cast("long").alias("d")), "chain")
+    going, ended = pointers, None
+    for k in range(most_rounds):
+        ahead = pointers.select(F.col("n").alias("t"), F.col("t").alias("t2"), F.col("d").alias("d2"))
+        step = written(going.join(ahead, "t", "left"), "chain")
+        over = step.where("t2 is null").select("n", "t", "d")
+        ended = over if ended is None else ended.unionByName(over)
+        going = step.where("t2 is not null").select("n", F.col("t2").alias("t"), (F.col("d") + F.col("d2")).alias("d"))
+        if not going.take(1):
+            return ended, None
+        if k % 8 == 7:
+            ended = written(ended, "chain")  # keeps the plan short
+        pointers = ended.unionByName(going)
+    return spark.createDataFrame([], pointers.schema) if ended is None else ended, going
+
+
+def chain_ends(links: DataFrame, node: str, target: str) -> DataFrame:
+    """End of every node's chain of targets, by pointer doubling: ``(node, end, hops, status)``.
+
+    Of several links of one node the one with the least target counts; links with a null end take no part. Status
+    is ``resolved``, or ``cycle`` where the chain runs into a cycle: its end is then the last node before one comes again.
+    A chain of n links takes about log2(n) rounds. Nodes that still go on after as many links as there are lead into a cycle, and
+    what they point at then are exactly the nodes of the cycles; the ways into these are chains of their own.
+    """
+    one = written(links.select(F.col(node).alias("n"), F.col(target).alias("t")).where("n is not null and t is not null").groupBy("n").agg(F.min("t").alias("t")), "links")
+    total = one.count()
+    ended, going = _doubled(one, max(total, 1).bit_length() + 1)
+    found = ended.select("n", F.col("t").alias("end"), F.col("d").alias("hops"), F.lit("resolved").alias("status"))
+    if going is not None:
+        on = written(going.select(F.col("t").alias("c")).distinct(), "cycle")
+        ring = written(one.join(on, one["n"] == on["c"]).select("n", "t"), "ring")  # one link a node of a cycle
+        named = written(components(ring, "n", "t"), "rings")
+        sizes = named.groupBy("component").agg(F.count("*").alias("size"))
+        last = ring.select(F.col("t").alias("c"), F.col("n").alias("end")).join(named, F.col("c") == F.col("node")).join(sizes, "component").select("c", "end", (F.col("size") - 1).alias("around"))
+        into = one.join(going.select("n"), "n", "left_semi").join(on, F.col("n") == F.col("c"), "left_anti")
+        ways = _doubled(into, max(total, 1).bit_length() + 1)[0]
+        enter = ways.select("n", F.col("t").alias("c"), "d").unionByName(on.select(F.col("c").alias("n"), "c", F.lit(0).cast("long").alias("d")))
+        found = found.unionByName(enter.join(last, "c").select("n", "end", (F.col("d") + F.col("around")).alias("hops"), F.lit("cycle").alias("status")))
+    return found.select(F.col("n").alias(node), "end", "hops", "status")
+
+
+def resolve_chain(links: DataFrame, node: str, target: str) -> DataFrame:
+    """End of each node's chain of targets: (node, end, status), status resolved or cycle; a chain into a cycle has no end."""
+    return chain_ends(links, node, target).select(node, F.when(F.col("status") == "resolved", F.col("end")).alias("end"), "status")
 
 
 def merge_targets(decisions: DataFrame) -> DataFrame:
@@ -111,19 +142,16 @@ def agreed_reach(agreed: DataFrame, disputed: DataFrame, roots: DataFrame) -> Da
 
 
 def follow_exports(exports: DataFrame, start: DataFrame) -> DataFrame:
-    """Follows re-exports ``(file, name) -> (to_file, to_name)`` to their end with a cycle guard; (file, name, end_file, end_name, hops)."""
-    pair = lambda f, n: F.struct(F.col(f).alias("file"), F.col(n).alias("name"))
-    cur = start.select("file", "name", F.col("file").alias("end_file"), F.col("name").alias("end_name"), F.lit(0).alias("hops"), F.array(pair("file", "name")).alias("seen"))
-    e = exports.select(F.col("file").alias("end_file"), F.col("name").alias("end_name"), "to_file", "to_name")
-    done = None
-    while True:
-        go = F.col("to_file").isNotNull() & ~F.array_contains("seen", pair("to_file", "to_name"))
-        step = written(cur.join(e, ["end_file", "end_name"], "left").withColumn("go", go), "exports")
-        ended = step.where("not go").select("file", "name", "end_file", "end_name", "hops")
-        done = ended if done is None else done.unionByName(ended)
-        cur = step.where("go").select("file", "name", F.col("to_file").alias("end_file"), F.col("to_name").alias("end_name"), (F.col("hops") + 1).alias("hops"), F.array_append("seen", pair("to_file", "to_name")).alias("seen"))
-        if not cur.take(1):
-            return done
+    """Follows re-exports ``(file, name) -> (to_file, to_name)`` to their end: (file, name, end_file, end_name, hops, status).
+
+    A pair that is not exported on is its own end. Status is ``cycle`` where pairs come again; the end is then the
+    last one before that. Of several exports of a pair the least target counts; pairs with a null part take no part.
+    """
+    pair = lambda f, n: F.when(F.col(f).isNotNull() & F.col(n).isNotNull(), F.struct(F.col(f).alias("file"), F.col(n).alias("name")))
+    ends = chain_ends(exports.select(pair("file", "name").alias("pair"), pair("to_file", "to_name").alias("to")), "pair", "to")
+    wanted = start.select("file", "name").where("file is not null and name is not null").withColumn("pair", pair("file", "name"))
+    found = wanted.join(ends, "pair", "left")
+    return found.select("file", "name", F.coalesce("end.file", "file").alias("end_file"), F.coalesce("end.name", "name").alias("end_name"), F.coalesce("hops", F.lit(0)).cast("int").alias("hops"), F.coalesce("status", F.lit("resolved")).alias("status"))
 
 
 def call_edges(references: DataFrame, definitions: DataFrame, methods: DataFrame) -> tuple[DataFrame, DataFrame]:

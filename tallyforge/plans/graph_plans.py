@@ -36,3 +36,24 @@ def merge_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = read(spark, sf_dir, "customer").where("c_custkey > 2").selectExpr("c_custkey div 3 as a", "c_custkey as b")
     return G.reachable(edges, "a", "b", spark.range(1, 2).select(F.col("id").alias("root")))
+
+
+# customers of a block of 128 export one to the next; every third block's chain ends in a cycle of eight, the last of a block is unlinked
+_EXPORTS = "(SELECT 'f' || c_custkey // 128 AS file, 's' || c_custkey % 128 AS name, CASE WHEN c_custkey % 128 = 127 AND c_custkey // 128 % 3 = 0 THEN 120 ELSE c_custkey % 128 + 1 END AS k FROM customer WHERE c_custkey % 128 < 127 OR c_custkey // 128 % 3 = 0)"
+
+
+@query(
+    f"""WITH RECURSIVE e AS (SELECT file, name, 's' || k AS to_name FROM {_EXPORTS}), r AS (SELECT file, name, name AS at, [name] AS seen FROM e UNION ALL
+    SELECT r.file, r.name, e.to_name, list_append(seen, e.to_name) FROM r JOIN e ON e.file = r.file AND e.name = r.at WHERE NOT list_contains(seen, e.to_name))
+  SELECT r.file, r.name, r.file AS end_file, arg_max(r.at, len(seen)) AS end_name, CAST(max(len(seen)) - 1 AS INTEGER) AS hops, CASE WHEN bool_or(list_contains(seen, e.to_name)) THEN 'cycle' ELSE 'resolved' END AS status
+  FROM r LEFT JOIN e ON e.file = r.file AND e.name = r.at GROUP BY 1, 2"""
+)
+def export_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ends of chains of re-exports, some of which run into cycles."""
+    at, block = F.col("c_custkey") % 128, F.floor(F.col("c_custkey") / 128)
+    turns = (at == 127) & (block % 3 == 0)
+    c = read(spark, sf_dir, "customer", "c_custkey").where((at < 127) | (block % 3 == 0))
+    name = lambda k: F.concat(F.lit("s"), k.cast("string"))
+    file = F.concat(F.lit("f"), block.cast("string"))
+    links = c.select(file.alias("file"), name(at).alias("name"), file.alias("to_file"), name(F.when(turns, 120).otherwise(at + 1)).alias("to_name"))
+    return G.follow_exports(links, links)

@@ -179,6 +179,33 @@ def test_greedy_slots(spark):
     assert {(x["id"], x["slot"]) for x in got} == want
 
 
+def test_chain_ends(spark):
+    r = random.Random(8)
+    links = {k: r.randrange(130) for k in range(110)}  # ways into cycles of any length, and ends from 110 on
+    links |= {k: k + 1 for k in range(1000, 1400)} | {2000: 2001, 2001: 2002, 2002: 2000, 2003: 2003}
+    rows = [*links.items(), (5, links[5] + 50), (7, None), (None, 3)]
+    got = {x["n"]: (x["end"], x["hops"], x["status"]) for x in graph.chain_ends(spark.createDataFrame(rows, "n int, t int"), "n", "t").collect()}
+    assert set(got) == set(links)
+    for k in links:
+        at, seen = k, {k}
+        while at in links and links[at] not in seen:
+            at = links[at]
+            seen.add(at)
+        assert got[k] == (at, len(seen) - 1, "cycle" if at in links else "resolved")
+    assert graph.chain_ends(spark.createDataFrame([], "n int, t int"), "n", "t").collect() == []
+    resolved = {x["n"]: x["end"] for x in graph.resolve_chain(spark.createDataFrame([x for x in links.items() if x[0] >= 1396], "n int, t int"), "n", "t").collect()}
+    assert resolved[1396] == 1400 and resolved[2000] is None and resolved[2003] is None
+
+
+def test_long_chain_takes_few_rounds(spark, monkeypatch):
+    n, tables = 100_000, []
+    kept = graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: tables.append(name) or kept(df, name))
+    links = spark.range(n).select(F.col("id").alias("n"), (F.col("id") + 1).alias("t"))
+    assert graph.chain_ends(links, "n", "t").where(F.col("end") == n).agg(F.count("*"), F.max("hops")).first() == (n, n)
+    assert len(tables) <= 24  # the links, the first pointers, a table a round, and the ended rows kept twice
+
+
 def _greedy(rows, slots):
     taken, filled, want = set(), {}, set()
     for k, repo, lang, _ in sorted(rows, key=lambda x: x[3]):
