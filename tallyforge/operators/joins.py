@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -10,14 +11,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 def enclosing_interval(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str, order: list[str] | None = None, bin_width: int | None = None) -> DataFrame:
     """Each point with the innermost interval of its key around it; the shortest wins, then the latest start.
 
-    ``points`` must have a unique ``point_id``. With ``bin_width`` (integer columns) intervals are also
-    cut into bins, which become a further key, so that keys with many intervals spread over tasks.
+    ``points`` must have a unique ``point_id``. With ``bin_width`` places are a further key, as in
+    ``overlapping``, so that keys with many intervals spread over tasks; no bin is narrower, and longer intervals have wider ones.
     """
+    columns = points.columns
     if bin_width:
-        bins = F.sequence(F.floor(F.col(start) / bin_width), F.floor(F.col(end) / bin_width))
-        intervals = intervals.withColumn("__bin", F.explode(bins))
-        points = points.withColumn("__bin", F.floor(F.col(at) / bin_width))
-        keys = [*keys, "__bin"]
+        place = _places([points.schema[at], intervals.schema[start], intervals.schema[end]])
+        intervals, levels = _keyed_intervals(intervals.where(F.col(start) <= F.col(end)), place(start), place(end), bin_width)
+        points, keys = _keyed_points(points, place(at), levels), [*keys, *_PLACE]
     if _is_time(intervals, start):
         span, latest = F.timestamp_diff("MICROSECOND", F.col(start), F.col(end)), -F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(start))
     else:
@@ -25,17 +26,68 @@ def enclosing_interval(points: DataFrame, intervals: DataFrame, keys: list[str],
     picked = [c for c in intervals.columns if c not in keys]
     joined = points.join(intervals, keys).where((F.col(start) <= F.col(at)) & (F.col(at) <= F.col(end)))
     best = joined.groupBy("point_id").agg(F.min_by(F.struct(*picked), F.struct(span, latest, *[F.col(c) for c in order or []])).alias("__best"))
-    return points.drop("__bin").join(best, "point_id", "left").select(*[c for c in points.columns if c != "__bin"], *[F.col(f"__best.{c}").alias(c) for c in picked])
+    every = points.where("__first").drop(*_PLACE, "__first") if bin_width else points
+    return every.join(best, "point_id", "left").select(*columns, *[F.col(f"__best.{c}").alias(c) for c in picked])
 
 
 def _is_time(df: DataFrame, column: str) -> bool:
     return df.schema[column].dataType.typeName().startswith("timestamp")
 
 
+_PLACE = ["__level", "__bin"]
+
+
+def _places(fields: list) -> Callable[[str], Column]:
+    """A whole number for a value of a column, in the order of the values; all columns are brought to one kind."""
+    kinds = {f.dataType.typeName() for f in fields}
+    if "timestamp" in kinds:
+        return lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    if "timestamp_ntz" in kinds:
+        return lambda c: F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(c).cast("timestamp_ntz"))
+    if kinds == {"date"}:
+        return lambda c: F.unix_date(c).cast("long")
+    return lambda c: F.floor(c).cast("long")
+
+
+def _keyed_intervals(intervals: DataFrame, start: Column, end: Column, least: int = 1) -> tuple[DataFrame, list[int]]:
+    """Intervals by level and bin, and the levels that occur, 64 at most.
+
+    An interval's level is the first whose bins are wider than it and ``least`` wide or more, so it lies in one bin or two, however long it is.
+    """
+    placed = intervals.withColumns({"__start": start, "__end": end})
+    width = F.col("__end") - F.col("__start")
+    placed = placed.withColumn("__level", F.greatest(F.when(width == 0, 0).otherwise(F.length(F.bin(width))), F.lit((least - 1).bit_length())))
+    levels = sorted(r[0] for r in placed.select("__level").distinct().collect())
+    bins = F.array_distinct(F.array(F.expr("shiftright(__start, __level)"), F.expr("shiftright(__end, __level)")))
+    return placed.withColumn("__bin", F.explode(bins)).drop("__start", "__end"), levels
+
+
+def _keyed_points(points: DataFrame, at: Column, levels: list[int]) -> DataFrame:
+    """Each point once for every level, with its bin there; ``__first`` marks one of these rows."""
+    every = F.explode(F.array(*[F.lit(k) for k in levels or [0]]))
+    placed = points.withColumn("__at", at).withColumn("__level", every)
+    return placed.withColumn("__bin", F.expr("shiftright(__at, __level)")).withColumn("__first", F.col("__level") == (levels or [0])[0]).drop("__at")
+
+
 def overlapping(left: DataFrame, right: DataFrame, keys: list[str], a: tuple[str, str], b: tuple[str, str]) -> DataFrame:
-    """Pairs of one key whose closed intervals overlap; empty intervals (start after end) take no part."""
+    """Pairs of one key whose closed intervals overlap; empty intervals (start after end) and null bounds take no part.
+
+    Two intervals overlap where the right one starts in the left one, or else the left one in the right one after its
+    start, so every pair is found once, as a start within an interval. Intervals are keyed by the bins of a level that
+    suits their length and starts by their bins on all levels that occur: a key's rows spread over tasks, and no
+    interval is cut into more than two. Columns beyond the keys have different names on both sides.
+    """
     left, right = left.where(F.col(a[0]) <= F.col(a[1])), right.where(F.col(b[0]) <= F.col(b[1]))
-    return left.join(right, keys).where((F.col(a[0]) <= F.col(b[1])) & (F.col(b[0]) <= F.col(a[1])))
+    place = _places([left.schema[a[0]], left.schema[a[1]], right.schema[b[0]], right.schema[b[1]]])
+    by = [*keys, *_PLACE]
+
+    def pairs(l: DataFrame, r: DataFrame, test: Column) -> DataFrame:  # noqa: E741
+        return l.join(r, by).where(test).drop(*_PLACE, "__first")
+
+    held, levels = _keyed_intervals(left, place(a[0]), place(a[1]))
+    first = pairs(held, _keyed_points(right, place(b[0]), levels), (F.col(a[0]) <= F.col(b[0])) & (F.col(b[0]) <= F.col(a[1])))
+    held, levels = _keyed_intervals(right, place(b[0]), place(b[1]))
+    return first.unionAll(pairs(_keyed_points(left, place(a[0]), levels), held, (F.col(b[0]) < F.col(a[0])) & (F.col(a[0]) <= F.col(b[1]))))
 
 
 def unique_match(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:

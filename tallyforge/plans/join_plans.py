@@ -34,6 +34,21 @@ def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("user_id", F.col("d").cast("string").alias("day")).agg(F.count("*").alias("overlaps"))
 
 
+@query(
+    """WITH i AS (SELECT l_returnflag AS flag, l_linestatus AS status, l_orderkey * 8 + l_linenumber AS id, epoch_us(l_shipdate) // 1000000 AS s, CASE WHEN l_quantity >= 50 THEN 864000 ELSE CAST(l_quantity AS BIGINT) * 400 END AS w FROM lineitem)
+  SELECT o.id, count(*) AS overlaps, min(f.id) AS least, max(f.id) AS most FROM i o JOIN i f ON o.flag = f.flag AND o.s <= f.s + f.w AND f.s <= o.s + o.w WHERE o.status = 'O' AND f.status = 'F' GROUP BY 1"""
+)
+def shipping_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each open item how many finished ones of its flag, of which there are three, were on their way at the same time."""
+    i = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_linestatus", "l_quantity", "l_returnflag", "l_shipdate")
+    at = F.unix_seconds(F.col("l_shipdate").cast("timestamp"))
+    until = at + F.when(F.col("l_quantity") >= 50, 864_000).otherwise(F.col("l_quantity").cast("long") * 400)
+    row = lambda x: [F.col("l_returnflag").alias("flag"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias(f"{x}_id"), at.alias(f"{x}_from"), until.alias(f"{x}_until")]
+    opened, done = i.where("l_linestatus = 'O'").select(*row("o")), i.where("l_linestatus = 'F'").select(*row("f"))
+    found = joins.overlapping(opened, done, ["flag"], ("o_from", "o_until"), ("f_from", "f_until"))
+    return found.groupBy(F.col("o_id").alias("id")).agg(F.count("*").alias("overlaps"), F.min("f_id").alias("least"), F.max("f_id").alias("most"))
+
+
 @query(
     """WITH k AS (SELECT n_nationkey * 10 + b AS key FROM nation, (SELECT unnest([0, 1, 2]) AS b)), s AS (SELECT s_nationkey * 10 + least(greatest(CAST(floor(s_acctbal / 3500) AS INTEGER), 0), 2) AS key, s_suppkey FROM supplier),
   b AS (SELECT key, count(s_suppkey) AS n, min(s_suppkey) AS one FROM k LEFT JOIN s USING (key) GROUP BY 1)

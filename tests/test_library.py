@@ -179,6 +179,28 @@ def test_greedy_slots(spark):
     assert {(x["id"], x["slot"]) for x in got} == want
 
 
+def test_overlaps_of_any_length(spark):
+    r = random.Random(12)
+
+    def some(n):
+        starts = [r.randrange(-5000, 5000) for _ in range(n)]
+        return [(r.choice(["hot"] * 5 + ["a", None]), k, None if k == 0 else s, s + r.choice([-1, 0, 1, 7, 64, 100_000])) for k, s in enumerate(starts)]
+
+    a, b = some(150), some(170)
+    left, right = spark.createDataFrame(a, "g string, i int, s long, e long"), spark.createDataFrame(b, "g string, j int, x long, y long")
+    want = sorted((i, j) for g, i, s, e in a for h, j, x, y in b if g and g == h and None not in (s, x) and s <= e and x <= y and s <= y and x <= e)
+    got = joins.overlapping(left, right, ["g"], ("s", "e"), ("x", "y"))
+    assert got.columns == ["g", "i", "s", "e", "j", "x", "y"]
+    assert sorted((v["i"], v["j"]) for v in got.collect()) == want
+    assert joins.overlapping(left.limit(0), right, ["g"], ("s", "e"), ("x", "y")).collect() == []
+    points = spark.createDataFrame([(k, g, s) for g, k, s, _ in a], "point_id int, g string, at long")
+    plain = joins.enclosing_interval(points, right, ["g"], "at", "x", "y", ["j"])
+    for width in (1, 100):
+        placed = joins.enclosing_interval(points, right, ["g"], "at", "x", "y", ["j"], bin_width=width)
+        assert placed.columns == plain.columns
+        assert sorted(placed.collect(), key=repr) == sorted(plain.collect(), key=repr) and placed.count() == len(a)
+
+
 def test_chain_ends(spark):
     r = random.Random(8)
     links = {k: r.randrange(130) for k in range(110)}  # ways into cycles of any length, and ends from 110 on
