@@ -10,8 +10,10 @@ than ``LONG`` items is found under the single frequent item instead. No pair is
 
 A cell of few sets gives a spanning forest of the pairs that pass a test by sizes and bitmaps of parities, whose differing
 bits are never more than the differing items. Wider bitmaps, of two bits an item, are held against each other once for each
-pair; what is left is tested on the sets. Where a pair fails, its cells give their other pairs. A cell of many sets gets the sets themselves and gives a spanning forest of its links, in blocks of ``FULL``, so a
-large group gives no pairs. All links are tested on the sets, by 48 bits of each item.
+pair; what is left is tested on the sets. Where a pair fails, its cells give their other pairs. A cell of many sets is
+compared in blocks of ``FULL``: bitmaps mark the sets with a likely partner, only these are brought there, and a spanning forest of
+their links is given, so a large group gives no pairs. Each set enters one such cell first; cells whose sets are in
+one component by then are done. All links are tested on the sets, by 48 bits of each item.
 
 Defined cases: texts without words are linked with nothing, not even with each other; a text with fewer words than a
 shingle is one shingle; documents with a null id take part but never name a component that holds another id; rows that
@@ -214,13 +216,13 @@ def _few(limit: Limit, spanning: bool):
     return run
 
 
-def forest(sets: list[np.ndarray], left: np.ndarray, across: bool, limit: Limit) -> list[tuple[int, int]]:
-    """Links of a spanning forest of similar sets; with ``across`` only of pairs of which one is ``left``."""
+def forest(sets: list[np.ndarray], label: np.ndarray, left: np.ndarray, across: bool, limit: Limit) -> list[tuple[int, int]]:
+    """Links of a spanning forest of similar sets of unlike ``label``, which it changes; with ``across`` only of pairs of which one is ``left``."""
     n = np.array([len(s) for s in sets])
     maps = np.stack([parities(s, LARGE_MAP) for s in sets]).view("u8")
-    label, out = np.arange(len(sets)), []
+    out = []
     for i in range(len(sets) - 1):
-        near = limit.sized(n[i], n[i + 1 :])
+        near = limit.sized(n[i], n[i + 1 :]) & (label[i + 1 :] != label[i])
         if across:
             near &= left[i + 1 :] != left[i]
         j = i + 1 + np.flatnonzero(near)
@@ -232,13 +234,48 @@ def forest(sets: list[np.ndarray], left: np.ndarray, across: bool, limit: Limit)
     return out
 
 
+def likely_rows(maps: list[bytes], n: np.ndarray, root: np.ndarray, left: np.ndarray, across: bool, limit: Limit) -> np.ndarray:
+    """Which sets have a partner of unlike ``root`` whose bitmap differs in no more bits than similar sets may in items; ``across`` as in ``forest``."""
+    out, widths = np.zeros(len(n), bool), np.array([len(m) for m in maps])
+    for width in np.unique(widths).tolist():
+        own = np.flatnonzero(widths == width)
+        at = np.r_[own, np.flatnonzero(widths > width)]  # wider bitmaps are folded
+        bits = np.stack([np.bitwise_xor.reduce(np.frombuffer(maps[k], "u8").reshape(-1, width // 8), axis=0) for k in at.tolist()])
+        for i, k in enumerate(own.tolist()):
+            near = limit.sized(n[k], n[at[i + 1 :]]) & (root[at[i + 1 :]] != root[k])
+            if across:
+                near &= left[at[i + 1 :]] != left[k]
+            j = i + 1 + np.flatnonzero(near)
+            j = j[np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype="i4") <= limit.differ(n[k], n[at[j]])]
+            if len(j):
+                out[k] = True
+                out[at[j]] = True
+    return out
+
+
+def _marked(limit: Limit):
+    """Those rows of blocks of cells of many sets that have a likely partner there."""
+    schema = pa.schema([("kind", pa.int8()), ("cell", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("block", pa.int32()), ("node", pa.binary()), ("root", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for *columns, sizes, maps in _runs(batches, 4):
+            _, _, low, high, block, _, roots = columns
+            at = {root: k for k, root in enumerate(roots)}
+            root = np.array([at[r] for r in roots])
+            mark = pa.array(likely_rows(maps, np.array(sizes), root, np.array(block) == low[0], low[0] != high[0], limit))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type).filter(mark) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return run
+
+
 def _many(limit: Limit):
     """Links of blocks of cells of many sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, low, high, block, nodes, items in _runs(batches, 4):
-            sets = [unpacked(x) for x in items]
-            found = forest(sets, np.array(block) == low[0], low[0] != high[0], limit)
+        for _, _, low, high, block, nodes, roots, items in _runs(batches, 4):
+            sets, at = [unpacked(x) for x in items], {root: k for k, root in enumerate(roots)}
+            label = np.array([at[root] for root in roots])
+            found = forest(sets, label, np.array(block) == low[0], low[0] != high[0], limit)
             yield _links_of([(nodes[i], nodes[k]) for i, k in found])
 
     return run
@@ -293,7 +330,7 @@ def links(distinct: DataFrame, items: DataFrame, limit: Limit) -> DataFrame:
     free_disk(spark)
 
     blocks = F.ceil(F.col("size") / FULL).cast("int")
-    many = placed.where(F.col("size") > FEW).select("kind", "cell", "node", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), F.sequence(F.lit(0), blocks - 1).alias("others"))
+    many = placed.where(F.col("size") > FEW).select("kind", "cell", "size", "node", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), F.sequence(F.lit(0), blocks - 1).alias("others"))
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).unionByName(many.select("node")).distinct()
     wanted = stored(distinct.join(wanted, "node").select("text_key").distinct(), "wanted-texts")
     once = items.join(wanted, "text_key").groupBy("text_key").agg(F.first("text").alias("text"))
@@ -321,13 +358,26 @@ def links(distinct: DataFrame, items: DataFrame, limit: Limit) -> DataFrame:
     others = near(few.join(cells, ["kind", "cell"], "left_semi"), False).select("u", "v").distinct().join(pairs.select("u", "v"), ["u", "v"], "left_anti")
     fourth = stored(tested(apart(others)), "links")
     free_disk(spark)
-    # each pair of blocks is one piece of work: a set goes to as many as its cell has blocks
-    spread = many.join(sets, "node").select("kind", "cell", F.explode("others").alias("other"), "block", "node", "items")
-    spread = spread.select("kind", "cell", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "items")
+    linked = first.unionByName(second).unionByName(fourth)
+    # of its large cells a set enters the least one first; then only cells count in which this has left sets apart
     work = ["kind", "cell", "low", "high"]
-    third = stored(spread.repartition(*work).sortWithinPartitions(*work).mapInArrow(_many(limit), "u binary, v binary"), "links")
-    free_disk(spark)
-    return first.unionByName(second).unionByName(third).unionByName(fourth)
+    in_order = lambda rows: rows.repartition(*work).sortWithinPartitions(*work)
+    for own in (True, False):
+        roots = stored(components(linked, "u", "v"), "roots").select("node", F.col("component").alias("root"))
+        rooted = stored(many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "large-cells")
+        mixed = rooted.groupBy("kind", "cell").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("kind", "cell")
+        open_cells = rooted.join(mixed, ["kind", "cell"], "left_semi")
+        if own:
+            least = open_cells.groupBy("node").agg(F.min(F.struct("size", "kind", "cell")).alias("x")).select("node", "x.kind", "x.cell")
+            open_cells = open_cells.join(least, ["node", "kind", "cell"], "left_semi")
+        # each pair of blocks is one piece of work: a set's bitmap goes to as many as its cell has blocks, the set only where it has a likely partner
+        spread = open_cells.join(distinct.select("node", "n", "wide"), "node").select("kind", "cell", F.explode("others").alias("other"), "block", "node", "root", "n", "wide")
+        spread = spread.select("kind", "cell", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "root", "n", "wide")
+        marked = stored(in_order(spread).mapInArrow(_marked(limit), "kind byte, cell long, low int, high int, block int, node binary, root binary"), "marked")
+        free_disk(spark)
+        linked = linked.unionByName(stored(in_order(marked.join(sets, "node").select(*marked.columns, "items")).mapInArrow(_many(limit), "u binary, v binary"), "links"))
+        free_disk(spark)
+    return linked
 
 
 def similar_documents(docs: DataFrame, limit: Limit) -> DataFrame:
