@@ -24,7 +24,7 @@ def enclosing_interval(points: DataFrame, intervals: DataFrame, keys: list[str],
     else:
         span, latest = F.col(end) - F.col(start), -F.col(start)
     picked = [c for c in intervals.columns if c not in keys]
-    joined = points.join(intervals, keys).where((F.col(start) <= F.col(at)) & (F.col(at) <= F.col(end)))
+    joined = points.join(intervals.hint("merge") if bin_width else intervals, keys).where((F.col(start) <= F.col(at)) & (F.col(at) <= F.col(end)))
     best = joined.groupBy("point_id").agg(F.min_by(F.struct(*picked), F.struct(span, latest, *[F.col(c) for c in order or []])).alias("__best"))
     every = points.where("__first").drop(*_PLACE, "__first") if bin_width else points
     return every.join(best, "point_id", "left").select(*columns, *[F.col(f"__best.{c}").alias(c) for c in picked])
@@ -69,24 +69,26 @@ def _keyed_points(points: DataFrame, at: Column, levels: list[int]) -> DataFrame
     return placed.withColumn("__bin", F.expr("shiftright(__at, __level)")).withColumn("__first", F.col("__level") == (levels or [0])[0]).drop("__at")
 
 
-def overlapping(left: DataFrame, right: DataFrame, keys: list[str], a: tuple[str, str], b: tuple[str, str]) -> DataFrame:
+def overlapping(left: DataFrame, right: DataFrame, keys: list[str], a: tuple[str, str], b: tuple[str, str], bin_width: int = 1) -> DataFrame:
     """Pairs of one key whose closed intervals overlap; empty intervals (start after end) and null bounds take no part.
 
     Two intervals overlap where the right one starts in the left one, or else the left one in the right one after its
     start, so every pair is found once, as a start within an interval. Intervals are keyed by the bins of a level that
     suits their length and starts by their bins on all levels that occur: a key's rows spread over tasks, and no
-    interval is cut into more than two. Columns beyond the keys have different names on both sides.
+    interval is cut into more than two. No bin is narrower than ``bin_width`` (microseconds, days or units): where a
+    key has few intervals within that, fewer levels occur and a start has fewer rows. Rows by level are many more than
+    the table's size tells, so neither side is broadcast. Columns beyond the keys have different names on both sides.
     """
     left, right = left.where(F.col(a[0]) <= F.col(a[1])), right.where(F.col(b[0]) <= F.col(b[1]))
     place = _places([left.schema[a[0]], left.schema[a[1]], right.schema[b[0]], right.schema[b[1]]])
     by = [*keys, *_PLACE]
 
     def pairs(l: DataFrame, r: DataFrame, test: Column) -> DataFrame:  # noqa: E741
-        return l.join(r, by).where(test).drop(*_PLACE, "__first")
+        return l.join(r.hint("merge"), by).where(test).drop(*_PLACE, "__first")
 
-    held, levels = _keyed_intervals(left, place(a[0]), place(a[1]))
+    held, levels = _keyed_intervals(left, place(a[0]), place(a[1]), bin_width)
     first = pairs(held, _keyed_points(right, place(b[0]), levels), (F.col(a[0]) <= F.col(b[0])) & (F.col(b[0]) <= F.col(a[1])))
-    held, levels = _keyed_intervals(right, place(b[0]), place(b[1]))
+    held, levels = _keyed_intervals(right, place(b[0]), place(b[1]), bin_width)
     return first.unionAll(pairs(_keyed_points(left, place(a[0]), levels), held, (F.col(b[0]) < F.col(a[0])) & (F.col(a[0]) <= F.col(b[1]))))
 
 

@@ -30,7 +30,8 @@ def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events", "user_id", "ts", "event_type").withColumn("d", F.to_date("ts"))
     sessions = e.groupBy("user_id", "d").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
     hours = e.select("user_id", "d", F.date_trunc("hour", "ts").alias("x")).distinct().withColumn("y", F.col("x") + F.expr("INTERVAL 1 HOUR"))
-    found = joins.overlapping(sessions, hours, ["user_id", "d"], ("a", "b"), ("x", "y"))
+    day = 24 * 3600 * 1_000_000  # a user's day has one session and 25 hours at most
+    found = joins.overlapping(sessions, hours, ["user_id", "d"], ("a", "b"), ("x", "y"), day)
     return found.groupBy("user_id", F.col("d").cast("string").alias("day")).agg(F.count("*").alias("overlaps"))
 
 

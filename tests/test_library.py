@@ -542,3 +542,17 @@ def test_context_windows(spark):
     got = {r["line"]: r["context"].split("\n") for r in symbols.caller_context(refs, files, methods).collect()}
     lines = lambda a, b: [f"line {k}" for k in range(a, b + 1)]
     assert got == {10: lines(9, 14), 2: lines(1, 7), 29: lines(25, 30)}
+
+
+def test_interval_joins_are_not_broadcast(spark):
+    # rows by level are many times what the tables' sizes tell, and a driver that broadcasts them runs out of memory
+    left = spark.createDataFrame([("k", 4 * n, 4 * n + n % 37) for n in range(400)], "g string, s long, e long")
+    right = spark.createDataFrame([("k", 3 * n, 3 * n + n % 5) for n in range(400)], "g string, x long, y long")
+    got = joins.overlapping(left, right, ["g"], ("s", "e"), ("x", "y"))
+    wide = joins.overlapping(left, right, ["g"], ("s", "e"), ("x", "y"), 64)
+    points = right.select(F.col("x").alias("point_id"), "g", F.col("x").alias("at"))
+    inner = joins.enclosing_interval(points, left, ["g"], "at", "s", "e", bin_width=4)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (got, wide, inner)]
+    assert all("__level" in p for p in plans)
+    assert not any("BroadcastHashJoin [g" in p for p in plans)
+    assert sorted(got.collect()) == sorted(wide.collect()) and got.count() > 400
