@@ -3,7 +3,7 @@
 import zlib
 
 import corpus_pipeline
-from tallyforge.llm import quality, quality_rules, simhash, substring_dedup, tokens
+from tallyforge.llm import jaccard_join, quality, quality_rules, simhash, substring_dedup, tokens
 from tallyforge.llm.common import stored, table
 
 SF = "/root/testdata/sf0.001"
@@ -61,3 +61,17 @@ def test_pipeline_cases(spark, tmp_path):
     long = " ".join(f"{w} {k}" for k, w in enumerate(one[1].split() * 200))
     pieces = _written(spark, f"file://{tmp_path}/d", [*rows[:30], (9100, long, "en", "s", 1), (9101, long, "en", "s", 1)], schema, [])
     assert 9101 not in {r[0] for r in pieces}  # without labels all pass the classifier; copies are one document
+
+
+def test_near_duplicates_go_by_fingerprints(spark, monkeypatch):
+    def refused(*_):
+        raise AssertionError("a join of sets replaces the fingerprints")
+
+    for module in (jaccard_join, simhash):
+        monkeypatch.setattr(module, "similar_documents", refused, raising=False)
+    docs = table(spark, SF, "documents")
+    bits = {r["doc_id"]: simhash.fingerprint(r["text"], 5) for r in docs.select("doc_id", "text").collect()}
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).select("doc_id").collect()}
+    assert 0 < len(kept) < len(bits)
+    near = lambda k: any(j < k and (bits[j] ^ bits[k]).bit_count() <= simhash.MOST for j in bits)
+    assert all(not near(k) for k in kept) and all(any((bits[j] ^ bits[k]).bit_count() <= simhash.MOST for j in bits if j != k) for k in bits if k not in kept)
