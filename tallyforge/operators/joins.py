@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..storage import written
+
 
 def enclosing_interval(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str, order: list[str] | None = None, bin_width: int | None = None) -> DataFrame:
     """Each point with the innermost interval of its key around it; the shortest wins, then the latest start.
@@ -92,6 +94,45 @@ def overlapping(left: DataFrame, right: DataFrame, keys: list[str], a: tuple[str
     return first.unionAll(pairs(_keyed_points(left, place(a[0]), levels), held, (F.col(b[0]) < F.col(a[0])) & (F.col(a[0]) <= F.col(b[1]))))
 
 
+def _nodes(low: str, high: str) -> Column:
+    """The blocks ``(__level, __bin)`` of powers of two, two a level at most, that make up the whole numbers from ``low`` to below ``high``."""
+    # on every level what is left begins at the next whole block and ends at the last one; an odd block at an end stands for itself
+    first, last = f"shiftright({low} + shiftleft(1L, k) - 1, k)", f"shiftright({high}, k)"
+    block = lambda odd, at: f"if({first} < {last} and ({odd} & 1) = 1, named_struct('__level', k, '__bin', {at}), null)"
+    each = f"transform(sequence(0, length(bin({high} - {low}))), k -> array({block(first, first)}, {block(last, last + ' - 1')}))"
+    return F.expr(f"filter(flatten({each}), x -> x is not null)")
+
+
+def overlap_summary(left: DataFrame, right: DataFrame, keys: list[str], a: tuple[str, str], b: tuple[str, str], value: str) -> DataFrame:
+    """Rows of ``left`` with how many intervals of ``right`` overlap theirs, and the least and greatest ``value`` of these: ``(overlaps, least, most)``.
+
+    As ``overlapping`` finds them, but without any pair: right starts are summed up in blocks of powers of two on all levels, and a left
+    interval reads the blocks that make it up; right intervals, after their starts, are summed up in the blocks that make them up, and a
+    left start reads the blocks around it. The work is rows times the logarithm of the longest interval, and equal intervals are one
+    row until the end. Bounds must be whole numbers, dates or timestamps. Rows without an overlap are left out.
+    """
+    left, right = left.where(F.col(a[0]) <= F.col(a[1])), right.where(F.col(b[0]) <= F.col(b[1]))
+    fields = [left.schema[a[0]], left.schema[a[1]], right.schema[b[0]], right.schema[b[1]]]
+    if any(f.dataType.typeName() in ("float", "double", "decimal") for f in fields):
+        raise ValueError("bounds must be whole numbers, dates or timestamps")
+    place, by = _places(fields), [*keys, *_PLACE]
+    sums = [F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most")]
+    wanted = written(left.select(*keys, place(a[0]).alias("__low"), place(a[1]).alias("__high")).distinct(), "intervals")
+    held = right.select(*keys, place(b[0]).alias("__start"), place(b[1]).alias("__end"), F.col(value).alias("value"))
+    held = written(held.groupBy(*keys, "__start", "__end").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most")), "intervals")
+    blocks = lambda df, low, high: df.withColumn("__x", F.explode(_nodes(low, high))).select("*", "__x.*").drop("__x")
+    width = lambda df, low, high: range((df.agg(F.max(F.col(high) - F.col(low))).first()[0] or 0).bit_length() + 1)
+
+    starts = _keyed_points(held, F.col("__start"), list(width(wanted, "__low", "__high"))).groupBy(*by).agg(*sums)
+    inside = blocks(wanted.withColumn("__to", F.col("__high") + 1), "__low", "__to").join(starts.hint("merge"), by)
+    around = blocks(held.withColumns({"__from": F.col("__start") + 1, "__to": F.col("__end") + 1}).where("__from < __to"), "__from", "__to").groupBy(*by).agg(*sums)
+    before = _keyed_points(wanted, F.col("__low"), list(width(held, "__start", "__end"))).join(around.hint("merge"), by)
+    own = [*keys, "__low", "__high"]
+    total = inside.select(*own, "n", "least", "most").unionAll(before.select(*own, "n", "least", "most")).groupBy(*own).agg(*sums)
+    placed = left.withColumns({"__low": place(a[0]), "__high": place(a[1])})
+    return placed.join(total, own).select(*left.columns, F.col("n").alias("overlaps"), "least", "most")
+
+
 def unique_match(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
     """``left`` with ``status`` (resolved, missing, ambiguous), the number of candidates, and the value where there is exactly one."""
     found = right.groupBy(key).agg(F.count("*").alias("candidates"), F.min(value).alias("__one"))

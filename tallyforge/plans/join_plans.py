@@ -46,8 +46,8 @@ def shipping_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     until = at + F.when(F.col("l_quantity") >= 50, 864_000).otherwise(F.col("l_quantity").cast("long") * 400)
     row = lambda x: [F.col("l_returnflag").alias("flag"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias(f"{x}_id"), at.alias(f"{x}_from"), until.alias(f"{x}_until")]
     opened, done = i.where("l_linestatus = 'O'").select(*row("o")), i.where("l_linestatus = 'F'").select(*row("f"))
-    found = joins.overlapping(opened, done, ["flag"], ("o_from", "o_until"), ("f_from", "f_until"))
-    return found.groupBy(F.col("o_id").alias("id")).agg(F.count("*").alias("overlaps"), F.min("f_id").alias("least"), F.max("f_id").alias("most"))
+    found = joins.overlap_summary(opened, done, ["flag"], ("o_from", "o_until"), ("f_from", "f_until"), "f_id")
+    return found.groupBy(F.col("o_id").alias("id")).agg(F.sum("overlaps").alias("overlaps"), F.min("least").alias("least"), F.max("most").alias("most"))
 
 
 @query(

@@ -556,3 +556,28 @@ def test_interval_joins_are_not_broadcast(spark):
     assert all("__level" in p for p in plans)
     assert not any("BroadcastHashJoin [g" in p for p in plans)
     assert sorted(got.collect()) == sorted(wide.collect()) and got.count() > 400
+
+
+def test_overlap_summary_needs_no_pairs(spark):
+    r = random.Random(13)
+
+    def some(n):
+        starts = [r.randrange(-3000, 3000) for _ in range(n)]
+        return [(r.choice(["hot"] * 5 + ["a", None]), k, None if k == 0 else s, s + r.choice([-1, 0, 1, 2, 7, 64, 1000, 100_000])) for k, s in enumerate(starts)]
+
+    a, b = some(150), some(170)
+    left, right = spark.createDataFrame(a, "g string, i int, s long, e long"), spark.createDataFrame(b, "g string, j int, x long, y long")
+    want = {}
+    for g, i, s, e in a:
+        met = [j for h, j, x, y in b if g and g == h and None not in (s, x) and s <= e and x <= y and s <= y and x <= e]
+        if met:
+            want[i] = (len(met), min(met), max(met))
+    got = joins.overlap_summary(left, right, ["g"], ("s", "e"), ("x", "y"), "j")
+    assert got.columns == ["g", "i", "s", "e", "overlaps", "least", "most"]
+    assert {v["i"]: (v["overlaps"], v["least"], v["most"]) for v in got.collect()} == want and got.count() == len(want)
+    assert joins.overlap_summary(left.limit(0), right, ["g"], ("s", "e"), ("x", "y"), "j").collect() == []
+    assert joins.overlap_summary(left, right.limit(0), ["g"], ("s", "e"), ("x", "y"), "j").collect() == []
+    # 10^10 pairs, which no job could give
+    many = spark.range(100_000)
+    wide = joins.overlap_summary(many.selectExpr("'k' as g", "id as s", "id + 200000 as e"), many.selectExpr("'k' as g", "id", "id as x", "id + 200000 as y"), ["g"], ("s", "e"), ("x", "y"), "id")
+    assert wide.selectExpr("sum(overlaps)", "min(least)", "min(most)").first()[:] == (10**10, 0, 99_999)
