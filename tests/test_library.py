@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -581,3 +582,49 @@ def test_overlap_summary_needs_no_pairs(spark):
     many = spark.range(100_000)
     wide = joins.overlap_summary(many.selectExpr("'k' as g", "id as s", "id + 200000 as e"), many.selectExpr("'k' as g", "id", "id as x", "id + 200000 as y"), ["g"], ("s", "e"), ("x", "y"), "id")
     assert wide.selectExpr("sum(overlaps)", "min(least)", "min(most)").first()[:] == (10**10, 0, 99_999)
+
+
+def test_loops_over_joins_are_bounded(spark, monkeypatch):
+    # parts by rows, and nothing broadcast: what the loops write is many times its size in files
+    monkeypatch.setattr(graph, "ROWS", 50)
+    plans, write = [], graph.written_at
+    monkeypatch.setattr(graph, "written_at", lambda df, at: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, at))
+    monkeypatch.setattr(graph, "written", lambda df, name: graph.written_at(df, graph.fresh_path(spark, name)))
+    edges = spark.createDataFrame([(k, k + 1) for k in range(600) if k % 7 != 6], "a long, b long")
+    found = {r["node"]: r["component"] for r in graph.components(edges, "a", "b").collect()}
+    assert found == {k: k - k % 7 for k in range(601)}
+    ends = graph.chain_ends(edges, "a", "b").collect()
+    assert len(ends) == edges.count() and all(r["end"] == r["a"] - r["a"] % 7 + 6 or r["a"] >= 595 for r in ends)
+    cases = spark.createDataFrame([(k, str(k)) for k in range(300)], "case_id long, semantics string")
+    units = spark.createDataFrame([(k, k // 3) for k in range(300)], "case_id long, unit_id long")
+    linked = graph.case_components(cases, units, spark.createDataFrame([(0, 1)], "caller long, callee long")).collect()
+    assert {r["case_id"]: r["component"] for r in linked} == {k: 0 if k < 6 else k - k % 3 for k in range(300)}
+    assert plans and not any("BroadcastHashJoin [u" in p or "BroadcastHashJoin [t" in p for p in plans)
+    assert any("REPARTITION_BY_NUM" in p for p in plans)
+
+
+def test_line_starts_and_delegations_in_one_pass(spark):
+    r = random.Random(14)
+    bits = ["if ", "if(", "for x", "while (", " ", "  ", "\t", "\n", "\n\n", "\r\n", "return ", "return run(x);", "return a::b ", "fun f() = g(x)", "# note", '"""', "{", "x = y(1)", "do ", "\x0b"]
+    sources = ["".join(r.choice(bits) for _ in range(r.randint(0, 9))) for _ in range(400)] + ["", None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(sources)], "k int, source string")
+    starts = T.BRANCHES + T.LOOPS
+    got = {v["k"]: (v["n"], v["d"]) for v in rows.select("k", T.count_line_starts(F.col("source"), starts).alias("n"), shape.thin_delegation(F.col("source"), F.lit(3)).alias("d")).collect()}
+    calls = lambda e: (lambda b: b != "" and ("(" in b or "::" in b) and not any(x in b.lower() for x in shape.NO_CALL))(re.sub(";+$", "", e.strip(" ")))
+
+    def delegates(text):
+        held = [x for x in (re.sub(r"^[ \t\x0b\r\f]+|[ \t\x0b\r\f]+$", "", y) for y in text.strip(" ").split("\n")) if x and not x.startswith(("#", '"""', "'''"))]
+        if text.strip(" ") == "":
+            return False
+        if len(held) == 1:
+            one = held[0]
+            return calls(one[7:]) if one.startswith("return ") else bool(re.search(r"^.*fun .*=[^=]*\)[^=)]*$", one)) and calls(one.split("=")[-1])
+        last = [x for x in held if x.startswith("return ")]
+        return bool(last) and calls(last[-1][7:]) or ("fun " in text.lower() and "=" in text and calls(text.strip(" ").split("=")[-1].replace("\n", "")))
+
+    for k, t in enumerate(sources[:-1]):
+        assert got[k] == (sum(x.lstrip(" ").startswith(tuple(starts)) for x in t.split("\n")), delegates(t)), repr(t)
+    assert got[len(sources) - 1][0] is None
+    # the lines are not taken apart one by one
+    plan = rows.select(T.count_line_starts(F.col("source"), starts))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan
