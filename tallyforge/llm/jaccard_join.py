@@ -1,12 +1,14 @@
 """Documents whose sets of word shingles have a Jaccard similarity over a limit, by prefixes of token combinations.
 
 Each text is the set of its shingles' 64-bit hashes; equal sets are one node, told by 128 bits. A count-min sketch over
-all documents puts each shingle in a class: rare, which certainly stands in few documents, or frequent. All sets are
-sorted in one order, rare shingles first. Two similar sets share at least ``need`` items, so the first one that they
-share lies in the first ``n - need + 1`` items of both, and the first two lie in the first ``n - need + 2``. If the first one
-is rare, both sets are found under it. Otherwise everything they share is frequent, and both are found under the
-combination of the first two. The number of combinations grows with the square of a prefix, so a pair with a set of more
-than ``LONG`` items is found under the single frequent item instead. No pair is lost, however the sketch draws the line.
+all documents puts each shingle on a level: rare, which certainly stands in few documents, frequent, or very frequent. All sets
+are sorted in one order, rare shingles first, very frequent ones last. Two similar sets share at least ``need`` items, so the
+first one that they share lies in the first ``n - need + 1`` items of both, and the first ``k + 1`` lie in the first
+``n - need + k + 1``. If the first one is rare, both sets are found under it. Otherwise everything they share is frequent; hashes put
+items in ``k`` classes, so two of the first ``k + 1`` lie in one class, and both sets are found under the combination of these. With about as many
+classes as a similar set may lack items, a set has some twice as many combinations as it may lack items, where all pairs of a
+prefix would grow with its square. Classes are a power of two by the smaller of both sizes, so a set near a border enters
+under two. No pair is lost, however the sketch draws the lines; a sketch too full to tell rare items only makes more combinations.
 
 A cell of few sets gives a spanning forest of the pairs that pass a test by sizes and bitmaps of parities, whose differing
 bits are never more than the differing items. Wider bitmaps, of two bits an item, are held against each other once for each
@@ -32,13 +34,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.graph import components
 from .common import free_disk, fresh_path, remove_path, small_batches, stored, stored_at, table, texts
-from .sketches import Counters, Often, often
+from .sketches import Counters, Often, often_at
 
 SEED = 42
-#: Counters in a row of the sketch; a shingle is rare if it is counted fewer times than ``RARE``, beside what a counter holds of others.
+#: Counters in a row of the sketch; a shingle is rare if it is counted fewer times than ``RARE``, and very frequent from as many on beside what a counter holds of others.
 WIDTH = 1 << 21
 RARE = 64
-#: Sets of more items are found under single frequent items.
+#: Classes that a prefix of frequent items is cut into at most, which only very long sets reach.
 LONG = 512
 #: Sets of a cell that are compared in pairs of rows, and sets of one block of a larger cell.
 FEW = 64
@@ -49,7 +51,9 @@ SMALL = 1024
 LARGE_MAP = 256
 #: Bytes of an item in a set that is compared.
 ITEM = 6
-RARE_KEY, TWO_KEY, LONG_KEY = 0, 1, 2
+RARE_KEY, TWO_KEY = 0, 1
+#: Of cells under single frequent items, which no set enters any more.
+LONG_KEY = 2
 
 
 class Limit(NamedTuple):
@@ -101,26 +105,43 @@ def unpacked(blob: bytes) -> np.ndarray:
     return np.sort(out.view("<u8").ravel())
 
 
+def classes(n: int, limit: Limit) -> int:
+    """Classes that the prefix of a set of ``n`` items is cut into: a power of two, no more than items that a similar set may lack."""
+    most = max(1, min(n - limit.need(n), limit.need(n) - 1, LONG))
+    return 1 << (most.bit_length() - 1)
+
+
+def combined(order: np.ndarray, n_classes: int) -> np.ndarray:
+    """A key for each two items of one class, which come in the order that all sets have."""
+    kind = (order >> np.uint64(20)) & np.uint64(n_classes - 1)
+    at = np.argsort(kind, kind="stable")
+    order, kind, out = order[at], kind[at], []
+    for step in range(1, len(order)):
+        same = kind[step:] == kind[:-step]
+        if not same.any():
+            break
+        one, two = order[:-step][same], order[step:][same]
+        with np.errstate(over="ignore"):
+            out.append((one * np.uint64(0x9E3779B97F4A7C15)) ^ (two + (one >> np.uint64(29))))
+    return np.concatenate([np.zeros(0, "u8"), *out])
+
+
 def keys(items: np.ndarray, late: np.ndarray, limit: Limit) -> tuple[np.ndarray, np.ndarray]:
-    """Kinds and keys of all cells that a set enters; ``late`` marks its frequent items."""
+    """Kinds and keys of all cells that a set enters; ``late`` is 0 for rare items and greater for more frequent ones."""
     n = len(items)
     if limit.under * n < limit.over * (n + 1):  # no other set is similar to one so small
         return np.zeros(0, "i1"), np.zeros(0, "i8")
-    first = n - limit.need(n) + 1
-    order = np.r_[items[~late], items[late]]
-    n_rare = n - int(late.sum())
-    rare, often_one, often_two = order[: min(first, n_rare)], order[n_rare:first], order[n_rare : first + 1]
-    kinds, out = [np.full(len(rare), RARE_KEY, "i1")], [rare]
-    if n <= LONG and len(often_two) > 1:
-        i, j = np.triu_indices(len(often_two), 1)
-        with np.errstate(over="ignore"):
-            two = (often_two[i] * np.uint64(0x9E3779B97F4A7C15)) ^ (often_two[j] + (often_two[i] >> np.uint64(29)))
-        kinds.append(np.full(len(two), TWO_KEY, "i1"))
-        out.append(two)
-    if limit.under * n >= limit.over * LONG:
-        kinds.append(np.full(len(often_one), LONG_KEY, "i1"))
-        out.append(often_one)
-    return np.concatenate(kinds), np.concatenate(out).view("i8")
+    lacking = n - limit.need(n)
+    order = items[np.lexsort((items, late))]
+    n_rare = n - int(np.count_nonzero(late))
+    rare, two = order[: min(lacking + 1, n_rare)], []
+    if n_rare <= lacking:  # else a similar set has one of the rare items
+        k = classes(limit.need(n), limit)  # of the smallest similar set
+        while k <= classes(n, limit):
+            two.append(combined(order[n_rare : lacking + k + 1], k))
+            k *= 2
+    two = np.unique(np.concatenate([np.zeros(0, "u8"), *two]))
+    return np.r_[np.full(len(rare), RARE_KEY, "i1"), np.full(len(two), TWO_KEY, "i1")], np.r_[rare, two].view("i8")
 
 
 def _counted(shingle: int):
@@ -137,10 +158,11 @@ def _nodes(limit: Limit, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
-        tell: Often = frequent.value
+        tell: list[Often] = frequent.value
         for batch in batches:
             sets = [shingle_set(t, limit.shingle) for t in texts(batch)]
-            late = np.split(tell(np.concatenate([np.zeros(0, "u8"), *sets])), np.cumsum([len(s) for s in sets])[:-1])
+            every = np.concatenate([np.zeros(0, "u8"), *sets])
+            late = np.split(sum(t(every).astype("i1") for t in tell), np.cumsum([len(s) for s in sets])[:-1])
             found = [keys(s, f, limit) for s, f in zip(sets, late, strict=True)]
             columns = [batch.column(0), batch.column(2), pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32())]
             columns += [pa.array([k for k, _ in found], pa.list_(pa.int8())), pa.array([k for _, k in found], pa.list_(pa.int64())), pa.array([parities(s, MAP if len(s) <= SMALL else LARGE_MAP).tobytes() for s in sets], pa.binary()), pa.array([wide_map(s) for s in sets], pa.binary())]
@@ -198,8 +220,6 @@ def _few(limit: Limit, spanning: bool):
                 wide[k] = np.frombuffer(maps[k], "u8")
             for i in range(len(n) - 1):
                 j = i + 1 + np.flatnonzero(limit.sized(n[i], n[i + 1 :]))
-                if kinds[0] == LONG_KEY and n[i] <= LONG:
-                    j = j[n[j] > LONG]
                 if len(j):
                     j = j[np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype="i4") <= limit.differ(n[i], n[j])]
                 if len(j) and large[i]:
@@ -316,8 +336,8 @@ def _tested(limit: Limit):
     return run
 
 
-def links(distinct: DataFrame, items: DataFrame, limit: Limit) -> DataFrame:
-    """Links ``(u, v)`` that connect all similar nodes of ``distinct`` (node, text_key, n, kinds, cells, map, wide)."""
+def linked_nodes(distinct: DataFrame, items: DataFrame, limit: Limit) -> DataFrame:
+    """``(node, component)`` of all nodes of ``distinct`` (node, text_key, n, kinds, cells, map, wide) that are similar to another."""
     spark = distinct.sparkSession
     postings = distinct.select("node", F.explode(F.arrays_zip("kinds", "cells")).alias("x")).select(F.col("x.kinds").alias("kind"), F.col("x.cells").alias("cell"), "node")
     sizes = stored(postings.groupBy("kind", "cell").agg(F.count("*").alias("size")).where("size > 1"), "cells")
@@ -346,9 +366,10 @@ def links(distinct: DataFrame, items: DataFrame, limit: Limit) -> DataFrame:
     one = stored(every.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"), "first-partners")
     first = stored(tested(one), "links")
     free_disk(spark)
-    roots = stored(components(first, "u", "v"), "roots")
-    root = lambda c: roots.select(F.col("node").alias(c), F.col("component").alias(f"{c}_root"))
-    apart = lambda some: some.join(root("u"), "u", "left").join(root("v"), "v", "left").where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
+    # a set's linked first partner tells what is together well enough to leave pairs out
+    hub = first.select(F.col("v").alias("node"), F.col("u").alias("root"))
+    root = lambda c: hub.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    apart = lambda some: some.join(root("u").hint("merge"), "u", "left").join(root("v").hint("merge"), "v", "left").where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
     left = stored(apart(every.join(one, ["u", "v"], "left_anti")), "other-partners")
     second = stored(tested(left), "links")
     free_disk(spark)
@@ -359,25 +380,35 @@ def links(distinct: DataFrame, items: DataFrame, limit: Limit) -> DataFrame:
     fourth = stored(tested(apart(others)), "links")
     free_disk(spark)
     linked = first.unionByName(second).unionByName(fourth)
+    if not many.take(1):
+        return components(linked, "u", "v")
     # of its large cells a set enters the least one first; then only cells count in which this has left sets apart
     work = ["kind", "cell", "low", "high"]
     in_order = lambda rows: rows.repartition(*work).sortWithinPartitions(*work)
-    for own in (True, False):
-        roots = stored(components(linked, "u", "v"), "roots").select("node", F.col("component").alias("root"))
-        rooted = stored(many.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "large-cells")
+
+    def within(roots: DataFrame, own: bool) -> DataFrame:
+        """Links of large cells between sets of unlike ``root``; with ``own`` each set enters one cell only."""
+        rooted = stored(many.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")), "large-cells")
         mixed = rooted.groupBy("kind", "cell").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("kind", "cell")
-        open_cells = rooted.join(mixed, ["kind", "cell"], "left_semi")
+        open_cells = rooted.join(mixed.hint("merge"), ["kind", "cell"], "left_semi")
         if own:
             least = open_cells.groupBy("node").agg(F.min(F.struct("size", "kind", "cell")).alias("x")).select("node", "x.kind", "x.cell")
-            open_cells = open_cells.join(least, ["node", "kind", "cell"], "left_semi")
-        # each pair of blocks is one piece of work: a set's bitmap goes to as many as its cell has blocks, the set only where it has a likely partner
-        spread = open_cells.join(distinct.select("node", "n", "wide"), "node").select("kind", "cell", F.explode("others").alias("other"), "block", "node", "root", "n", "wide")
+            open_cells = open_cells.join(least.hint("merge"), ["node", "kind", "cell"], "left_semi")
+        # files of these tables say little of their size, as nodes and cells repeat, so none is broadcast; each pair of blocks is one piece of work: a set's bitmap goes to as many as its cell has blocks, the set only where it has a likely partner
+        spread = open_cells.join(distinct.select("node", "n", "wide").hint("merge"), "node").select("kind", "cell", F.explode("others").alias("other"), "block", "node", "root", "n", "wide")
         spread = spread.select("kind", "cell", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "root", "n", "wide")
         marked = stored(in_order(spread).mapInArrow(_marked(limit), "kind byte, cell long, low int, high int, block int, node binary, root binary"), "marked")
         free_disk(spark)
-        linked = linked.unionByName(stored(in_order(marked.join(sets, "node").select(*marked.columns, "items")).mapInArrow(_many(limit), "u binary, v binary"), "links"))
-        free_disk(spark)
-    return linked
+        return stored(in_order(marked.join(sets.hint("merge"), "node").select(*marked.columns, "items")).mapInArrow(_many(limit), "u binary, v binary"), "links")
+
+    linked = linked.unionByName(within(hub, True))
+    free_disk(spark)
+    roots = stored(components(linked, "u", "v"), "roots")
+    more = within(roots.select("node", F.col("component").alias("root")), False)
+    free_disk(spark)
+    if not more.take(1):
+        return roots
+    return components(roots.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), "u", "v")
 
 
 def similar_documents(docs: DataFrame, limit: Limit) -> DataFrame:
@@ -385,7 +416,7 @@ def similar_documents(docs: DataFrame, limit: Limit) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     items = docs.select("doc_id", "text").withColumn("text_key", F.xxhash64("text"))
-    frequent = often(items.select("text"), _counted(limit.shingle), WIDTH, lambda n: min(RARE + 2 * n // WIDTH, 65535))
+    frequent = often_at(items.select("text"), _counted(limit.shingle), WIDTH, lambda n: RARE, lambda n: min(RARE + 2 * n // WIDTH, 65535))
     kind = items.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, text_key long, node binary, n int, kinds array<byte>, cells array<long>, map binary, wide binary"
     at = fresh_path(spark, "shingle-nodes")
@@ -396,7 +427,7 @@ def similar_documents(docs: DataFrame, limit: Limit) -> DataFrame:
     every = stored(every.select("doc_id", "node", "n"), "documents-nodes")
     remove_path(spark, at)
     free_disk(spark)
-    roots = components(links(distinct, items, limit), "u", "v")
+    roots = linked_nodes(distinct, items, limit)
     rooted = stored(distinct.select("node", "first_id").join(roots, "node", "left").select("node", "first_id", F.coalesce("component", "node").alias("root")), "rooted")
     named = rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("node", "component_id")
     joined = every.select("doc_id", "node", "n").join(named, "node", "left")

@@ -100,15 +100,22 @@ class Often:
         return out
 
 
-def often(rows: DataFrame, count: Callable, width: int, limit: Callable[[int], int]) -> Often:
-    """Adds up the counters that ``count`` makes of each task's part of ``rows``; ``limit`` gets the number of what was counted."""
+def often_at(rows: DataFrame, count: Callable, width: int, *limits: Callable[[int], int]) -> list[Often]:
+    """Adds up the counters that ``count`` makes of each task's part of ``rows``; each limit gets the number of what was counted."""
     ship(rows.sparkSession)
     parts = rows.mapInArrow(count, SCHEMA)
     added = stored(parts.repartition("block").sortWithinPartitions("block").mapInArrow(_added, SCHEMA), "counters")
-    at = limit(added.agg(F.sum("n")).first()[0] or 0)
-    if not 0 < at <= MOST:
-        raise ValueError(f"counters of 16 bits can't tell {at}")
-    bits = np.zeros((ROWS * width // min(BLOCK, width), min(BLOCK, width) // 8), "u1")
-    for row in added.mapInArrow(_reached(at), "block int, bits binary").collect():  # a bit a counter
-        bits[row["block"]] = np.frombuffer(row["bits"], "u1")
-    return Often(bits.reshape(ROWS, -1), at)
+    total, out = added.agg(F.sum("n")).first()[0] or 0, []
+    for at in (limit(total) for limit in limits):
+        if not 0 < at <= MOST:
+            raise ValueError(f"counters of 16 bits can't tell {at}")
+        bits = np.zeros((ROWS * width // min(BLOCK, width), min(BLOCK, width) // 8), "u1")
+        for row in added.mapInArrow(_reached(at), "block int, bits binary").collect():  # a bit a counter
+            bits[row["block"]] = np.frombuffer(row["bits"], "u1")
+        out.append(Often(bits.reshape(ROWS, -1), at))
+    return out
+
+
+def often(rows: DataFrame, count: Callable, width: int, limit: Callable[[int], int]) -> Often:
+    """As ``often_at``, with one limit."""
+    return often_at(rows, count, width, limit)[0]

@@ -169,3 +169,16 @@ def test_similar_sets_share_a_key(monkeypatch, limit, long):
             assert shared - {jaccard_join.LONG_KEY} or jaccard_join.LONG_KEY in shared and max(len(a), len(b)) > long
             assert limit.differ(len(a), len(b)) >= np.bitwise_count(jaccard_join.parities(a, 64) ^ jaccard_join.parities(b, 64)).sum()
     assert found > 100
+
+
+def test_combinations_grow_with_the_set():
+    import numpy as np
+
+    limit = jaccard_join.Limit(90, 100, 3)
+    draw = np.random.default_rng(5)
+    for n in (60, 200, 460, 2000):
+        items = np.unique(draw.integers(0, 1 << 63, n, dtype="u8"))
+        for late in (np.ones(n, bool), (items >> np.uint64(30)).astype("i1") % 2 + 1):  # nothing is rare, as in a full sketch
+            kinds, cells = jaccard_join.keys(items, late, limit)
+            assert len(set(cells.tolist())) == len(cells) < 0.6 * n
+            assert set(kinds.tolist()) == {jaccard_join.TWO_KEY}  # no cell under a single frequent item, which many sets share
