@@ -16,6 +16,7 @@ import os
 import re
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -32,7 +33,8 @@ KNOWN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def _class(kind: str) -> str:
-    return "".join(f"\\u{c:04x}" for c in range(0x250) if unicodedata.category(chr(c))[0] == kind)
+    lower = {ord(x) for c in range(0x250) for x in chr(c).lower()}  # some lie far beyond the letter itself
+    return "".join(f"\\u{c:04x}" for c in sorted({*range(0x250), *lower}) if unicodedata.category(chr(c))[0] == kind)
 
 
 #: The same split for the plain path's characters; words hold no white space.
@@ -112,11 +114,9 @@ def _keep(known: dict[str, bytes], new: dict[str, bytes], most: int) -> None:
     if len(known) + len(new) > most:
         for key in list(known)[: max(len(known) // 2, len(known) + len(new) - most)]:
             del known[key]
-    for key, value in new.items():
-        if len(known) >= most:
-            break
-        if len(key) <= MAX_WORD_CHARS:
-            known[key] = value
+    if len(known) + len(new) > most:
+        new = dict(list(new.items())[: max(most - len(known), 0)])
+    known.update(new if max(map(len, new), default=0) <= MAX_WORD_CHARS else {k: v for k, v in new.items() if len(k) <= MAX_WORD_CHARS})
 
 
 class WordIds:
@@ -143,13 +143,22 @@ class WordIds:
         plain = self.tokenizer.normalizer.normalize_str(word)
         return [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(plain)]
 
-    def _learn(self, missing: set[str]) -> dict[str, bytes]:
-        out = {w: self.whole(w) for w in missing if any(s in w for s in self.special)}
-        cut = {w: self._pieces(w) for w in missing if w not in out}
-        have = self.pieces
-        unseen = list(dict.fromkeys(p for ps in cut.values() for p in ps if p not in have))
+    def _learn(self, missing: set[str], text: str, usual: bool) -> dict[str, bytes]:
+        """Ids of words of a text, which has no unusual characters if it is ``usual``."""
+        special = [s for s in self.special if s in text]
+        out = {w: self.whole(w) for w in missing if any(s in w for s in special)} if special else {}
+        have, lone, cut = self.pieces, [], {}
+        for w in missing.difference(out) if out else missing:
+            if w.isalpha() and (usual or w.isascii()):
+                lone.append(w)  # a single piece
+            else:
+                cut[w] = list(map(as_letters, PIECES.findall(w.lower()))) if usual else self._pieces(w)
+        lower = [p if p.isascii() else as_letters(p) for p in map(str.lower, lone)]
+        unseen = list({p for p in chain(lower, chain.from_iterable(cut.values())) if p not in have})
         new = dict(zip(unseen, [array.array("I", i).tobytes() for i in self.coder.ids(unseen)], strict=True))
-        out |= {w: b"".join([have[p] if p in have else new[p] for p in ps]) for w, ps in cut.items()}
+        out.update(zip(lone, [new[p] if p in new else have[p] for p in lower], strict=True))
+        for w, ps in cut.items():
+            out[w] = b"".join([new[p] if p in new else have[p] for p in ps])
         _keep(have, new, self.max_words)
         return out
 
@@ -163,10 +172,11 @@ class WordIds:
             elif not self.plain:
                 out.append(self.whole(text))
             else:
-                split = ASCII_WORDS.findall(text) if UNUSUAL.search(text) else text.split()
+                usual = not UNUSUAL.search(text)
+                split = text.split() if usual else ASCII_WORDS.findall(text)
                 got = list(map(known.get, split))
                 if None in got:
-                    new = self._learn({w for w, v in zip(split, got, strict=True) if v is None})
+                    new = self._learn({w for w, v in zip(split, got, strict=True) if v is None}, text, usual)
                     got = [new[w] if v is None else v for w, v in zip(split, got, strict=True)]
                     _keep(known, new, self.max_words)
                 out.append(b"".join(got))

@@ -703,3 +703,23 @@ def test_repeated_ids_and_held_out_quality(spark):
     assert np.mean([r["lang_pred"] == r["lang"] for r in langs]) > 0.98
     clash = spark.createDataFrame([(5, "the cat and the dog", "en"), (5, "la casa de la playa", "es"), (None, "x", "en")], "doc_id long, text string, lang string")
     assert sorted(r["lang_pred"] for r in language_id.identify(clash, language_id.train(clash)).collect()) == ["en", "en", "es"]
+
+
+def test_words_are_learnt_as_the_library_codes_them():
+    path = tokens.default_tokenizer()
+    library, calls = tokens.load(path), []
+
+    class Coder(tokens.LibraryCoder):
+        def ids(self, pieces):
+            calls.append(len(pieces))
+            return super().ids(pieces)
+
+    own = tokens.WordIds(path, Coder(path))
+    own._pieces = lambda word: pytest.fail(f"{word} was cut by the path of unusual characters")  # plain words of a usual text need no search of their own
+    wanted = lambda text: np.asarray(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    for k in [c for c in range(0x21, 0x250) if not tokens.UNUSUAL.search(chr(c)) and not chr(c).isspace()]:
+        for word in (f"a{chr(k)}b1", f"x-{chr(k)}y'S", f"{chr(k)}Z", f"{chr(k)}"):  # lower case may lie beyond U+024F
+            assert own.batch([word])[0] == wanted(word), word
+    assert own.batch(["Ab ab AB", None, "ab"]) == [wanted("Ab ab AB"), b"", wanted("ab")] and calls[-1] <= 1
+    for special in own.special[:3]:
+        assert tokens.WordIds(path).batch([f"Ab x{special}y {special}"])[0] == wanted(f"Ab x{special}y {special}")
