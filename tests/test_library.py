@@ -628,3 +628,18 @@ def test_line_starts_and_delegations_in_one_pass(spark):
     # the lines are not taken apart one by one
     plan = rows.select(T.count_line_starts(F.col("source"), starts))._jdf.queryExecution().optimizedPlan().toString()
     assert "lambdafunction" not in plan
+
+
+def test_shingle_sets(spark):
+    import oracle
+
+    from tallyforge.plans import text_plans
+
+    odd = [None, "", " 12 !", "one", "One TWO", "a b c d e", "a b c d e f a b c d e f", "ÄÖ À÷ÿ é, İstanbul Kelvin ß ŸES Σας x", "x😀y z".encode("utf-16", "surrogatepass").decode("utf-16"), "w " * 3000, "l'été\tdéjà-vu\nlà où ça va bien sûr"]
+    df = spark.createDataFrame([(k, t, "en") for k, t in enumerate(odd)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["s"] for r in similarity.shingle_sets(df, "text").collect()}
+    hashed = F.array_distinct(F.transform(T.shingles(text_plans._words()), lambda s: F.xxhash64(s)))
+    want = {r["doc_id"]: sorted(r["s"]) for r in df.where("text is not null").select("doc_id", hashed.alias("s")).collect()} | {0: []}  # SQL gives no shingle of a null text
+    assert got == want and similarity.shingle_sets(df, "text").columns == ["doc_id", "lang", "s"]
+    plan = text_plans._sets(spark, f"{oracle.DATA}/sf0.001")._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "lambda" not in plan  # functions over single shingles took half of near_duplicates' time
