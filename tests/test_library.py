@@ -2,6 +2,7 @@
 
 import json
 import random
+from functools import reduce
 import re
 
 import pytest
@@ -643,3 +644,32 @@ def test_shingle_sets(spark):
     assert got == want and similarity.shingle_sets(df, "text").columns == ["doc_id", "lang", "s"]
     plan = text_plans._sets(spark, f"{oracle.DATA}/sf0.001")._jdf.queryExecution().toString()
     assert "MapInArrow" in plan and "lambda" not in plan  # functions over single shingles took half of near_duplicates' time
+
+
+def test_sources_are_judged_once(spark):
+    sources = [None, "", "def f(x):\n    ...", "def g(a):\n    del a\n    return None", "from x import y\nreturn _y", "return f(x)", "if a:\nfor b in c:\nwhile d:", "fun f(x) = g(x)"]
+    names = ["get_a", "run_b", "load_c", None, "x_report", "getData"]
+    of = [(f"lib/core/m{k % 7}.py", names[k % 6], "python", 3 * (k % 20), k % 9, k % 8, k, k + 3, k % 3 > 0, sources[k % 8]) for k in range(480)]
+    methods = spark.createDataFrame(of, "file_path string, name string, language string, loc int, param_count int, nesting_depth int, start_line int, end_line int, is_exported boolean, source string")
+    judged = shape.judged(methods)
+    source, name, loc = F.col("source"), F.col("name"), F.col("loc")
+    pairs = [
+        (shape.thin_wrapper(source, loc), F.col("__wraps") & (loc <= shape.WRAPPER_LOC)),
+        (shape.thin_delegation(source, loc), F.col("__delegates") & (loc <= shape.DELEGATION_LOC)),
+        (shape.placeholder_stub(source, loc), F.col("__discards") & (loc <= shape.STUB_LOC)),
+        (shape.protocol_stub(source), F.col("__stub")),
+        (T.count_line_starts(source, T.BRANCHES), F.col("__branches")),
+        (T.count_line_starts(source, T.LOOPS), F.col("__loops")),
+        (shape.utility_name(name), F.col("__utility")),
+    ]
+    assert judged.count() == 480
+    assert judged.where(~reduce(lambda a, b: a & b, [x.eqNullSafe(y) for x, y in pairs])).count() == 0
+    other = shape.once_each(methods, {"start_line": {"odd": F.col("start_line") % 2 == 1}})  # values that do not repeat are judged in place
+    assert other.where("odd").count() == 240 and "Join" not in other._jdf.queryExecution().optimizedPlan().toString()
+    # neither the rules of sources nor those of a file's path are tried for each method
+    kinds = shape.module_kinds(methods.select("file_path", F.lit("text").alias("source")).distinct(), judged)
+    counts = methods.select("file_path", "name", "start_line", F.lit(0).cast("long").alias("refs"))
+    for found in (scoring.method_flags(scoring.scored_methods(judged), kinds), scoring.reference_flags(judged, kinds, counts)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "fixtures" not in plan and "notimplemented" not in plan and "switch" not in plan
+        assert found.count() > 0
