@@ -673,3 +673,33 @@ def test_sources_are_judged_once(spark):
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert "fixtures" not in plan and "notimplemented" not in plan and "switch" not in plan
         assert found.count() > 0
+
+
+def test_only_likely_pairs_ship_their_sets(spark, monkeypatch):
+    r, stored = random.Random(9), []
+    passage = list(range(20))  # in every set, so its items are frequent
+    sets = []
+    for k in range(60):
+        own = [r.randrange(1 << 62) for _ in range(80)]
+        sets.append(passage + own)
+        sets += [passage + own[:-3] + [r.randrange(1 << 62) for _ in range(3)]] * (k % 4 == 0) + [list(own + passage)] * (k % 6 == 0)
+    sets += [[], [5], [5], passage, passage[:-2], passage[:-5]]
+    df = spark.createDataFrame([(k, s) for k, s in enumerate(sets)], "id long, items array<long>").repartition(3)
+    keep = similarity.written
+    monkeypatch.setattr(similarity, "written", lambda df, name: stored.append((name, keep(df, name))) or stored[-1][1])
+    unlike = [set(s) for s in sets]
+    first = {}
+    for k, s in enumerate(unlike):
+        first.setdefault(frozenset(s), k)
+    nodes = [k for s, k in first.items() if s]
+    share = lambda a, b: len(unlike[a] & unlike[b]) / len(unlike[a] | unlike[b])
+    want = {(a, b): share(a, b) for a in nodes for b in nodes if b < a and share(a, b) >= 0.8}
+    for least in (64, 1):  # once with the passage among the frequent items only, once with all that two sets share
+        monkeypatch.setattr(similarity, "FREQUENT_LEAST", least, raising=False)
+        stored.clear()
+        got = {(x["later"], x["earlier"]): x["similarity"] for x in similarity.jaccard_pairs(df, "id", "items", 0.8).collect()}
+        assert got == want and len(want) >= 17
+        assert sum("items" in t.columns for _, t in stored) == 1  # whole sets are stored once
+        assert dict(stored)["candidates"].count() == len(want)  # a shared passage brings no sets together
+    monkeypatch.setattr(similarity, "SENT_IDS", 0)
+    assert {(x["later"], x["earlier"]): x["similarity"] for x in similarity.jaccard_pairs(df, "id", "items", 0.8).collect()} == want
